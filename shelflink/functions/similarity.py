@@ -146,43 +146,48 @@ def best_window_ratios(short: list[str], long: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = pd.Series(0, index=left.index, dtype="int32")
-    given = left.notna() & right.notna()
-    out[given] = lcs_lengths(left[given].tolist(), right[given].tolist())
-    return out
+def _where_given(kernel, left: pd.Series, right: pd.Series, dtype: str) -> pd.Series:
+    """Kernel results for the pairs with both sides, 0 elsewhere."""
+    given = (left.notna() & right.notna()).to_numpy()
+    out = np.zeros(len(left), dtype=dtype)
+    out[given] = kernel(left[given].tolist(), right[given].tolist())
+    return pd.Series(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def _window_udf(short: pd.Series, long: pd.Series) -> pd.Series:
-    out = pd.Series(0.0, index=short.index)
-    given = short.notna() & long.notna()
-    out[given] = best_window_ratios(short[given].tolist(), long[given].tolist())
-    return out
+def _lcs_batch(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _where_given(lcs_lengths, left, right, "int32")
+
+
+def _window_batch(short: pd.Series, long: pd.Series) -> pd.Series:
+    return _where_given(best_window_ratios, short, long, "float64")
+
+
+# Declared non-deterministic so that the optimizer evaluates each kernel once: it would otherwise
+# push filters on the results below the projection and run the kernel there a second time.
+_lcs_udf = F.pandas_udf(_lcs_batch, T.IntegerType()).asNondeterministic()
+_window_udf = F.pandas_udf(_window_batch, T.DoubleType()).asNondeterministic()
 
 
 # --- measures as columns -----------------------------------------------------------------------
 
 
 def clean_for_tokens(text: Column) -> Column:
-    """Lower-cased text in which everything but letters, numbers and _ is a blank.
+    """Lower-cased text in which runs of anything but letters, numbers and _ are one blank.
 
     Latin-1 supplement characters are deleted first, as the measure defines it.
     """
     ascii_ish = F.regexp_replace(text, r"[\x80-\xFF]", "")
-    return F.trim(F.lower(F.regexp_replace(ascii_ish, r"[^\p{L}\p{N}_]", " ")))
+    return F.trim(F.lower(F.regexp_replace(ascii_ish, r"[^\p{L}\p{N}_]+", " ")))
 
 
 def sorted_tokens(text: Column) -> Column:
     """Cleaned tokens in code point order, repeats kept, joined by blanks."""
-    tokens = F.array_remove(F.split(clean_for_tokens(text), " "), "")
-    return F.array_join(F.array_sort(tokens), " ")
+    return F.array_join(F.sort_array(F.split(clean_for_tokens(text), " ")), " ")
 
 
 def token_set(sorted_text: Column) -> Column:
-    """Distinct tokens of a ``sorted_tokens`` text."""
-    return F.array_distinct(F.array_remove(F.split(sorted_text, " "), ""))
+    """Distinct tokens of a ``sorted_tokens`` text; NULL when there is none."""
+    return F.array_distinct(F.split(F.nullif(sorted_text, F.lit("")), " "))
 
 
 def _percent(common: Column, total: Column) -> Column:

@@ -31,8 +31,9 @@ def word_weight(variations: int) -> Column:
 
 
 def _occurrences(titles: DataFrame, side: str) -> DataFrame:
-    return titles.select(
-        F.lit(side).alias("side"), "id", "variation", F.explode(token_set(F.col("sorted"))).alias("word")
+    word = F.explode_outer(token_set(F.col("sorted"))).alias("word")
+    return titles.select(F.lit(side).alias("side"), "id", "variation", word).where(
+        F.col("word").isNotNull()
     )
 
 

@@ -17,8 +17,8 @@ def exact_matches(entries: DataFrame, listings: DataFrame, **skew: int) -> DataF
     """
     wanted = (
         entries.select("position", normalize_isbn(F.col("isbn")).alias("_norm"))
-        .where(F.col("_norm").isNotNull())
-        .select("position", F.explode(isbn_variants(F.col("_norm"))).alias("identifier"))
+        .select("position", F.explode_outer(isbn_variants(F.col("_norm"))).alias("identifier"))
+        .where(F.col("identifier").isNotNull())
     )
     first = (
         listings.select(normalize_isbn(F.col("isbn")).alias("identifier"), "listing_pos")

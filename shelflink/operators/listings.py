@@ -143,7 +143,7 @@ def extract_listings(
     found = F.when(F.col("page_pos").isNull(), image_only).when(
         F.col("title").isNotNull(), F.array(F.struct(*fields))
     )
-    return links.select(*page_columns, F.inline(found))
+    return links.select(*page_columns, F.inline_outer(found)).where(F.col("title").isNotNull())
 
 
 def count_listings(pages: DataFrame, listings: DataFrame, page_key: str) -> DataFrame:

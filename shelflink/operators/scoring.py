@@ -42,16 +42,17 @@ def check_weights(weights: Mapping[str, float]) -> None:
         raise ValueError(f"weights must give {', '.join(WEIGHTS)} and sum to 1: {dict(weights)}")
 
 
-def _weighted_sum(weights: Mapping[str, float]) -> Column:
+def _weighted_sum(weights: Mapping[str, float], is_long: Column) -> Column:
     total = None
     for name in WEIGHTS:
-        part = F.col(name) * F.lit(float(weights[name]))
+        weight = F.when(is_long, float(LONG_WEIGHTS[name])).otherwise(float(weights[name]))
+        part = F.col(name) * weight
         total = part if total is None else total + part
     return total
 
 
 def _words(text: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(text, " "), ""))
+    return F.array_distinct(F.split(F.trim(text), " "))
 
 
 def _base_score(weights: Mapping[str, float], author_score: str | None) -> Column:
@@ -62,9 +63,7 @@ def _base_score(weights: Mapping[str, float], author_score: str | None) -> Colum
     few = (F.size(q_words) <= FEW_WORDS) & (
         F.size(F.array_intersect(q_words, _words("l_text"))) * 2 < F.size(q_words)
     )
-    score = F.when(
-        (q_length > LONG_TITLE) | (l_length > LONG_TITLE), _weighted_sum(LONG_WEIGHTS)
-    ).otherwise(_weighted_sum(weights))
+    score = _weighted_sum(weights, (q_length > LONG_TITLE) | (l_length > LONG_TITLE))
     factors = [
         F.when(few, FEW_WORDS_FACTOR),
         F.when((total > LONG_SUM) & (gap > LONG_GAP), LONG_GAP_FACTOR).when(
@@ -168,15 +167,11 @@ def with_bonuses(df: DataFrame) -> DataFrame:
     """
     prefix = same_prefix(F.col("q_isbn_norm"), F.col("l_isbn_norm"))
     author = F.coalesce(F.col("author_score") / 100.0 >= AUTHOR_EXACT, F.lit(False))
-    score = F.col("score")
-
-    def raised(factor: float) -> Column:
-        return F.least(F.floor(score * F.lit(factor)).cast("int"), F.lit(100))
-
+    score = to_percent(F.col("base_score"))
+    for earned, factor in ((prefix, PREFIX_BONUS), (author, AUTHOR_BONUS)):
+        score = to_percent(score * F.when(earned, factor).otherwise(1.0))
     return (
-        df.withColumn("score", to_percent(F.col("base_score")))
-        .withColumn("score", F.when(prefix, raised(PREFIX_BONUS)).otherwise(score))
-        .withColumn("score", F.when(author, raised(AUTHOR_BONUS)).otherwise(score))
+        df.withColumn("score", score)
         .withColumn(
             "match_type",
             F.when(prefix & author, "fuzzy_isbn_author")
@@ -209,7 +204,7 @@ def raise_to_floor(
         hit = F.contains(F.lower(query), F.lit(in_query)) & F.contains(
             F.lower(listing), F.lit(in_listing)
         )
-        score = F.when(hit, F.greatest(score, F.lit(floor))).otherwise(score)
+        score = F.greatest(score, F.when(hit, floor))  # ignores NULL
     return score
 
 

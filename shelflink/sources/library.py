@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflink.functions.ids import isbn10_to_isbn13
 from shelflink.functions.html import without_hidden
+from shelflink.functions.ids import isbn10_to_isbn13, isbn13_to_isbn10
 
 SENTENCE_END = "[.!?\n]+"
 EDGES = "^[ \t\r]+|[ \t\r]+$"
@@ -31,7 +31,7 @@ def _sentences(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """``(key, n, sentence)`` for every non-empty sentence of the whole text."""
     return (
         rows.withColumn("_text", text)
-        .select("*", F.posexplode(F.split("_text", SENTENCE_END)).alias("n", "sentence"))
+        .select("*", F.posexplode_outer(F.split("_text", SENTENCE_END)).alias("n", "sentence"))
         .withColumn("sentence", F.regexp_replace("sentence", EDGES, ""))
         .where(F.col("sentence") != "")
         .withColumn("position", F.shiftleft(key, POSITION_BITS) + F.col("n"))
@@ -43,23 +43,19 @@ def _hash_number(text: Column, modulus: int) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(7)), 16, 10).cast("long") % modulus
 
 
-def isbn9(sentence: Column) -> Column:
-    """Six digits from the first word, three from the whole sentence."""
-    first = F.substring_index(sentence, " ", 1)
-    return F.concat(
+def with_isbns(rows: DataFrame) -> DataFrame:
+    """Add ``_isbn10`` and ``_isbn13``: six digits from the first word, three from the sentence."""
+    first = F.substring_index("sentence", " ", 1)
+    nine = F.concat(
         F.lpad(_hash_number(first, 1_000_000).cast("string"), 6, "0"),
-        F.lpad(_hash_number(sentence, 1000).cast("string"), 3, "0"),
+        F.lpad(_hash_number(F.col("sentence"), 1000).cast("string"), 3, "0"),
+    )
+    # The 13-digit form and back gives the check character of the short one.
+    return (
+        rows.withColumn("_nine", nine)
+        .withColumn("_isbn13", isbn10_to_isbn13(F.concat("_nine", F.lit("0"))))
+        .withColumn("_isbn10", isbn13_to_isbn10(F.col("_isbn13")))
     )
-
-
-def isbn10(sentence: Column) -> Column:
-    """``isbn9`` with its check character."""
-    digits = isbn9(sentence)
-    total = F.lit(0)
-    for i in range(9):
-        total = total + F.substring(digits, i + 1, 1).cast("int") * F.lit(10 - i)
-    check = F.pmod(F.lit(11) - total % 11, F.lit(11))
-    return F.concat(digits, F.when(check == 10, "X").otherwise(check.cast("string")))
 
 
 def _name(number: Column) -> Column:
@@ -69,7 +65,7 @@ def _name(number: Column) -> Column:
 def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export-shaped rows: ``position, Title, Author, ISBN, ISBN13, Bookshelves``."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = _sentences(docs, "doc_id", F.col("text"))
+    rows = with_isbns(_sentences(docs, "doc_id", F.col("text")))
     s, source = F.col("sentence"), F.col("source")
     length = F.length(s)
     dressed = (
@@ -84,16 +80,15 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src9", F.concat(s, F.lit(" (Revised Edition)")))
         .otherwise(s)
     )
-    code = isbn10(s)
     known = _hash_number(s, 8) < 5
     as_formula = source.isin("src0", "src1", "src2", "src3", "src4")
-    thirteen = isbn10_to_isbn13(code)
+    thirteen = F.col("_isbn13")
     quoted = F.when(as_formula, F.concat(F.lit('="'), thirteen, F.lit('"'))).otherwise(thirteen)
     return rows.select(
         "position",
         dressed.alias("Title"),
         F.when(length % 7 != 0, _name(length)).alias("Author"),
-        F.when(known & (source == "src10"), code).alias("ISBN"),
+        F.when(known & (source == "src10"), F.col("_isbn10")).alias("ISBN"),
         F.when(known & (source != "src10"), quoted).alias("ISBN13"),
         F.col("lang").alias("Bookshelves"),
     )
@@ -112,9 +107,8 @@ def sentence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_pos, title, author, isbn, price, url, cover_url)`` from all page text."""
     pages = load(spark, sf_dir, "pages")
     text = F.regexp_replace(without_hidden(F.col("html")), "<[^>]*>", "\n")
-    rows = _sentences(pages, "page_id", text)
+    rows = with_isbns(_sentences(pages, "page_id", text))
     s = F.col("sentence")
-    code = isbn10(s)
     length = F.length(s)
     other = (F.col("page_id") % 4 == 0).cast("int")
     cents = _hash_number(s, 7000)
@@ -122,8 +116,8 @@ def sentence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("position").alias("listing_pos"),
         s.alias("title"),
         F.when(length % 11 != 0, _name(length + other)).alias("author"),
-        F.when(_hash_number(s, 8) < 3, code)
-        .when(_hash_number(s, 8) == 6, isbn10_to_isbn13(code))
+        F.when(_hash_number(s, 8) < 3, F.col("_isbn10"))
+        .when(_hash_number(s, 8) == 6, F.col("_isbn13"))
         .alias("isbn"),
         F.concat(
             F.lit("$"), F.floor(cents / 100), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
