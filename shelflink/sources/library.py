@@ -27,6 +27,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a table comes as fewer splits than there are cores.
+
+    A table of many files, as on a cluster, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _sentences(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """``(key, n, sentence)`` for every non-empty sentence of the whole text."""
     return (
@@ -64,7 +73,9 @@ def _name(number: Column) -> Column:
 
 def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export-shaped rows: ``position, Title, Author, ISBN, ISBN13, Bookshelves``."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(
+        load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id"
+    )
     rows = with_isbns(_sentences(docs, "doc_id", F.col("text")))
     s, source = F.col("sentence"), F.col("source")
     length = F.length(s)
@@ -105,7 +116,7 @@ def wanted_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_pos, title, author, isbn, price, url, cover_url)`` from all page text."""
-    pages = load(spark, sf_dir, "pages")
+    pages = spread(load(spark, sf_dir, "pages"), "page_id")
     text = F.regexp_replace(without_hidden(F.col("html")), "<[^>]*>", "\n")
     rows = with_isbns(_sentences(pages, "page_id", text))
     s = F.col("sentence")
