@@ -7,30 +7,41 @@ from pyspark.sql import functions as F
 
 from shelflink.functions.text import strip
 
-# What is removed from a lower-cased title, in this order.
+# What is removed from a lower-cased title, in this order, by marker. A title without
+# the marker cannot hold the pattern, so the patterns are not tried on it.
 # Applied with (?U), Unicode classes, and (?d), only \n ends a line, so .* spans everything else.
-NOISE = [
-    r"^(the|a|an)\s+",
-    r"\s*\(.*series.*\)",
-    r"\s*\(.*book\s+\d+.*\)",
-    r"\s*\(.*#\d+.*\)",
-    r"\s*\(volume\s+\d+\)",
-    r"\s*\(vol\.\s*\d+\)",
-    r"\s*\(\d+\)",
-    r"\s*\(.*edition.*\)",
-    r"\s*\d+(st|nd|rd|th)\s+edition",
-]
+LEADING_ARTICLE = r"^(the|a|an)\s+"
+NOISE = {
+    "(": [
+        r"\s*\(.*series.*\)",
+        r"\s*\(.*book\s+\d+.*\)",
+        r"\s*\(.*#\d+.*\)",
+        r"\s*\(volume\s+\d+\)",
+        r"\s*\(vol\.\s*\d+\)",
+        r"\s*\(\d+\)",
+        r"\s*\(.*edition.*\)",
+    ],
+    "edition": [r"\s*\d+(st|nd|rd|th)\s+edition"],
+}
 PUNCTUATION = r"""['":;,.\[\]()]+"""
 SUBTITLE_MARK = ":"
 SHORT_SUBTITLE_WORDS = 3
 
 
-def strip_noise(title: Column) -> Column:
-    """Lower-case a title and remove article, series, volume and edition marks."""
-    out = F.lower(title)
-    for pattern in NOISE:
-        out = F.regexp_replace(out, f"(?idU){pattern}", "")
-    return out
+def _remove(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, f"(?idU){pattern}", "")
+
+
+def strip_noise(df: DataFrame, title: str, out: str) -> DataFrame:
+    """Add ``out``: lower-cased title without article, series, volume and edition marks."""
+    df = df.withColumn(out, _remove(F.lower(title), LEADING_ARTICLE))
+    for marker, patterns in NOISE.items():
+        text = F.col(out)
+        for pattern in patterns:
+            text = _remove(text, pattern)
+        marked = F.contains(F.col(out), F.lit(marker))
+        df = df.withColumn(out, F.when(marked, text).otherwise(F.col(out)))
+    return df
 
 
 def tidy(text: Column) -> Column:
@@ -46,7 +57,7 @@ def with_title_parts(df: DataFrame, title: str = "title") -> DataFrame:
     before = F.substring_index(base, SUBTITLE_MARK, 1)
     after = F.substring(base, split_at + F.lit(1), F.length(base))
     return (
-        df.withColumn("_base", strip_noise(F.col(title)))
+        strip_noise(df, title, "_base")
         .withColumn("main", tidy(F.when(split_at > 0, strip(before)).otherwise(base)))
         .withColumn("subtitle", F.when(split_at > 0, strip(after)).otherwise(F.lit("")))
         .drop("_base")
