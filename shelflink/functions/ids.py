@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelflink.functions.text import strip
 
 # Fixed values.
-ISBN_SHAPE = r"^(?:[0-9]{9}[0-9X]|[0-9]{13})\z"
+ISBN_SHAPE = r"^([0-9]{9}[0-9X]|[0-9]{13})\z"
 FORMULA = r'="([^"]*)"'
 NOT_IDENTIFIER = "[^0-9X]"
 BOOKLAND = "978"
@@ -24,21 +24,22 @@ def _without_separators(col: Column) -> Column:
     return F.translate(strip(col), "- ", "")
 
 
+def _if_isbn(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, ISBN_SHAPE, 1), F.lit(""))
+
+
 def unwrap_formula(cell: Column) -> Column:
     """Identifier inside a spreadsheet formula cell ``="..."``, or a plain identifier cell.
 
     The text inside a formula is returned unchecked; a plain cell must look like an ISBN.
     """
-    plain = _without_separators(cell)
-    return F.when(
-        cell.rlike(FORMULA), F.nullif(strip(F.regexp_extract(cell, FORMULA, 1)), F.lit(""))
-    ).when(plain.rlike(ISBN_SHAPE), plain)
+    inner = F.nullif(strip(F.regexp_extract(cell, FORMULA, 1)), F.lit(""))
+    return F.when(cell.rlike(FORMULA), inner).otherwise(_if_isbn(_without_separators(cell)))
 
 
 def normalize_isbn(isbn: Column) -> Column:
     """Upper-cased identifier without separators, NULL unless it has 10 or 13 characters."""
-    bare = F.upper(_without_separators(isbn))
-    return F.when(bare.rlike(ISBN_SHAPE), bare)
+    return _if_isbn(F.upper(_without_separators(isbn)))
 
 
 def clean_listing_id(raw: Column) -> Column:

@@ -40,13 +40,7 @@ def exact_matches_on_page(entries: DataFrame, listings: DataFrame, **skew: int)
     wanted = entries.select("position", normalize_isbn(F.col("isbn")).alias("_norm")).select(
         "position", isbn_variants(F.col("_norm")).alias("_variants")
     )
-    met = lookup_join(
-        offered,
-        wanted.where(F.size("_variants") > 0),
-        "position",
-        F.col("listing_pos"),
-        **skew,
-    )
+    met = lookup_join(offered, wanted, "position", F.col("listing_pos"), **skew)
     return (
         met.where(F.array_contains("_variants", F.col("identifier")))
         .groupBy("position")

@@ -3,7 +3,7 @@
 ``wanted_books``: every sentence of every document is a wanted title, dressed up the way exports
 write titles (article, series, volume, edition, subtitle), with authors and ISBNs.
 ``sentence_catalogue``: every sentence of every web page is a listing.
-``part_pages``: one result page per part, with links to the part and to similar ones.
+``wanted_parts`` and ``part_pages``: every part as an entry, and its result page with links.
 
 Authors and ISBNs follow from the text, so copies of a sentence carry the same identifier.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from shelflink.functions.html import without_hidden
 from shelflink.functions.ids import isbn10_to_isbn13, isbn13_to_isbn10
+from shelflink.operators.listings import extract_listings
+from shelflink.sources.reading_list import entries_of_shelf
 
 SENTENCE_END = "[.!?\n]+"
 EDGES = "^[ \t\r]+|[ \t\r]+$"
@@ -107,8 +109,6 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wanted_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(position, title, author, isbn)`` of every shelf."""
-    from shelflink.sources.reading_list import entries_of_shelf
-
     return entries_of_shelf(
         reading_list(spark, sf_dir), shelf=F.col("Bookshelves"), position="position"
     )
@@ -136,3 +136,103 @@ def sentence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url"),
         F.lit(None).cast("string").alias("cover_url"),
     )
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a title, a number and both ISBN forms."""
+    part = spread(load(spark, sf_dir, "part"), "p_partkey")
+    brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" "))
+    return (
+        part.withColumn("_title", F.concat_ws(" ", "p_name", F.lower("p_type"), brand))
+        .withColumn("_nine", F.lpad((F.col("p_partkey") * 7).cast("string"), 9, "0"))
+        .withColumn("_isbn13", isbn10_to_isbn13(F.concat("_nine", F.lit("0"))))
+        .withColumn("_isbn10", isbn13_to_isbn10(F.col("_isbn13")))
+    )
+
+
+def wanted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(position, title, author, isbn)``: every part as an entry of a reading list."""
+    kind, title = F.col("p_type"), F.col("_title")
+    dressed = (
+        F.when(kind == "ECONOMY", F.concat(F.lit("The "), title))
+        .when(kind == "SMALL", F.concat(title, F.lit(" (Workshop Series)")))
+        .when(kind == "LARGE", F.concat(title, F.lit(": A Handbook for the Curious")))
+        .when(kind == "MEDIUM", F.concat(title, F.lit(" 3rd edition")))
+        .when(kind == "STANDARD", F.concat(F.initcap("p_name"), F.lit(" (Volume 2)")))
+        .otherwise(title)
+    )
+    size = F.col("p_size")
+    return _parts(spark, sf_dir).select(
+        F.col("p_partkey").alias("position"),
+        dressed.alias("title"),
+        F.when(size % 6 != 0, _name(size)).alias("author"),
+        F.when(size < 10, F.col("_isbn13")).when(size < 25, F.col("_isbn10")).alias("isbn"),
+    )
+
+
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, html)``: the stored result page of every part.
+
+    A page links the part itself and the two parts before it, written in the different ways
+    listing pages come in. Parts of type PROMO have a page with images only.
+    """
+    title, size = F.col("_title"), F.col("p_size")
+    names = F.split(_name(size), " ")
+    slug = F.lower(F.concat_ws("-", F.element_at(names, 2), F.element_at(names, 1)))
+    slug = F.when(size % 8 == 0, F.lit("various")).otherwise(slug)
+    price = F.format_string("$%.2f", F.col("p_retailprice") - 880)
+    alt = F.concat(F.lit('<img src="/covers/'), "p_partkey", F.lit('.jpg" alt="'), title, F.lit('">'))
+    data = F.concat(
+        F.lit('<div data-cnstrc-item-id="'), "_isbn10", F.lit('B" data-cnstrc-item-name="'), title,
+        F.lit('">'), alt, F.lit("</div>"),
+    )
+    priced = (
+        F.when(size < 20, F.concat(F.lit('<p class="item-price">'), price, F.lit("</p>")))
+        .when(size < 35, F.concat(F.lit('<p class="Price"><b>Now</b> '), price, F.lit("</p>")))
+        .otherwise(F.concat(F.lit("<span>only "), price, F.lit(" today</span>")))
+    )
+    anchor = F.concat(
+        F.lit('<a href="'), F.when(size % 9 == 0, f"https://{SHOP}").otherwise(F.lit("")), F.lit("/book/"),
+        F.replace(title, F.lit(" "), F.lit("-")), F.lit("/"), slug, F.lit("/"), "_isbn10",
+        F.lit('B">'), F.when(size % 10 == 0, alt).otherwise(data), priced, F.lit("</a>"),
+    )
+    images = F.concat(
+        F.lit('<img src="/f.png" alt="Canada Flag">'), alt, alt,
+        F.lit('<img src="/x.png" alt="Second hand copy">'),
+    )
+    linked = (
+        _parts(spark, sf_dir)
+        .withColumn("_anchor", anchor)
+        .withColumn("_images", images)
+        .select(
+            "p_partkey",
+            F.when(F.col("p_type") == "PROMO", F.col("_images")).alias("_images"),
+            "_anchor",
+            F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("place"),
+        )
+    )
+    # Three rows at most per page; the page's own part brings the kind of page.
+    pages = (
+        linked.withColumn("query_id", F.col("p_partkey") + F.col("place"))
+        .groupBy("query_id")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("place", "_anchor"))).alias("_anchors"),
+            F.max(F.when(F.col("place") == 0, F.col("_images"))).alias("_images"),
+            F.min("place").alias("_first"),
+        )
+        .where(F.col("_first") == 0)
+    )
+    body = F.array_join(F.transform("_anchors", lambda a: a["_anchor"]), "\n")
+    return pages.select(
+        "query_id",
+        F.concat(
+            F.lit("<html><body><!-- results -->"), F.coalesce("_images", body), F.lit("</body></html>")
+        ).alias("html"),
+    )
+
+
+def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings extracted from ``part_pages``, with ``listing_pos`` over all pages."""
+    return extract_listings(part_pages(spark, sf_dir), SHOP).select(
+        (F.shiftleft("query_id", 8) + F.col("page_pos")).alias("listing_pos"), "*"
+    )
