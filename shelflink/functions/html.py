@@ -6,6 +6,8 @@ entities below, which is what listing pages need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +52,26 @@ def _code_point(entity: Column) -> Column:
     return F.when(valid, text).otherwise(F.lit("�"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """Resolve entities once (``&amp;lt;`` becomes ``&lt;``)."""
-    out = text
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    found = F.array_except(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))),
-        F.regexp_extract_all(text, F.lit(AMPERSAND), F.lit(0)),
-    )
-    out = F.aggregate(found, out, lambda done, e: F.replace(done, e, _code_point(e)))
-    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(out, AMPERSAND, "&")).otherwise(
-        text
-    )
+
+    def resolve(t: Column) -> Column:
+        out = t
+        for name, char in ENTITIES.items():
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        found = F.array_except(
+            F.regexp_extract_all(t, F.lit(NUMERIC), F.lit(0)),
+            F.regexp_extract_all(t, F.lit(AMPERSAND), F.lit(0)),
+        )
+        out = F.aggregate(found, out, lambda done, e: F.replace(done, e, _code_point(e)))
+        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(out, AMPERSAND, "&")).otherwise(t)
+
+    return bind(text, resolve)
 
 
 def without_hidden(html: Column) -> Column:
@@ -111,15 +120,17 @@ def tight_text_of(fragment: Column) -> Column:
     return F.array_join(pieces, "")
 
 
-def first_with_class(fragment: Column, part: str) -> Column:
-    """Inner HTML of the first element whose class contains ``part``; NULL when there is none.
+def with_class(part: str) -> str:
+    """Pattern of an opening tag whose class contains ``part``; group 1 is the tag name."""
+    value = rf"""(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*'|[^\s"'>]*{part}[^\s"'>]*)"""
+    return rf"<([a-zA-Z][\w-]*)(?=[^>]*\sclass\s*=\s*{value}){ATTRIBUTES}>"
+
 
-    The end tag is found by counting nested elements of the same name.
+def inner_of(fragment: Column, opened: Column, name: Column) -> Column:
+    """What the element that starts with the tag ``opened`` holds; NULL when ``opened`` is ''.
+
+    The end tag is found by counting nested elements of the same ``name``.
     """
-    class_value = rf"""\sclass\s*=\s*(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*'|[^\s"'>]*{part}[^\s"'>]*)"""
-    marked = rf"<([a-zA-Z][\w-]*)(?=[^>]*{class_value}){ATTRIBUTES}>"
-    name = F.lower(F.regexp_extract(fragment, marked, 1))
-    opened = F.regexp_extract(fragment, marked, 0)
     rest = F.substring(fragment, F.instr(fragment, opened) + F.length(opened), F.length(fragment))
     pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
 
@@ -129,9 +140,14 @@ def first_with_class(fragment: Column, part: str) -> Column:
             F.startswith(head, F.concat(F.lit("<"), name)), 1
         )
         depth = F.when(seen.depth > 0, seen.depth + F.coalesce(turn, F.lit(0))).otherwise(0)
-        inside = F.when(depth > 0, piece).otherwise(F.lit(""))
-        return F.struct(depth.alias("depth"), F.concat(seen.inner, inside).alias("inner"))
+        return bind(
+            depth,
+            lambda d: F.struct(
+                d.alias("depth"),
+                F.concat(seen.inner, F.when(d > 0, piece).otherwise(F.lit(""))).alias("inner"),
+            ),
+        )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("inner"))
     inner = F.aggregate(pieces, start, step).inner
-    return F.when(name.isin(*VOID), F.lit("")).when(name != "", inner)
+    return F.when(name.isin(*VOID), F.lit("")).when(opened != "", inner)

@@ -82,13 +82,23 @@ def extract_links(pages: DataFrame, domain: str | Column, link_part: str) -> Dat
     )
 
 
-def _price() -> Column:
+def _with_price(links: DataFrame) -> DataFrame:
+    """Add ``price``: text of the first element of a price class, else a price in the text.
+
+    In steps, so that every pattern runs once per link.
+    """
     inner = F.col("_inner")
-    by_class = [
-        html.tight_text_of(html.first_with_class(inner, part)) for part in PRICE_CLASSES
-    ]
+    steps = []
+    for i, part in enumerate(PRICE_CLASSES):
+        opened, name, text = (f"_{step}{i}" for step in ("opened", "name", "text"))
+        links = links.withColumn(opened, F.regexp_extract(inner, html.with_class(part), 0))
+        links = links.withColumn(name, F.lower(F.regexp_extract(opened, r"^<([\w-]+)", 1)))
+        content = html.inner_of(inner, F.col(opened), F.col(name))
+        links = links.withColumn(text, html.tight_text_of(content))
+        steps += [opened, name, text]
+    by_class = [F.when(F.contains(p, F.lit("$")), p) for p in map(F.col, steps[2::3])]
     by_text = F.nullif(F.regexp_extract(html.text_of(inner), PRICE_TEXT, 0), F.lit(""))
-    return F.coalesce(*(F.when(F.contains(p, F.lit("$")), p) for p in by_class), by_text)
+    return links.withColumn("price", F.coalesce(*by_class, by_text)).drop(*steps)
 
 
 def _first_tag(inner: Column, tag: str, attribute: str) -> Column:
@@ -108,7 +118,7 @@ def extract_listings(
     fields = ("page_pos", "title", "author", "isbn", "price", "url", "cover_url")
     inner = F.col("_inner")
     links = (
-        product_links(pages, link_part)
+        _with_price(product_links(pages, link_part))
         .withColumns(
             {
                 "_item": _first_tag(inner, r"\w+", ITEM_ID),
@@ -127,7 +137,6 @@ def extract_listings(
                     clean_listing_id(html.attribute(F.col("_item"), ITEM_ID)), F.lit("")
                 ),
                 "author": author_of_url(F.col("url")),
-                "price": _price(),
                 "cover_url": absolute_url(html.attribute(F.col("_src"), "src"), domain),
             }
         )
