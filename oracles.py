@@ -384,7 +384,8 @@ rows_ AS (
   UNION ALL
   SELECT 'l', id, i, list_distinct({tokens('variations[i]')}) FROM lt, unnest(range(1, len(variations) + 1)) AS u(i)),
 words AS (SELECT side, id, v, unnest(toks) AS word FROM rows_),
-weights AS (SELECT word, length(bin((SELECT count(*) FROM rows_) // count(*))) AS weight FROM words GROUP BY word),
+weights AS (SELECT word, length(bin((SELECT count(*) FROM rows_ WHERE side = 'l')
+  // greatest(count(*) FILTER (side = 'l'), 1))) AS weight FROM words GROUP BY word),
 weighted AS (SELECT w.*, weight, sum(weight) OVER (PARTITION BY side, id, v) AS whole FROM words w JOIN weights USING (word)),
 shared AS (
   SELECT q.id AS query_id, q.v AS qv, l.id AS listing_id, l.v AS lv

@@ -2,8 +2,9 @@
 
 Without a result page per entry, candidates come from the titles: two title variations are
 candidates when the words they share carry at least ``min_overlap`` percent of the word weight of
-either side. A word's weight is the bit length of (number of variations / number of variations
-with the word), so rare words count most.
+either side. A word's weight is the bit length of (number of listing variations / number of listing
+variations with the word), so rare words count most, and whether an entry meets a listing does not
+depend on the other entries. A word no listing has weighs as much as one that a single listing has.
 
 The join is complete for that definition. Words are ordered rarest first; a qualifying pair must
 share a word inside both sides' *prefix*, the words whose remaining weight (the word itself and all
@@ -26,8 +27,8 @@ HOT_WORDS = 10_000
 
 
 def word_weight(variations: int) -> Column:
-    """Integer word weight from the word's document frequency ``df``."""
-    return F.length(F.bin(F.floor(F.lit(variations) / F.col("df"))))
+    """Integer word weight from the number ``df`` of listing variations with the word."""
+    return F.length(F.bin(F.floor(F.lit(variations) / F.greatest("df", F.lit(1)))))
 
 
 def _occurrences(titles: DataFrame, side: str) -> DataFrame:
@@ -38,13 +39,15 @@ def _occurrences(titles: DataFrame, side: str) -> DataFrame:
 
 
 def _weighted_words(words: DataFrame, variations: int, occurrences: int) -> DataFrame:
-    """Attach frequency and weight to every word occurrence.
+    """Attach frequencies (``n`` on both sides, ``df`` among listings) and weight to every word.
 
     At most ``HOT_WORDS`` words reach one part in ``HOT_WORDS`` of all occurrences; those are looked
     up by broadcast. The rest is joined by shuffle, with groups that small by construction.
     """
-    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
-    is_hot = F.col("df") * HOT_WORDS >= occurrences
+    frequency = words.groupBy("word").agg(
+        F.count("*").alias("n"), F.count_if(F.col("side") == "listing").alias("df")
+    )
+    is_hot = F.col("n") * HOT_WORDS >= occurrences
     hot = frequency.where(is_hot)
     hot_part = words.join(F.broadcast(hot), "word")
     cold_part = words.join(F.broadcast(hot), "word", "left_anti").join(
@@ -78,10 +81,10 @@ def _prefixes(words: DataFrame, min_overlap: int) -> DataFrame:
 def _grid(prefixes: DataFrame, tag: str, own: str, other: str, cell_rows: int) -> DataFrame:
     """One side of the prefix join, split into a grid of cells for words many titles share.
 
-    A word found in ``df`` variations is joined in ceil(df / cell_rows) squared cells; each row goes
-    to one line of cells. Both sides know ``df``, so they agree on the grid.
+    A word found in ``n`` variations is joined in ceil(n / cell_rows) squared cells; each row goes
+    to one line of cells. Both sides know ``n``, so they agree on the grid.
     """
-    lines = F.ceil(F.col("df") / F.lit(cell_rows)).cast("int")
+    lines = F.ceil(F.col("n") / F.lit(cell_rows)).cast("int")
     carried = ("id", "variation", "rest", "whole", "words")
     return (
         prefixes.withColumn(own, F.pmod(F.xxhash64("id"), lines).cast("int"))
@@ -137,9 +140,12 @@ def block_by_title(
     Both inputs must be tables that are cheap to read again.
     """
     variations, occurrences = (
-        queries.select("sorted")
-        .union(listings.select("sorted"))
-        .agg(F.count("*"), F.coalesce(F.sum(F.size(token_set(F.col("sorted")))), F.lit(0)))
+        queries.select("sorted", F.lit(0).alias("offered"))
+        .union(listings.select("sorted", F.lit(1)))
+        .agg(
+            F.coalesce(F.sum("offered"), F.lit(0)),
+            F.coalesce(F.sum(F.size(token_set(F.col("sorted")))), F.lit(0)),
+        )
         .first()
     )
     words = _occurrences(queries, "query").union(_occurrences(listings, "listing"))
