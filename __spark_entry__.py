@@ -284,6 +284,10 @@ def link_by_page_at_75(spark: SparkSession, d: str) -> DataFrame:
     return _flat(link(_part_entries(spark, d), _part_listings(spark, d), threshold=75))
 
 
+def link_parts_by_title(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(link(_part_entries(spark, d), _part_listings(spark, d).drop("query_id")))
+
+
 def link_by_title(spark: SparkSession, d: str) -> DataFrame:
     return _flat(link(_wanted(spark, d), _catalogue(spark, d)))
 
@@ -494,6 +498,10 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "link_by_page_at_75": (
             link_by_page_at_75, f"WITH {sql.page_matches(threshold=75)} SELECT * FROM matches",
         ),
+        "link_parts_by_title": (
+            link_parts_by_title, f"WITH {sql.page_matches(by_title=True)} SELECT * FROM matches",
+        ),
+        # Whole sentences of any length: too slow in SQL; see tests/test_link.py for brute force.
         "link_by_title": (link_by_title, None),
         "extract_links": (extract_links, f"{links} SELECT page_id, page_pos, link FROM links"),
         "links_per_page": (

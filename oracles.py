@@ -294,10 +294,47 @@ listings AS (
   FROM parts, (VALUES (0), (1)) AS o(k) WHERE p_type = 'PROMO')"""
 
 
-def page_pairs(author_scores_pairs: bool = False) -> str:
-    """CTEs up to ``scored``: every variation pair of an entry and its page's listings."""
+def candidate_words(queries: str, listings: str, overlap: int = 60) -> str:
+    """CTEs: ``candidates(query_id, listing_id)`` of two title tables, without any prefix filter."""
+    return f"""
+rows_ AS (
+  SELECT 'q' AS side, id, i AS v, list_distinct({tokens('variations[i]')}) AS toks
+  FROM {queries}, unnest(range(1, len(variations) + 1)) AS u(i)
+  UNION ALL
+  SELECT 'l', id, i, list_distinct({tokens('variations[i]')})
+  FROM {listings}, unnest(range(1, len(variations) + 1)) AS u(i)),
+words AS (SELECT side, id, v, unnest(toks) AS word FROM rows_),
+weights AS (SELECT word, length(bin((SELECT count(*) FROM rows_ WHERE side = 'l')
+  // greatest(count(*) FILTER (side = 'l'), 1))) AS weight FROM words GROUP BY word),
+weighted AS (SELECT w.*, weight, sum(weight) OVER (PARTITION BY side, id, v) AS whole
+  FROM words w JOIN weights USING (word)),
+shared AS (
+  SELECT q.id AS query_id, q.v AS qv, l.id AS listing_id, l.v AS lv
+  FROM weighted q JOIN weighted l ON l.word = q.word AND l.side = 'l'
+  WHERE q.side = 'q'
+  GROUP BY ALL
+  HAVING sum(q.weight) * 100 >= greatest(max(q.whole), max(l.whole)) * {overlap}),
+candidates AS (SELECT DISTINCT query_id, listing_id FROM shared)"""
+
+
+def page_pairs(author_scores_pairs: bool = False, by_title: bool = False) -> str:
+    """CTEs up to ``scored``: every variation pair of an entry and the listings it meets.
+
+    Those of its page, or (``by_title``) the first listing of every candidate title.
+    """
     q = title_parts("wanted", "qt")
     l = title_parts("listings", "lt")
+    if by_title:
+        l = f"""firsts AS (SELECT title, min(listing_pos) AS listing_pos, 0 AS query_id,
+            NULL::VARCHAR AS author FROM listings GROUP BY title),
+            {title_parts('firsts', 'lt')},
+            qids AS (SELECT position AS id, variations FROM qt),
+            lids AS (SELECT listing_pos AS id, variations FROM lt),{candidate_words('qids', 'lids')}"""
+    met = (
+        "candidates c JOIN qv q ON q.position = c.query_id JOIN lv l ON l.listing_pos = c.listing_id"
+        if by_title
+        else "qv q JOIN lv l ON l.query_id = q.position"
+    )
     author = token_set_only("measured0", "measured", "pair_author", "l_author", "pair_author_score")
     factor = """ * CASE WHEN pair_author_score / 100.0::DOUBLE > 0.8 THEN 1.2::DOUBLE
         WHEN pair_author_score / 100.0::DOUBLE < 0.4 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END"""
@@ -307,7 +344,7 @@ lv AS (SELECT listing_pos, query_id, author AS l_author, main, i - 1 AS lv, vari
   FROM lt, unnest(range(1, len(variations) + 1)) AS u(i)),
 pairs AS (
   SELECT q.position, q.qv, q.a, q.main AS q_main, l.listing_pos, l.lv, l.b, l.main AS l_main, l.l_author
-  FROM qv q JOIN lv l ON l.query_id = q.position),
+  FROM {met}),
 texts AS (SELECT DISTINCT a, b FROM pairs),
 {similarity('texts', 'compared')},
 {"lookup AS (SELECT title, list(author ORDER BY position DESC)[1] AS pair_author FROM wanted GROUP BY title)," if author_scores_pairs else ""}
@@ -337,14 +374,18 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY position ORDER BY base_score DESC, qv, listing_pos, lv) = 1)"""
 
 
-def page_matches(author_scores_pairs: bool = False, threshold: int = 90) -> str:
+def page_matches(
+    author_scores_pairs: bool = False, threshold: int = 90, by_title: bool = False
+) -> str:
     """CTEs up to ``matches`` with the default settings."""
-    return f"""{page_pairs(author_scores_pairs)},{BEST},
+    own_page = "true" if by_title else "l.query_id = i.position"
+    return f"""{page_pairs(author_scores_pairs, by_title)},{BEST},
 ids AS (SELECT position, {isbn_norm('isbn')} AS q_norm FROM wanted),
 exact AS (
   SELECT position, min(listing_pos) AS listing_pos FROM (
-    SELECT i.position, l.listing_pos FROM ids i JOIN listings l ON l.query_id = i.position
-    WHERE list_contains({variants('q_norm')}, {isbn_norm('l.isbn')})) GROUP BY position),
+    SELECT i.position, l.listing_pos
+    FROM (SELECT position, unnest({variants('q_norm')}) AS form FROM ids) i
+    JOIN listings l ON {isbn_norm('l.isbn')} = i.form WHERE {own_page}) GROUP BY position),
 decided AS (
   SELECT position, listing_pos, NULL::DOUBLE AS base_score FROM exact
   UNION ALL SELECT * FROM best WHERE position NOT IN (SELECT position FROM exact)),
@@ -374,23 +415,8 @@ matches AS (
     AND (base_score IS NULL OR author_score IS NULL OR author_score / 100.0::DOUBLE >= 0.5))"""
 
 
-# Title words of both sides with their weights, without any prefix filter.
 BLOCKS = f"""WITH {WANTED},{CATALOGUE},
 q0 AS (SELECT title, min(position) AS id FROM wanted WHERE title IS NOT NULL GROUP BY title),
 l0 AS (SELECT title, min(listing_pos) AS id FROM catalogue GROUP BY title),
-{title_parts('q0', 'qt')},{title_parts('l0', 'lt')},
-rows_ AS (
-  SELECT 'q' AS side, id, i AS v, list_distinct({tokens('variations[i]')}) AS toks FROM qt, unnest(range(1, len(variations) + 1)) AS u(i)
-  UNION ALL
-  SELECT 'l', id, i, list_distinct({tokens('variations[i]')}) FROM lt, unnest(range(1, len(variations) + 1)) AS u(i)),
-words AS (SELECT side, id, v, unnest(toks) AS word FROM rows_),
-weights AS (SELECT word, length(bin((SELECT count(*) FROM rows_ WHERE side = 'l')
-  // greatest(count(*) FILTER (side = 'l'), 1))) AS weight FROM words GROUP BY word),
-weighted AS (SELECT w.*, weight, sum(weight) OVER (PARTITION BY side, id, v) AS whole FROM words w JOIN weights USING (word)),
-shared AS (
-  SELECT q.id AS query_id, q.v AS qv, l.id AS listing_id, l.v AS lv
-  FROM weighted q JOIN weighted l ON l.word = q.word AND l.side = 'l'
-  WHERE q.side = 'q'
-  GROUP BY ALL
-  HAVING sum(q.weight) * 100 >= greatest(max(q.whole), max(l.whole)) * 60)
-SELECT DISTINCT query_id, listing_id FROM shared"""
+{title_parts('q0', 'qt')},{title_parts('l0', 'lt')},{candidate_words('qt', 'lt')}
+SELECT query_id, listing_id FROM candidates"""

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 WORD_BITS = 64
 CELLS_PER_BLOCK = 1 << 16
+MASKS_PER_BLOCK = 1 << 22
 NEAR_PERFECT = 0.995
 
 
@@ -55,6 +56,10 @@ def _lcs_words(short: list[str], long: list[str]) -> np.ndarray:
     used = np.zeros(max(s.max(initial=0), t.max(initial=0)) + 1, dtype=bool)
     used[s.ravel()] = used[t.ravel()] = used[0] = True
     dense = np.cumsum(used) - 1
+    if dense[-1] * len(short) > MASKS_PER_BLOCK and len(short) > 1:  # many different characters
+        half = len(short) // 2
+        parts = (_lcs_words(short[k], long[k]) for k in (slice(half), slice(half, None)))
+        return np.concatenate(list(parts))
     rows = np.arange(len(short))
     masks = np.zeros((int(dense[-1]) + 1, len(short)), dtype=np.uint64)
     for i, column in enumerate(dense[s]):

@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflink.functions.similarity import token_set
+from shelflink.operators.lookup import lookup_join
 from shelflink.scratch import written
 
 MIN_OVERLAP = 60
 CELL_ROWS = 20_000
 CARRIED_WORDS = 64
 HOT_WORDS = 10_000
+HOT_WORD_LENGTH = 100
 
 
 def word_weight(variations: int) -> Column:
@@ -41,17 +43,23 @@ def _occurrences(titles: DataFrame, side: str) -> DataFrame:
 def _weighted_words(words: DataFrame, variations: int, occurrences: int) -> DataFrame:
     """Attach frequencies (``n`` on both sides, ``df`` among listings) and weight to every word.
 
-    At most ``HOT_WORDS`` words reach one part in ``HOT_WORDS`` of all occurrences; those are looked
-    up by broadcast. The rest is joined by shuffle, with groups that small by construction.
+    At most ``HOT_WORDS`` words reach one part in ``HOT_WORDS`` of all occurrences; those of ordinary
+    length are looked up by broadcast (a few MB at most) and never shuffled. The rest is joined by
+    shuffle.
     """
     frequency = words.groupBy("word").agg(
         F.count("*").alias("n"), F.count_if(F.col("side") == "listing").alias("df")
     )
-    is_hot = F.col("n") * HOT_WORDS >= occurrences
+    is_hot = (F.col("n") * HOT_WORDS >= occurrences) & (F.length("word") <= HOT_WORD_LENGTH)
     hot = frequency.where(is_hot)
     hot_part = words.join(F.broadcast(hot), "word")
-    cold_part = words.join(F.broadcast(hot), "word", "left_anti").join(
-        frequency.where(~is_hot), "word"
+    cold = frequency.where(~is_hot)
+    cold_part = lookup_join(
+        words.join(F.broadcast(hot), "word", "left_anti"),
+        cold,
+        "word",
+        F.col("id"),
+        counts=cold.select("word", "n"),
     )
     return hot_part.unionByName(cold_part).withColumn("weight", word_weight(variations))
 

@@ -2,9 +2,10 @@
 
 A key may hold a third of all rows. Hot keys are found by counting, their rows are spread over
 ``salts`` tasks and the few lookup rows of those keys are repeated once per task; all other keys
-join as usual. Nothing is dropped and nothing large is broadcast: the hot-key list is the only
-broadcast and holds at most ``HOT_SHARE`` keys, because each of them owns at least one part in
-``HOT_SHARE`` of the counted rows.
+join as usual. Nothing is dropped and nothing large is broadcast: the only broadcast is the list of
+hot key hashes, eight bytes each and at most ``HOT_SHARE`` of them, because each hot key owns at
+least one part in ``HOT_SHARE`` of the counted rows. A key that shares a hot key's hash is merely
+spread as well, on both sides alike.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ SALTS = 64
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that own at least ``hot_rows`` rows and one part in ``HOT_SHARE`` of all rows."""
+    """Hashes of keys that own ``hot_rows`` rows or more and one part in ``HOT_SHARE`` of all."""
     total = counts.agg(F.sum(n)).scalar()
-    return counts.where((F.col(n) >= hot_rows) & (F.col(n) * HOT_SHARE >= total)).select(key)
+    hot = counts.where((F.col(n) >= hot_rows) & (F.col(n) * HOT_SHARE >= total))
+    return hot.select(F.xxhash64(key).alias("_hash")).distinct()
 
 
 def lookup_join(
@@ -42,14 +44,16 @@ def lookup_join(
     if counts is None:
         counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     hot = F.broadcast(hot_keys(counts, key, hot_rows=hot_rows).withColumn("_hot", F.lit(True)))
+    hashed = {"_hash": F.xxhash64(key)}
     # NULL keys never match; spreading them keeps a left join from sending them to one task.
     scattered = F.col("_hot") | F.col(key).isNull()
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    salted = rows.join(hot, key, "left").withColumn(
+    salted = rows.withColumns(hashed).join(hot, "_hash", "left").withColumn(
         "_salt", F.when(scattered, salt).otherwise(F.lit(0))
     )
     repeats = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    repeated = lookup.join(hot, key, "left").withColumn(
+    repeated = lookup.withColumns(hashed).join(hot, "_hash", "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), repeats))
     )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    helpers = ("_hot", "_hash")
+    return salted.drop(*helpers).join(repeated.drop(*helpers), [key, "_salt"], how).drop("_salt")
