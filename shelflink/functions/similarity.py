@@ -181,7 +181,8 @@ def clean_for_tokens(text: Column) -> Column:
 
     Latin-1 supplement characters are deleted first, as the measure defines it.
     """
-    ascii_ish = F.regexp_replace(text, r"[\x80-\xFF]", "")
+    plain = F.octet_length(text) == F.length(text)
+    ascii_ish = F.when(plain, text).otherwise(F.regexp_replace(text, r"[\x80-\xFF]", ""))
     return F.trim(F.lower(F.regexp_replace(ascii_ish, r"[^\p{L}\p{N}_]+", " ")))
 
 

@@ -47,8 +47,11 @@ def _weighted_words(words: DataFrame, variations: int, occurrences: int) -> Data
     length are looked up by broadcast (a few MB at most) and never shuffled. The rest is joined by
     shuffle.
     """
-    frequency = words.groupBy("word").agg(
-        F.count("*").alias("n"), F.count_if(F.col("side") == "listing").alias("df")
+    frequency = written(
+        words.groupBy("word").agg(
+            F.count("*").alias("n"), F.count_if(F.col("side") == "listing").alias("df")
+        ),
+        "word-counts",
     )
     is_hot = (F.col("n") * HOT_WORDS >= occurrences) & (F.length("word") <= HOT_WORD_LENGTH)
     hot = frequency.where(is_hot)
@@ -70,13 +73,14 @@ def _prefixes(words: DataFrame, min_overlap: int) -> DataFrame:
     The window runs over the words of one variation, so a partition is one row's own text. Word
     lists are carried for verification on the spot unless the variation is very long.
     """
-    own = Window.partitionBy("id", "variation")
-    frequent_first = own.orderBy(F.desc("df"), F.desc("word"))
+    frequent_first = Window.partitionBy("id", "variation").orderBy(F.desc("df"), F.desc("word"))
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    so_far, own = frequent_first.rowsBetween(start, 0), frequent_first.rowsBetween(start, end)
     code = F.concat(F.lpad(F.col("weight").cast("string"), 2, "0"), F.col("word"))
     return (
         words.withColumns(
             {
-                "rest": F.sum("weight").over(frequent_first),
+                "rest": F.sum("weight").over(so_far),
                 "whole": F.sum("weight").over(own),
                 "_words": F.collect_list(code).over(own),
             }
@@ -117,18 +121,11 @@ def _verify_long(pairs: DataFrame, words: DataFrame, min_overlap: int) -> DataFr
         own = words.where(F.col("side") == name)
         return own.select(*(F.col(c) if c == "word" else F.col(c).alias(tag + c) for c in keep))
 
-    q_words, l_words = side("query", "q_"), side("listing", "l_")
-    q_whole = q_words.groupBy("q_id", "q_variation").agg(F.sum("q_weight").alias("q_whole"))
-    l_whole = l_words.groupBy("l_id", "l_variation").agg(F.sum("l_weight").alias("l_whole"))
-    shared = (
-        pairs.join(q_words, ["q_id", "q_variation"])
-        .join(l_words, ["l_id", "l_variation", "word"])
-        .groupBy("q_id", "q_variation", "l_id", "l_variation")
-        .agg(F.sum("q_weight").alias("shared"))
-    )
     return (
-        shared.join(q_whole, ["q_id", "q_variation"])
-        .join(l_whole, ["l_id", "l_variation"])
+        pairs.join(side("query", "q_"), ["q_id", "q_variation"])
+        .join(side("listing", "l_"), ["l_id", "l_variation", "word"])
+        .groupBy(*pairs.columns)
+        .agg(F.sum("q_weight").alias("shared"))
         .where(_enough(F.col("shared"), min_overlap))
     )
 
@@ -169,14 +166,14 @@ def block_by_title(
     # Everything shared comes at or after the first shared word, on both sides.
     reachable = _enough(F.least("q_rest", "l_rest"), min_overlap)
     carried = F.col("q_words").isNotNull() & F.col("l_words").isNotNull()
+    to_verify = ("q_variation", "l_variation", "q_whole", "l_whole")
     verified = _enough(_shared_weight("q_words", "l_words"), min_overlap)
     pairs = written(
         joined.where(reachable & F.when(carried, verified).otherwise(True))
         .select(
             "q_id",
             "l_id",
-            F.when(~carried, F.col("q_variation")).alias("q_variation"),
-            F.when(~carried, F.col("l_variation")).alias("l_variation"),
+            *(F.when(~carried, F.col(c)).alias(c) for c in to_verify),
         )
         .distinct(),
         "pairs",
