@@ -26,6 +26,7 @@ CELL_ROWS = 20_000
 CARRIED_WORDS = 64
 HOT_WORDS = 10_000
 HOT_WORD_LENGTH = 100
+SPLIT_WORDS = 1_000_000
 
 
 def word_weight(variations: int) -> Column:
@@ -33,50 +34,57 @@ def word_weight(variations: int) -> Column:
     return F.length(F.bin(F.floor(F.lit(variations) / F.greatest("df", F.lit(1)))))
 
 
-def _occurrences(titles: DataFrame, side: str) -> DataFrame:
+def _occurrences(titles: DataFrame) -> DataFrame:
     word = F.explode_outer(token_set(F.col("sorted"))).alias("word")
-    return titles.select(F.lit(side).alias("side"), "id", "variation", word).where(
-        F.col("word").isNotNull()
+    return titles.select("id", "variation", word).where(F.col("word").isNotNull())
+
+
+def _word_counts(queries: DataFrame, listings: DataFrame) -> DataFrame:
+    """Occurrences ``n`` of every word on both sides, and ``df`` among the listings."""
+    both = _occurrences(queries).select("word", F.lit(0).alias("offered"))
+    both = both.union(_occurrences(listings).select("word", F.lit(1)))
+    return written(
+        both.groupBy("word").agg(F.count("*").alias("n"), F.sum("offered").alias("df")),
+        "word-counts",
     )
 
 
-def _weighted_words(words: DataFrame, variations: int, occurrences: int) -> DataFrame:
-    """Attach frequencies (``n`` on both sides, ``df`` among listings) and weight to every word.
+def _weighted_words(words: DataFrame, counts: DataFrame, variations: int, total: int) -> DataFrame:
+    """Attach frequency and weight to every word.
 
     At most ``HOT_WORDS`` words reach one part in ``HOT_WORDS`` of all occurrences; those of ordinary
     length are looked up by broadcast (a few MB at most) and never shuffled. The rest is joined by
     shuffle.
     """
-    frequency = written(
-        words.groupBy("word").agg(
-            F.count("*").alias("n"), F.count_if(F.col("side") == "listing").alias("df")
-        ),
-        "word-counts",
-    )
-    is_hot = (F.col("n") * HOT_WORDS >= occurrences) & (F.length("word") <= HOT_WORD_LENGTH)
-    hot = frequency.where(is_hot)
-    hot_part = words.join(F.broadcast(hot), "word")
-    cold = frequency.where(~is_hot)
+    is_hot = (F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_WORD_LENGTH)
+    hot, cold = F.broadcast(counts.where(is_hot).select("word", "df")), counts.where(~is_hot)
     cold_part = lookup_join(
-        words.join(F.broadcast(hot), "word", "left_anti"),
-        cold,
+        words.join(hot, "word", "left_anti"),
+        cold.select("word", "df"),
         "word",
         F.col("id"),
         counts=cold.select("word", "n"),
     )
-    return hot_part.unionByName(cold_part).withColumn("weight", word_weight(variations))
+    return (
+        words.join(hot, "word")
+        .unionByName(cold_part)
+        .withColumn("weight", word_weight(variations))
+    )
 
 
 def _prefixes(words: DataFrame, min_overlap: int) -> DataFrame:
     """Prefix words per variation, with the weight from that word on and the whole weight.
 
     The window runs over the words of one variation, so a partition is one row's own text. Word
-    lists are carried for verification on the spot unless the variation is very long.
+    lists travel with every prefix word for verification on the spot; those of very long variations
+    only with the first one, to be looked up when needed.
     """
     frequent_first = Window.partitionBy("id", "variation").orderBy(F.desc("df"), F.desc("word"))
     start, end = Window.unboundedPreceding, Window.unboundedFollowing
     so_far, own = frequent_first.rowsBetween(start, 0), frequent_first.rowsBetween(start, end)
     code = F.concat(F.lpad(F.col("weight").cast("string"), 2, "0"), F.col("word"))
+    is_first = F.col("rest") == F.col("whole")
+    is_short = F.size("_words") <= CARRIED_WORDS
     return (
         words.withColumns(
             {
@@ -86,20 +94,40 @@ def _prefixes(words: DataFrame, min_overlap: int) -> DataFrame:
             }
         )
         .where(F.col("rest") * 100 >= F.col("whole") * min_overlap)
-        .withColumn("words", F.when(F.size("_words") <= CARRIED_WORDS, F.col("_words")))
+        .select(
+            "word",
+            "id",
+            "variation",
+            "rest",
+            "whole",
+            F.when(is_short, F.col("_words")).alias("words"),
+            F.when(is_first & ~is_short, F.col("_words")).alias("long_words"),
+        )
     )
 
 
-def _grid(prefixes: DataFrame, tag: str, own: str, other: str, cell_rows: int) -> DataFrame:
+def _crowded_words(prefixes: DataFrame, cell_rows: int) -> DataFrame:
+    """Hashes of prefix words with more than a cell of rows, and how many lines of cells they get.
+
+    At most ``SPLIT_WORDS`` words can have that many rows, so the list is small enough to broadcast.
+    """
+    cell = max(cell_rows, -(-prefixes.count() // SPLIT_WORDS))
+    crowded = prefixes.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > cell)
+    lines = F.ceil(F.max("m") / F.lit(cell)).cast("int")
+    return F.broadcast(crowded.groupBy(F.xxhash64("word").alias("_hash")).agg(lines.alias("_lines")))
+
+
+def _grid(prefixes: DataFrame, crowded: DataFrame, tag: str, own: str, other: str) -> DataFrame:
     """One side of the prefix join, split into a grid of cells for words many titles share.
 
-    A word found in ``n`` variations is joined in ceil(n / cell_rows) squared cells; each row goes
-    to one line of cells. Both sides know ``n``, so they agree on the grid.
+    A word with L lines is joined in L x L cells; each row goes to one line of them.
     """
-    lines = F.ceil(F.col("n") / F.lit(cell_rows)).cast("int")
+    lines = F.coalesce("_lines", F.lit(1))
     carried = ("id", "variation", "rest", "whole", "words")
     return (
-        prefixes.withColumn(own, F.pmod(F.xxhash64("id"), lines).cast("int"))
+        prefixes.withColumn("_hash", F.xxhash64("word"))
+        .join(crowded, "_hash", "left")
+        .withColumn(own, F.pmod(F.xxhash64("id"), lines).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), lines - 1)))
         .select("word", "_row", "_column", *(F.col(c).alias(tag + c) for c in carried))
     )
@@ -113,27 +141,29 @@ def _shared_weight(left: str, right: str) -> Column:
     )
 
 
-def _verify_long(pairs: DataFrame, words: DataFrame, min_overlap: int) -> DataFrame:
-    """Shared weight of pairs with a very long variation, by joining their words."""
-    keep = ("id", "variation", "word", "weight")
+def _enough(shared: Column, min_overlap: int) -> Column:
+    return shared * 100 >= F.greatest("q_whole", "l_whole") * min_overlap
+
 
-    def side(name: str, tag: str) -> DataFrame:
-        own = words.where(F.col("side") == name)
-        return own.select(*(F.col(c) if c == "word" else F.col(c).alias(tag + c) for c in keep))
+def _verify_long(
+    pairs: DataFrame, q_prefixes: DataFrame, l_prefixes: DataFrame, min_overlap: int
+) -> DataFrame:
+    """Pairs with a very long variation, verified on word lists looked up by variation."""
+
+    def word_lists(prefixes: DataFrame, tag: str) -> DataFrame:
+        return prefixes.where(F.col("rest") == F.col("whole")).select(
+            F.col("id").alias(f"{tag}id"),
+            F.col("variation").alias(f"{tag}variation"),
+            F.coalesce("words", "long_words").alias(f"{tag}words"),
+        )
 
     return (
-        pairs.join(side("query", "q_"), ["q_id", "q_variation"])
-        .join(side("listing", "l_"), ["l_id", "l_variation", "word"])
-        .groupBy(*pairs.columns)
-        .agg(F.sum("q_weight").alias("shared"))
-        .where(_enough(F.col("shared"), min_overlap))
+        pairs.join(word_lists(q_prefixes, "q_"), ["q_id", "q_variation"])
+        .join(word_lists(l_prefixes, "l_"), ["l_id", "l_variation"])
+        .where(_enough(_shared_weight("q_words", "l_words"), min_overlap))
     )
 
 
-def _enough(shared: Column, min_overlap: int) -> Column:
-    return shared * 100 >= F.greatest("q_whole", "l_whole") * min_overlap
-
-
 def block_by_title(
     queries: DataFrame,
     listings: DataFrame,
@@ -144,24 +174,21 @@ def block_by_title(
 
     Both inputs must be tables that are cheap to read again.
     """
-    variations, occurrences = (
-        queries.select("sorted", F.lit(0).alias("offered"))
-        .union(listings.select("sorted", F.lit(1)))
-        .agg(
-            F.coalesce(F.sum("offered"), F.lit(0)),
-            F.coalesce(F.sum(F.size(token_set(F.col("sorted")))), F.lit(0)),
-        )
-        .first()
-    )
-    words = _occurrences(queries, "query").union(_occurrences(listings, "listing"))
-    words = written(_weighted_words(words, variations, occurrences), "words")
+    counts = _word_counts(queries, listings)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    variations = listings.count()
 
-    def side(name: str, tag: str, own: str, other: str) -> DataFrame:
-        prefixes = _prefixes(words.where(F.col("side") == name), min_overlap)
-        return _grid(prefixes, tag, own, other, cell_rows)
+    def prefixes_of(titles: DataFrame, side: str) -> DataFrame:
+        words = _weighted_words(_occurrences(titles), counts, variations, total)
+        return _prefixes(words, min_overlap).withColumn("side", F.lit(side))
 
-    joined = side("query", "q_", "_row", "_column").join(
-        side("listing", "l_", "_column", "_row"), ["word", "_row", "_column"]
+    prefixes = written(
+        prefixes_of(queries, "query").unionByName(prefixes_of(listings, "listing")), "prefixes"
+    )
+    q_prefixes, l_prefixes = (prefixes.where(F.col("side") == s) for s in ("query", "listing"))
+    crowded = _crowded_words(prefixes, cell_rows)
+    joined = _grid(q_prefixes, crowded, "q_", "_row", "_column").join(
+        _grid(l_prefixes, crowded, "l_", "_column", "_row"), ["word", "_row", "_column"]
     )
     # Everything shared comes at or after the first shared word, on both sides.
     reachable = _enough(F.least("q_rest", "l_rest"), min_overlap)
@@ -170,19 +197,16 @@ def block_by_title(
     verified = _enough(_shared_weight("q_words", "l_words"), min_overlap)
     pairs = written(
         joined.where(reachable & F.when(carried, verified).otherwise(True))
-        .select(
-            "q_id",
-            "l_id",
-            *(F.when(~carried, F.col(c)).alias(c) for c in to_verify),
-        )
+        .select("q_id", "l_id", *(F.when(~carried, F.col(c)).alias(c) for c in to_verify))
         .distinct(),
         "pairs",
     )
     open_pairs = pairs.where(F.col("q_variation").isNotNull())
+    long = _verify_long(open_pairs, q_prefixes, l_prefixes, min_overlap)
     return (
         pairs.where(F.col("q_variation").isNull())
         .select("q_id", "l_id")
-        .union(_verify_long(open_pairs, words, min_overlap).select("q_id", "l_id"))
+        .union(long.select("q_id", "l_id"))
         .distinct()
         .select(F.col("q_id").alias("query_id"), F.col("l_id").alias("listing_id"))
     )
