@@ -72,47 +72,51 @@ def _weighted_words(words: DataFrame, counts: DataFrame, variations: int, total:
     )
 
 
-def _prefixes(words: DataFrame, min_overlap: int) -> DataFrame:
-    """Prefix words per variation, with the weight from that word on and the whole weight.
+def _word_lists(words: DataFrame) -> DataFrame:
+    """One row per variation: ``entries(code, rest)`` of its words and the ``whole`` weight.
 
-    The window runs over the words of one variation, so a partition is one row's own text. Word
-    lists travel with every prefix word for verification on the spot; those of very long variations
-    only with the first one, to be looked up when needed.
+    ``code`` is the weight in two digits and the word; ``rest`` the weight of the word and all more
+    frequent ones. A group is one row's own text, and window and aggregate share one shuffle.
     """
     frequent_first = Window.partitionBy("id", "variation").orderBy(F.desc("df"), F.desc("word"))
-    start, end = Window.unboundedPreceding, Window.unboundedFollowing
-    so_far, own = frequent_first.rowsBetween(start, 0), frequent_first.rowsBetween(start, end)
-    code = F.concat(F.lpad(F.col("weight").cast("string"), 2, "0"), F.col("word"))
-    is_first = F.col("rest") == F.col("whole")
-    is_short = F.size("_words") <= CARRIED_WORDS
+    so_far = frequent_first.rowsBetween(Window.unboundedPreceding, 0)
+    code = F.concat(F.lpad(F.col("weight").cast("string"), 2, "0"), F.col("word")).alias("code")
     return (
-        words.withColumns(
-            {
-                "rest": F.sum("weight").over(so_far),
-                "whole": F.sum("weight").over(own),
-                "_words": F.collect_list(code).over(own),
-            }
+        words.withColumn("rest", F.sum("weight").over(so_far).cast("int"))
+        .groupBy("id", "variation")
+        .agg(
+            F.sum("weight").cast("int").alias("whole"),
+            F.collect_list(F.struct(code, "rest")).alias("entries"),
         )
-        .where(F.col("rest") * 100 >= F.col("whole") * min_overlap)
+    )
+
+
+def _prefixes(lists: DataFrame, min_overlap: int) -> DataFrame:
+    """One row per prefix word; word lists travel along unless the variation is very long."""
+    carried = F.when(F.size("entries") <= CARRIED_WORDS, F.col("entries.code"))
+    return (
+        lists.select(
+            "id", "variation", "whole", carried.alias("words"), F.explode_outer("entries").alias("e")
+        )
+        .where(F.col("e.rest").cast("long") * 100 >= F.col("whole").cast("long") * min_overlap)
         .select(
-            "word",
+            F.substring("e.code", 3, 1 << 30).alias("word"),
             "id",
             "variation",
-            "rest",
-            "whole",
-            F.when(is_short, F.col("_words")).alias("words"),
-            F.when(is_first & ~is_short, F.col("_words")).alias("long_words"),
+            F.col("e.rest").cast("long").alias("rest"),
+            F.col("whole").cast("long").alias("whole"),
+            "words",
         )
     )
 
 
-def _crowded_words(prefixes: DataFrame, cell_rows: int) -> DataFrame:
+def _crowded_words(words: DataFrame, occurrences: int, cell_rows: int) -> DataFrame:
     """Hashes of prefix words with more than a cell of rows, and how many lines of cells they get.
 
     At most ``SPLIT_WORDS`` words can have that many rows, so the list is small enough to broadcast.
     """
-    cell = max(cell_rows, -(-prefixes.count() // SPLIT_WORDS))
-    crowded = prefixes.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > cell)
+    cell = max(cell_rows, -(-occurrences // SPLIT_WORDS))
+    crowded = words.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > cell)
     lines = F.ceil(F.max("m") / F.lit(cell)).cast("int")
     return F.broadcast(crowded.groupBy(F.xxhash64("word").alias("_hash")).agg(lines.alias("_lines")))
 
@@ -146,20 +150,20 @@ def _enough(shared: Column, min_overlap: int) -> Column:
 
 
 def _verify_long(
-    pairs: DataFrame, q_prefixes: DataFrame, l_prefixes: DataFrame, min_overlap: int
+    pairs: DataFrame, q_lists: DataFrame, l_lists: DataFrame, min_overlap: int
 ) -> DataFrame:
     """Pairs with a very long variation, verified on word lists looked up by variation."""
 
-    def word_lists(prefixes: DataFrame, tag: str) -> DataFrame:
-        return prefixes.where(F.col("rest") == F.col("whole")).select(
+    def tagged(lists: DataFrame, tag: str) -> DataFrame:
+        return lists.select(
             F.col("id").alias(f"{tag}id"),
             F.col("variation").alias(f"{tag}variation"),
-            F.coalesce("words", "long_words").alias(f"{tag}words"),
+            F.col("entries.code").alias(f"{tag}words"),
         )
 
     return (
-        pairs.join(word_lists(q_prefixes, "q_"), ["q_id", "q_variation"])
-        .join(word_lists(l_prefixes, "l_"), ["l_id", "l_variation"])
+        pairs.join(tagged(q_lists, "q_"), ["q_id", "q_variation"])
+        .join(tagged(l_lists, "l_"), ["l_id", "l_variation"])
         .where(_enough(_shared_weight("q_words", "l_words"), min_overlap))
     )
 
@@ -178,15 +182,14 @@ def block_by_title(
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     variations = listings.count()
 
-    def prefixes_of(titles: DataFrame, side: str) -> DataFrame:
+    def lists_of(titles: DataFrame, name: str) -> DataFrame:
         words = _weighted_words(_occurrences(titles), counts, variations, total)
-        return _prefixes(words, min_overlap).withColumn("side", F.lit(side))
+        return written(_word_lists(words), name)
 
-    prefixes = written(
-        prefixes_of(queries, "query").unionByName(prefixes_of(listings, "listing")), "prefixes"
-    )
-    q_prefixes, l_prefixes = (prefixes.where(F.col("side") == s) for s in ("query", "listing"))
-    crowded = _crowded_words(prefixes, cell_rows)
+    q_lists, l_lists = lists_of(queries, "entry-words"), lists_of(listings, "listing-words")
+    q_prefixes, l_prefixes = (_prefixes(lists, min_overlap) for lists in (q_lists, l_lists))
+    words = q_prefixes.select("word").union(l_prefixes.select("word"))
+    crowded = _crowded_words(words, total, cell_rows)
     joined = _grid(q_prefixes, crowded, "q_", "_row", "_column").join(
         _grid(l_prefixes, crowded, "l_", "_column", "_row"), ["word", "_row", "_column"]
     )
@@ -202,7 +205,7 @@ def block_by_title(
         "pairs",
     )
     open_pairs = pairs.where(F.col("q_variation").isNotNull())
-    long = _verify_long(open_pairs, q_prefixes, l_prefixes, min_overlap)
+    long = _verify_long(open_pairs, q_lists, l_lists, min_overlap)
     return (
         pairs.where(F.col("q_variation").isNull())
         .select("q_id", "l_id")
