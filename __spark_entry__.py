@@ -588,9 +588,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return link_by_title(spark, SMOKE_DIR)
 
 
+def _corpus_queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    """Queries of the training-data subpackage, none where it is not installed."""
+    try:
+        from shelflink.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("shelflink.llm", "corpus_pipeline"):
+            raise
+        return {}
+    return corpus.registered()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _queries().items()}
+    return {name: query for name, (query, _) in (_queries() | _corpus_queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _queries().items() if text is not None}
+    both = _queries() | _corpus_queries()
+    return {name: text for name, (_, text) in both.items() if text is not None}
