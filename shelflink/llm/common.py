@@ -38,15 +38,22 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._read(df, path)
+
+    def _read(self, like: DataFrame, path: str) -> DataFrame:
+        out = self.spark.read.schema(like.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def again(self, df: DataFrame) -> DataFrame:
+        """The written table ``df`` with columns of its own, to be joined with itself."""
+        return self._read(df, df.scratch_path)
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete the tables behind ``frames``; nothing may read them afterwards."""
-        jvm = self.spark._jvm
+        """Delete the tables that ``put`` made; nothing may read them afterwards."""
         for frame in frames:
-            for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_total(scratch: Scratch, rows: DataFrame, value: str, order: list[str], total: str) -> DataFrame:

@@ -37,3 +37,26 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM tokens),
+classes AS (SELECT s, min(doc_id) AS leader, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT leader, n, hash(unnest(s)) AS shingle FROM classes),
+common AS (
+  SELECT x.leader AS a, y.leader AS b, x.n AS na, y.n AS nb, count(*) AS n_both
+  FROM members x JOIN members y ON x.shingle = y.shingle AND x.leader < y.leader
+    AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT leader AS node, leader AS low FROM classes
+  UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.node AND r.low < e.b),
+ids AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN ids ON ids.node = classes.leader
+"""

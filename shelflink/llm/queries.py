@@ -12,6 +12,7 @@ from shelflink.llm import oracles
 from shelflink.llm.common import table
 from shelflink.llm.exact_dedup import exact_groups
 from shelflink.llm.mixing import mix
+from shelflink.llm.near_dedup import near_duplicates
 
 # Workers need not have this folder on their path.
 cloudpickle.register_pickle_by_value(shelflink.llm)
@@ -25,8 +26,13 @@ def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_groups(table(spark, d, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "documents"), words=2)
+
+
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
         "op3_exact_dedup": (op3_exact_dedup, oracles.EXACT_DEDUP),
+        "op8_near_dedup": (op8_near_dedup, oracles.NEAR_DEDUP),
     }
