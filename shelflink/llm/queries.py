@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 import shelflink.llm
 from shelflink.llm import oracles
 from shelflink.llm.common import table
 from shelflink.llm.exact_dedup import exact_groups
 from shelflink.llm.mixing import mix
 from shelflink.llm.near_dedup import near_duplicates
+from shelflink.llm.quality_classifier import scored as quality_scored
+from shelflink.llm.sentence_pieces import encoded_and_checked
 
 # Workers need not have this folder on their path.
 cloudpickle.register_pickle_by_value(shelflink.llm)
+cloudpickle.register_pickle_by_value(corpus_pipeline)
 
 
 def op1_source_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -26,13 +30,24 @@ def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_groups(table(spark, d, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return encoded_and_checked(table(spark, d, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"), words=2)
 
 
+def op9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality_scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
         "op3_exact_dedup": (op3_exact_dedup, oracles.EXACT_DEDUP),
+        "op5_sentence_pieces": (op5_sentence_pieces, None),
         "op8_near_dedup": (op8_near_dedup, oracles.NEAR_DEDUP),
+        "op9_quality": (op9_quality, None),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
