@@ -15,6 +15,8 @@ from shelflink.llm.exact_dedup import exact_groups
 from shelflink.llm.mixing import mix
 from shelflink.llm.near_dedup import near_duplicates
 from shelflink.llm.quality_classifier import scored as quality_scored
+from shelflink.llm.quality_rules import judged
+from shelflink.llm.secrets import secret_digests
 from shelflink.llm.sentence_pieces import encoded_and_checked
 
 # Workers need not have this folder on their path.
@@ -34,6 +36,14 @@ def op5_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
     return encoded_and_checked(table(spark, d, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "documents"))
+
+
+def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secret_digests(table(spark, d, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"), words=2)
 
@@ -47,6 +57,8 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
         "op3_exact_dedup": (op3_exact_dedup, oracles.EXACT_DEDUP),
         "op5_sentence_pieces": (op5_sentence_pieces, None),
+        "op6_quality_rules": (op6_quality_rules, None),
+        "op7_secrets": (op7_secrets, None),
         "op8_near_dedup": (op8_near_dedup, oracles.NEAR_DEDUP),
         "op9_quality": (op9_quality, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
