@@ -185,20 +185,15 @@ def secrets(docs: DataFrame) -> DataFrame:
 def secret_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
 
+    def tagged(kind: str) -> Column:
+        number = F.lit(KINDS.index(kind)).alias("n")
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), number, x["end"].alias("end")))
+
     def listed(*kinds: str) -> Column:
-        tagged = F.concat(
-            *[
-                F.transform(
-                    k,
-                    lambda x, n=KINDS.index(k): F.struct(x["start"].alias("start"), F.lit(n).alias("n"), x["end"].alias("end")),
-                )
-                for k in kinds
-            ]
-        )
         names = F.array(*map(F.lit, KINDS))
         return F.array_join(
             F.transform(
-                F.sort_array(tagged), lambda x: F.concat_ws(":", F.get(names, x["n"]), x["start"], x["end"])
+                F.sort_array(F.concat(*map(tagged, kinds))), lambda x: F.concat_ws(":", F.get(names, x["n"]), x["start"], x["end"])
             ),
             ",",
         )
