@@ -18,6 +18,7 @@ from shelflink.llm.quality_classifier import scored as quality_scored
 from shelflink.llm.quality_rules import judged
 from shelflink.llm.secrets import secret_digests
 from shelflink.llm.sentence_pieces import encoded_and_checked
+from shelflink.llm.toxicity import scored as toxicity_scored
 
 # Workers need not have this folder on their path.
 cloudpickle.register_pickle_by_value(shelflink.llm)
@@ -52,6 +53,10 @@ def op9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity_scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
@@ -61,5 +66,6 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op7_secrets": (op7_secrets, None),
         "op8_near_dedup": (op8_near_dedup, oracles.NEAR_DEDUP),
         "op9_quality": (op9_quality, None),
+        "op10_toxicity": (op10_toxicity, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
