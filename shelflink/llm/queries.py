@@ -12,6 +12,8 @@ import shelflink.llm
 from shelflink.llm import oracles
 from shelflink.llm.common import table
 from shelflink.llm.exact_dedup import exact_groups
+from shelflink.llm.html_text import extract_text
+from shelflink.llm.licenses import license_scan
 from shelflink.llm.mixing import mix
 from shelflink.llm.near_dedup import near_duplicates
 from shelflink.llm.quality_classifier import scored as quality_scored
@@ -29,10 +31,18 @@ def op1_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan(table(spark, d, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_groups(table(spark, d, "documents"))
 
 
+def op4_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return extract_text(table(spark, d, "pages"))
+
+
 def op5_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
     return encoded_and_checked(table(spark, d, "documents"))
 
@@ -60,7 +70,9 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
+        "op2_licenses": (op2_licenses, None),
         "op3_exact_dedup": (op3_exact_dedup, oracles.EXACT_DEDUP),
+        "op4_html_text": (op4_html_text, None),
         "op5_sentence_pieces": (op5_sentence_pieces, None),
         "op6_quality_rules": (op6_quality_rules, None),
         "op7_secrets": (op7_secrets, None),
