@@ -16,8 +16,6 @@ two documents. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -208,12 +206,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "exact-kept")
     groups = scratch.put(exact_groups(docs), "groups")
-    kept = groups.where("kept").select(
-        F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha")
+    kept = groups.where("kept").select("doc_id", F.col("text_sha256").alias("sha"))
+    # Whole rows in one column, so no name can clash.
+    rows = docs.where("doc_id IS NOT NULL").select(
+        F.struct("*").alias("row"), "doc_id", F.sha2(text_of(), 256).alias("sha")
     )
-    ids = docs.where("doc_id IS NOT NULL").withColumn("_sha", F.sha2(text_of(), 256))
-    out = ids.join(kept.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (ids["_sha"] == kept["_sha"]), "left_semi")
-    out = out.drop("_sha")
+    out = rows.join(kept.hint("shuffle_hash"), ["doc_id", "sha"], "left_semi")
     # Only a table that repeats whole rows needs a second look at them.
-    documents = docs.where("doc_id IS NOT NULL").count()
-    return out if documents == groups.count() else out.dropDuplicates(["doc_id", "text"])
+    if docs.where("doc_id IS NOT NULL").count() != groups.count():
+        out = out.dropDuplicates(["doc_id", "sha"])
+    return out.select("row.*")

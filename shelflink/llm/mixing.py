@@ -106,9 +106,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     copies = mix(docs, **options).where("copies > 0").groupBy("doc_id", "mark").agg(F.max("copies").alias("_copies"))
-    copies = scratch.put(copies, "copies").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "_copies")
-    marked = docs.withColumn("_text_mark", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(copies["_doc"]) & (marked["_text_mark"] == copies["_mark"])
-    joined = marked.join(copies.hint("shuffle_hash"), same)
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = scratch.put(copies, "copies")
+    # Whole rows in one column, so no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("mark"))
+    same = rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["mark"] == copies["mark"])
+    joined = rows.join(copies.hint("shuffle_hash"), same).select("row", "_copies")
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select("row.*")

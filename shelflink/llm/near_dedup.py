@@ -329,6 +329,7 @@ def _crossing(
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component; same columns. Rows without ``doc_id`` go."""
     scratch = Scratch(docs.sparkSession, "near-kept")
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    kept = scratch.put(kept, "kept")
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_doc"], "left_semi")
+    kept = scratch.put(near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct(), "kept")
+    # Whole rows in one column, so no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select("row.*")

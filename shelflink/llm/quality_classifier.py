@@ -205,5 +205,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject; same columns."""
-    rated = docs.withColumn("_quality_score", quality_score(fit_quality(docs, labels)))
-    return rated.where(F.col("_quality_score") >= THRESHOLD).drop("_quality_score")
+    score = quality_score(fit_quality(docs, labels)).alias("score")
+    # Whole rows in one column, so no name can clash.
+    return docs.select(F.struct("*").alias("row"), score).where(F.col("score") >= THRESHOLD).select("row.*")

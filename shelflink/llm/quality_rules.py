@@ -136,8 +136,9 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass all rules, with the same columns."""
     order = tuple(rule_order(docs, rules))
-    judged = _apply(docs.withColumn("_text", text_of()), order, set())
-    return judged.where("_rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Whole rows in one column, so no name can clash.
+    rows = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
+    return _apply(rows, order, set()).where("_rejected_by IS NULL").select("_row.*")
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -156,7 +156,7 @@ class Decoder:
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
-    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``."""
+    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``, in place of any of these names."""
     pieces = load_pieces(path, scores)
 
     @F.pandas_udf("array<int>")
