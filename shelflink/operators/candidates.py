@@ -26,7 +26,8 @@ CELL_ROWS = 20_000
 CARRIED_WORDS = 64
 HOT_WORDS = 10_000
 HOT_WORD_LENGTH = 100
-SPLIT_WORDS = 1_000_000
+#: Crowded words whose lines are broadcast (24 bytes each); a longer list is joined by shuffle.
+BROADCAST_WORDS = 500_000
 
 
 def word_weight(variations: int) -> Column:
@@ -110,30 +111,44 @@ def _prefixes(lists: DataFrame, min_overlap: int) -> DataFrame:
     )
 
 
-def _crowded_words(words: DataFrame, occurrences: int, cell_rows: int) -> DataFrame:
-    """Hashes of prefix words with more than a cell of rows, and how many lines of cells they get.
+def _crowded_words(q_prefixes: DataFrame, l_prefixes: DataFrame, cell_rows: int) -> DataFrame:
+    """Hashes of prefix words with more than ``cell_rows`` rows on a side, and the lines of each side.
 
-    At most ``SPLIT_WORDS`` words can have that many rows, so the list is small enough to broadcast.
+    A side without the word has no lines, so the other side's rows of that word meet nobody and go.
     """
-    cell = max(cell_rows, -(-occurrences // SPLIT_WORDS))
-    crowded = words.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > cell)
-    lines = F.ceil(F.max("m") / F.lit(cell)).cast("int")
-    return F.broadcast(crowded.groupBy(F.xxhash64("word").alias("_hash")).agg(lines.alias("_lines")))
+    sides = q_prefixes.select("word", F.lit(1).alias("q"), F.lit(0).alias("l")).union(
+        l_prefixes.select("word", F.lit(0), F.lit(1))
+    )
+    counts = sides.groupBy("word").agg(F.sum("q").alias("q"), F.sum("l").alias("l"))
+    lines = {f"_{side}_lines": F.ceil(F.max(side) / F.lit(cell_rows)).cast("int") for side in "ql"}
+    crowded = counts.where(F.greatest("q", "l") > cell_rows)
+    return crowded.groupBy(F.xxhash64("word").alias("_word_hash")).agg(
+        *(c.alias(n) for n, c in lines.items()), F.max(F.greatest("q", "l")).alias("n")
+    )
 
 
-def _grid(prefixes: DataFrame, crowded: DataFrame, tag: str, own: str, other: str) -> DataFrame:
+def _grid(prefixes: DataFrame, crowded: DataFrame, few: bool, tag: str, other: str, cell_rows: int) -> DataFrame:
     """One side of the prefix join, split into a grid of cells for words many titles share.
 
-    A word with L lines is joined in L x L cells; each row goes to one line of them.
+    A word with Q lines of entries and L lines of listings is joined in Q x L cells of at most about
+    ``cell_rows`` x ``cell_rows``. A row goes to one line of its own side and is repeated for the lines
+    of the other side only: a word of one entry and any number of listings repeats nothing.
     """
-    lines = F.coalesce("_lines", F.lit(1))
     carried = ("id", "variation", "rest", "whole", "words")
+    hashed = prefixes.withColumn("_word_hash", F.xxhash64("word"))
+    lines = crowded.drop("n")
+    if few:
+        placed = hashed.join(F.broadcast(lines), "_word_hash", "left")
+    else:
+        placed = lookup_join(
+            hashed, lines, "_word_hash", F.col("id"), how="left", counts=crowded.select("_word_hash", "n"), hot_rows=cell_rows
+        )
+    own_lines, other_lines = (F.coalesce(f"_{side}_lines", F.lit(1)) for side in (tag, other))
+    every = F.when(other_lines > 0, F.sequence(F.lit(0), other_lines - 1))
     return (
-        prefixes.withColumn("_hash", F.xxhash64("word"))
-        .join(crowded, "_hash", "left")
-        .withColumn(own, F.pmod(F.xxhash64("id"), lines).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), lines - 1)))
-        .select("word", "_row", "_column", *(F.col(c).alias(tag + c) for c in carried))
+        placed.withColumn(f"_{tag}_line", F.pmod(F.xxhash64("id"), own_lines).cast("int"))
+        .withColumn(f"_{other}_line", F.explode(every))
+        .select("word", "_q_line", "_l_line", *(F.col(c).alias(f"{tag}_{c}") for c in carried))
     )
 
 
@@ -188,10 +203,10 @@ def block_by_title(
 
     q_lists, l_lists = lists_of(queries, "entry-words"), lists_of(listings, "listing-words")
     q_prefixes, l_prefixes = (_prefixes(lists, min_overlap) for lists in (q_lists, l_lists))
-    words = q_prefixes.select("word").union(l_prefixes.select("word"))
-    crowded = _crowded_words(words, total, cell_rows)
-    joined = _grid(q_prefixes, crowded, "q_", "_row", "_column").join(
-        _grid(l_prefixes, crowded, "l_", "_column", "_row"), ["word", "_row", "_column"]
+    crowded = written(_crowded_words(q_prefixes, l_prefixes, cell_rows), "crowded-words")
+    few = crowded.count() <= BROADCAST_WORDS
+    joined = _grid(q_prefixes, crowded, few, "q", "l", cell_rows).join(
+        _grid(l_prefixes, crowded, few, "l", "q", cell_rows), ["word", "_q_line", "_l_line"]
     )
     # Everything shared comes at or after the first shared word, on both sides.
     reachable = _enough(F.least("q_rest", "l_rest"), min_overlap)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelflink.functions.ids import is_valid_isbn
 from shelflink.functions.titles import with_variations
+from shelflink.operators import candidates
 from shelflink.operators.candidates import block_by_title
 from shelflink.operators.lookup import hot_keys, lookup_join
 from shelflink.operators.scoring import FLOOR_RULES, check_weights, least_base_percent
@@ -190,6 +191,20 @@ def test_blocking_is_complete_for_long_and_frequent_words(spark):
     assert any(len(titles_q[i].split()) > 64 for i, _ in want)
 
 
+@pytest.mark.parametrize("entries", [0, 1])
+def test_one_sided_hot_words_repeat_no_rows(spark, entries):
+    rows = spark.range(100_000).select("id", F.lit("hot").alias("word"), F.lit(1).alias("variation"))
+    full = rows.selectExpr("word", "id", "variation", "1L AS rest", "1L AS whole", "array(word) AS words")
+    few = full.where(F.col("id") < entries)
+    crowded = candidates._crowded_words(few, full, 2000)
+    for broadcast in (True, False):
+        listings = candidates._grid(full, crowded, broadcast, "l", "q", 2000)
+        wanted = candidates._grid(few, crowded, broadcast, "q", "l", 2000)
+        assert listings.count() == 100_000 * entries
+        assert wanted.count() == 50 * entries
+        assert listings.join(wanted, ["word", "_q_line", "_l_line"]).count() == 100_000 * entries
+
+
 def test_matches_fall_as_threshold_rises(spark):
     entries, listings = make_rows(6, 100, 150)
     e, l = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(listings, LISTING)
