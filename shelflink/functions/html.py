@@ -39,8 +39,9 @@ ENTITIES = {
 VOID = ("area", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr")
 AMPERSAND = "&(?:amp|#0*38|#[xX]0*26);"
 NUMERIC = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: A quote opens a string only where a value starts.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
+VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>]++)"""
 
 
 def _code_point(entity: Column) -> Column:
@@ -82,8 +83,12 @@ def without_hidden(html: Column) -> Column:
 
 
 def elements(html: Column, tag: str) -> Column:
-    """All ``<tag ...>...</tag>`` fragments in order, for tags that cannot nest."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{ATTRIBUTES}>.*?</{tag}\s*>"), F.lit(0))
+    """Fragments from every ``<tag ...>`` to the next end or start of that tag, in order.
+
+    An element left open ends where the next one starts.
+    """
+    pattern = rf"(?is)<{tag}\b{ATTRIBUTES}>(?:(?!<{tag}\b).)*?(?:</{tag}\s*>|(?=<{tag}\b))"
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
 def tags_with(html: Column, tag: str, attribute: str) -> Column:
@@ -94,14 +99,20 @@ def tags_with(html: Column, tag: str, attribute: str) -> Column:
     )
 
 
+def _before(name: str) -> str:
+    """Pattern of a tag's start up to its first attribute ``name``, whole attributes at a time."""
+    other = rf"(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+{VALUE.replace('(', '(?:', 1)})?+"
+    return rf"(?is)^<[\w:-]++(?:[\s/]++{other})*+[\s/]++{name}"
+
+
 def has_attribute(tag: Column, attribute: str) -> Column:
-    return tag.rlike(rf"(?is)\s{attribute}(?:\s*=|[\s/>])")
+    return tag.rlike(rf"{_before(attribute)}[\s=/>]")
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Attribute value of an opening tag, entities resolved; NULL when absent."""
-    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{VALUE}", 1)
-    bare = F.regexp_replace(quoted, r"""^["']|["']$""", "")
+    """Value of the first attribute ``name`` of an opening tag, entities resolved; NULL when absent."""
+    quoted = F.regexp_extract(tag, rf"{_before(name)}\s*+=\s*+{VALUE}", 1)
+    bare = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
     return F.when(has_attribute(tag, name), unescape(bare))
 
 

@@ -86,3 +86,20 @@ def test_entities(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
     got = rows.orderBy("i").select(html.unescape(F.col("t"))).collect()
     assert [r[0] for r in got] == list(cases.values())
+
+
+def test_attributes_are_read_as_wholes_and_anchors_end_where_the_next_starts(spark):
+    rows = [
+        """<a title=it's href="/book/a/x-y/1"><img alt="One"></a>""",
+        """<a title="see href=/x" href="/book/a/x-y/2"><img title="no alt = here" alt="Two"></a>""",
+        """<a href="/book/a/x-y/3"><img alt="Three"><a href="/book/a/x-y/4"><img alt="Four"></a></a>""",
+        """<a data-href="/book/no" href='/book/a/"q"/5' href="/second"><img alt="Five"></a>""",
+        """<a href = /book/a/x-y/6><img alt=Six></a>""",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id int, html string")
+    got = extract_listings(df, SHOP).orderBy("page_id", "page_pos").select("page_id", "url", "title").collect()
+    host = f"https://{SHOP}/book/a"
+    assert [tuple(r) for r in got] == [
+        (0, f"{host}/x-y/1", "One"), (1, f"{host}/x-y/2", "Two"), (2, f"{host}/x-y/3", "Three"),
+        (2, f"{host}/x-y/4", "Four"), (3, f'{host}/"q"/5', "Five"), (4, f"{host}/x-y/6", "Six"),
+    ]
