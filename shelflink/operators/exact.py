@@ -9,12 +9,18 @@ from shelflink.functions.ids import isbn_variants, normalize_isbn
 from shelflink.operators.lookup import lookup_join
 
 
+def _titled(listings: DataFrame) -> DataFrame:
+    return listings.where(F.col("title").isNotNull()) if "title" in listings.columns else listings
+
+
 def exact_matches(entries: DataFrame, listings: DataFrame, **skew: int) -> DataFrame:
     """``(position, listing_pos)`` of the first listing whose identifier is one of the entry's.
 
     The catalogue is reduced to its first listing per identifier before it meets the entries, so
-    neither a popular entry nor a popular listing multiplies rows.
+    neither a popular entry nor a popular listing multiplies rows. Listings without title are no
+    listings.
     """
+    listings = _titled(listings)
     wanted = (
         entries.select("position", normalize_isbn(F.col("isbn")).alias("_norm"))
         .select("position", F.explode_outer(isbn_variants(F.col("_norm"))).alias("identifier"))
@@ -32,6 +38,7 @@ def exact_matches(entries: DataFrame, listings: DataFrame, **skew: int) -> DataF
 
 def exact_matches_on_page(entries: DataFrame, listings: DataFrame, **skew: int) -> DataFrame:
     """The same when every entry only meets the listings of its own result page."""
+    listings = _titled(listings)
     offered = listings.select(
         F.col("query_id").alias("position"),
         "listing_pos",

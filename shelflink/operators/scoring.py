@@ -37,9 +37,13 @@ FLOOR_RULES = (
 
 
 def check_weights(weights: Mapping[str, float]) -> None:
-    """Weights must name the four measures and sum to one."""
-    if set(weights) != set(WEIGHTS) or abs(sum(weights.values()) - 1) > 0.001:
-        raise ValueError(f"weights must give {', '.join(WEIGHTS)} and sum to 1: {dict(weights)}")
+    """Weights must name the four measures, lie between 0 and 1 and sum to one.
+
+    They hold for titles of up to 50 characters; longer ones always take ``LONG_WEIGHTS``.
+    """
+    named = set(weights) == set(WEIGHTS) and all(0 <= w <= 1 for w in weights.values())
+    if not named or abs(sum(weights.values()) - 1) > 0.001:
+        raise ValueError(f"weights must give {', '.join(WEIGHTS)}, each from 0 to 1, and sum to 1: {dict(weights)}")
 
 
 def _weighted_sum(weights: Mapping[str, float], is_long: Column) -> Column:

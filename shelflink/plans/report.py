@@ -111,8 +111,8 @@ def metadata(
 
 def text_line(source: str = "Wanted", target: str = "Listing") -> Column:
     return F.concat(
-        F.lit(f"{target}: "), "match", F.lit(f", {source}: "), "query",
-        F.lit(", Match Score: "), "score_pct",
+        F.lit(f"{target}: "), F.coalesce("match", F.lit("")), F.lit(f", {source}: "), F.coalesce("query", F.lit("")),
+        F.lit(", Match Score: "), F.coalesce("score_pct", F.lit("")),
     )
 
 
@@ -233,6 +233,9 @@ def write_matches(
         lines.orderBy("place", "position").select("value").write.mode(mode).text(path)
     elif kind == "csv":
         rows = csv_rows(matches, source, target)
+        if matches.isEmpty():
+            # The note needs titles and score only.
+            rows = rows.select("position", *rows.columns[1:4])
         ordered(rows).write.mode(mode).csv(path, header=True, escape='"')
     else:
         about = metadata(entries, matches, threshold)

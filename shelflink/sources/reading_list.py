@@ -52,9 +52,13 @@ def entries_of_shelf(
 
 
 def title_authors(reading_list: DataFrame, position: str) -> DataFrame:
-    """Author per title; the last row of a repeated title wins."""
+    """Author per title, trimmed as in ``entries_of_shelf``; the last row of a repeated title wins.
+
+    A title whose last row has no author, or a blank one, has none.
+    """
+    last = F.max_by(F.struct(blank_to_null(F.col("Author")).alias("author")), F.col(position))
     return (
-        reading_list.groupBy(F.col("Title").alias("title"))
-        .agg(F.max_by(F.col("Author"), F.col(position)).alias("author"))
-        .where(F.col("author").isNotNull())
+        reading_list.groupBy(blank_to_null(F.col("Title")).alias("title"))
+        .agg(last["author"].alias("author"))
+        .where(F.col("title").isNotNull() & F.col("author").isNotNull())
     )

@@ -76,6 +76,7 @@ def test_empty_reports(matches, entries, tmp_path):
     for kind in ("text", "csv", "markdown", "json"):
         report.write_matches(none, entries, str(tmp_path / kind), kind)
     assert lines(tmp_path / "text") == ["No matches found."]
+    assert lines(tmp_path / "csv")[0] == "Wanted Title,Listing Match,Score"
     assert lines(tmp_path / "csv")[1].startswith("No matches found,")
     assert lines(tmp_path / "markdown")[-1] == "_No matches found._"
     assert lines(tmp_path / "json" / "matches") == []
@@ -135,3 +136,9 @@ def test_optional_and_required_columns(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Name,Bookshelves\nX,s\n")
     with pytest.raises(ValueError, match="Title"):
         read_reading_list(spark, str(tmp_path / "b.csv"))
+
+
+def test_text_lines_survive_missing_titles(spark):
+    rows = spark.createDataFrame([(1, None, "m", "90%"), (2, "q", None, None)], "position long, query string, match string, score_pct string")
+    got = [r.value for r in report.text_lines(rows).orderBy("position").collect()]
+    assert got == ["Listing: m, Wanted: , Match Score: 90%", "Listing: , Wanted: q, Match Score: "]

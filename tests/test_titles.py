@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from shelflink.functions.titles import with_variations
+from shelflink.sources.reading_list import title_authors
 
 CASES = [
     ("The Song of Achilles", "song of achilles", "", ["song of achilles"]),
@@ -35,3 +36,9 @@ def test_title_rules(spark):
     got = with_variations(rows).orderBy("i").collect()
     for row, (title, main, subtitle, variations) in zip(got, CASES):
         assert (row.main, row.subtitle, row.variations) == (main, subtitle, variations), title
+
+
+def test_title_authors_are_trimmed_like_entries(spark):
+    rows = [("Dune ", " Frank Herbert ", 1), ("Emma", "", 2), ("  ", "Nobody", 3), ("Ulysses", "Joyce", 4), ("Ulysses", " ", 5)]
+    shelf = spark.createDataFrame(rows, "Title string, Author string, position long")
+    assert [tuple(r) for r in title_authors(shelf, "position").collect()] == [("Dune", "Frank Herbert")]
