@@ -28,7 +28,7 @@ from shelflink.operators.exact import exact_matches
 from shelflink.operators.lookup import lookup_join
 from shelflink.operators.titles import title_table
 from shelflink.plans import report
-from shelflink.plans.link import link
+from shelflink.plans.link import closest_matches, link
 from shelflink.scratch import scratch_root, written
 from shelflink.sources import library
 from shelflink.sources.reading_list import entries_of_shelf, read_reading_list, title_authors
@@ -284,6 +284,10 @@ def link_by_page_at_75(spark: SparkSession, d: str) -> DataFrame:
     return _flat(link(_part_entries(spark, d), _part_listings(spark, d), threshold=75))
 
 
+def closest_by_page(spark: SparkSession, d: str) -> DataFrame:
+    return closest_matches(_part_entries(spark, d), _part_listings(spark, d))
+
+
 def link_parts_by_title(spark: SparkSession, d: str) -> DataFrame:
     return _flat(link(_part_entries(spark, d), _part_listings(spark, d).drop("query_id")))
 
@@ -498,6 +502,17 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "link_by_page_at_75": (
             link_by_page_at_75, f"WITH {sql.page_matches(threshold=75)} SELECT * FROM matches",
         ),
+        "closest_by_page": (
+            closest_by_page,
+            f"""{matches} SELECT w.position, w.title AS query,
+              b.l_title || CASE WHEN b.l_author IS NOT NULL THEN ' by ' || b.l_author
+                WHEN base_score IS NULL THEN ' by Unknown' ELSE '' END AS closest,
+              CASE WHEN b.position IS NULL THEN 0 ELSE coalesce(s2, 100) END AS score,
+              CASE WHEN b.position IS NULL THEN 'no_candidate' WHEN coalesce(s2, 100) < 90 THEN 'below_threshold'
+                WHEN base_score IS NOT NULL AND author_score / 100.0::DOUBLE < 0.5 THEN 'author_mismatch'
+                ELSE 'accepted' END AS reason
+              FROM wanted w LEFT JOIN second_bonus b USING (position)""",
+        ),
         "link_parts_by_title": (
             link_parts_by_title, f"WITH {sql.page_matches(by_title=True)} SELECT * FROM matches",
         ),

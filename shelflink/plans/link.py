@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflink.functions.ids import normalize_isbn
@@ -120,8 +120,8 @@ def _best_by_title(
     )
 
 
-def _decide(matched: DataFrame, threshold: int, require_author: bool, floor_rules) -> DataFrame:
-    """Bonuses, floors, threshold and author gate; exact matches (no base score) score 100."""
+def _final_scores(matched: DataFrame, floor_rules) -> DataFrame:
+    """Bonuses and floors; exact matches (no base score) score 100."""
     is_exact = F.col("base_score").isNull()
     scored = with_bonuses(
         with_author_score(
@@ -136,7 +136,7 @@ def _decide(matched: DataFrame, threshold: int, require_author: bool, floor_rule
             "author_score",
         )
     )
-    scored = scored.withColumns(
+    return scored.withColumns(
         {
             "score": F.when(is_exact, 100).otherwise(
                 raise_to_floor(F.col("score"), floor_rules, "title", "l_title")
@@ -147,15 +147,27 @@ def _decide(matched: DataFrame, threshold: int, require_author: bool, floor_rule
             ),
         }
     )
-    accepted = scored.where(F.col("score") >= threshold)
-    if require_author:
-        accepted = accepted.where(is_exact | author_agrees(F.col("author_score")))
-    unknown = F.when(is_exact, F.lit("Unknown"))
+
+
+def _named_match() -> Column:
+    unknown = F.when(F.col("base_score").isNull(), F.lit("Unknown"))
     by = F.concat(F.lit(" by "), F.coalesce(F.col("l_author"), unknown))
+    return F.concat(F.col("l_title"), F.coalesce(by, F.lit(""))).alias("match")
+
+
+def _author_fits() -> Column:
+    return F.col("base_score").isNull() | author_agrees(F.col("author_score"))
+
+
+def _decide(matched: DataFrame, threshold: int, require_author: bool, floor_rules) -> DataFrame:
+    """Rows that pass threshold and author gate, with the columns of a match."""
+    accepted = _final_scores(matched, floor_rules).where(F.col("score") >= threshold)
+    if require_author:
+        accepted = accepted.where(_author_fits())
     return accepted.select(
         "position",
         F.col("title").alias("query"),
-        F.concat(F.col("l_title"), F.coalesce(by, F.lit(""))).alias("match"),
+        _named_match(),
         "score",
         F.concat(F.col("score"), F.lit("%")).alias("score_pct"),
         F.col("l_price").alias("price"),
@@ -193,13 +205,68 @@ def link(
     every pair. ``prune`` never changes the result, only its cost. The inputs are read several
     times: pass stored tables, or write derived ones first (``shelflink.scratch.written``).
     """
+    matched = _best_listings(
+        entries, listings, use_isbn, weights, floor_rules, title_authors, min_overlap,
+        least_base_percent(threshold) if prune else None, hot_rows,
+    )
+    return _decide(matched, threshold, require_author, floor_rules)
+
+
+def closest_matches(
+    entries: DataFrame,
+    listings: DataFrame,
+    *,
+    threshold: int = THRESHOLD,
+    require_author: bool = True,
+    use_isbn: bool = True,
+    weights: Mapping[str, float] = WEIGHTS,
+    floor_rules: Sequence[tuple[str, str, int]] = FLOOR_RULES,
+    title_authors: DataFrame | None = None,
+    min_overlap: int = MIN_OVERLAP,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """``(position, query, closest, score, reason)``: the best listing of every entry, accepted or not.
+
+    ``reason`` is ``accepted``, ``below_threshold``, ``author_mismatch`` or ``no_candidate`` (no listing
+    to compare with; score 0). Arguments as in ``link``; nothing is pruned by the threshold.
+    """
+    matched = _best_listings(
+        entries, listings, use_isbn, weights, floor_rules, title_authors, min_overlap, None, hot_rows
+    )
+    fits = _author_fits() if require_author else F.lit(True)
+    reason = (
+        F.when(F.col("score") < threshold, "below_threshold").when(~fits, "author_mismatch").otherwise("accepted")
+    )
+    found = _final_scores(matched, floor_rules).select(
+        "position", _named_match().alias("closest"), "score", reason.alias("reason")
+    )
+    return entries.select("position", F.col("title").alias("query")).join(found, "position", "left").select(
+        "position", "query", "closest", F.coalesce("score", F.lit(0)).alias("score"),
+        F.coalesce("reason", F.lit("no_candidate")).alias("reason"),
+    )
+
+
+def _best_listings(
+    entries: DataFrame,
+    listings: DataFrame,
+    use_isbn: bool,
+    weights: Mapping[str, float],
+    floor_rules: Sequence[tuple[str, str, int]],
+    title_authors: DataFrame | None,
+    min_overlap: int,
+    need: float | None,
+    hot_rows: int | None,
+) -> DataFrame:
+    """Each entry with its best listing: by identifier, else by title among pairs that reach ``need``."""
     skew = {} if hot_rows is None else {"hot_rows": hot_rows}
     on_page = "query_id" in listings.columns
     entries = entries.select(
         "position", "title", "author", "isbn" if use_isbn else F.lit(None).cast("string").alias("isbn")
     )
     if title_authors is not None:
-        lookup = title_authors.select("title", F.col("author").alias("pair_author"))
+        # A blank author is no author.
+        known = F.nullif(F.trim("author"), F.lit(""))
+        lookup = title_authors.select("title", known.alias("pair_author"))
         entries = lookup_join(entries, lookup, "title", F.col("position"), "left", **skew)
 
     match_by_id = exact_matches_on_page if on_page else exact_matches
@@ -210,9 +277,8 @@ def link(
     untried = untried.drop("listing_pos").withColumn(
         "named", applies_to_query(floor_rules, "title")
     )
-    need = least_base_percent(threshold)
     scoring = {"weights": weights}
-    if prune:
+    if need is not None:
         scoring |= {"need": need, "keep_all": F.col("q_named")}
     if on_page:
         fuzzy = _best_on_page(untried, listings, scoring, skew)
@@ -224,5 +290,4 @@ def link(
     )
     decided = written(by_id.unionByName(fuzzy.drop("named")).drop("pair_author"), "decided")
     payload = listings.select("listing_pos", *(F.col(c).alias(f"l_{c}") for c in LISTING_FIELDS))
-    matched = lookup_join(decided, payload, "listing_pos", F.col("position"), **skew)
-    return _decide(matched, threshold, require_author, floor_rules)
+    return lookup_join(decided, payload, "listing_pos", F.col("position"), **skew)
