@@ -3,8 +3,9 @@
 A key may hold a third of all rows. Hot keys are found by counting; their rows are spread over
 as many buckets as there are times ``hot_rows`` rows, and the few lookup rows of those keys are
 repeated once per bucket; all other keys join as usual. Nothing is dropped and nothing large is broadcast: the only broadcast is the list of
-hot key hashes, eight bytes each and at most ``HOT_SHARE`` of them, because each hot key owns at
-least one part in ``HOT_SHARE`` of the counted rows. A key that shares a hot key's hash is merely
+hot key hashes, twelve bytes each with their buckets and at most ``HOT_SHARE`` of them (12 MB),
+because each hot key owns at least one part in ``HOT_SHARE`` of the counted rows; up to ``HOT_SHARE`` times ``hot_rows`` (10^12) rows,
+no key above ``hot_rows`` stays whole. A key that shares a hot key's hash is merely
 spread as well, on both sides alike.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
+HOT_SHARE = 1_000_000
 HOT_ROWS = 1_000_000
 NULL_BUCKETS = 4096
 
