@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from shelflink.scratch import scratch_root
 
@@ -22,6 +27,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, also where a filter is pushed down through it.
+
+    A column that a lambda reads would be computed again for each element if the optimizer put its
+    definition in its place.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Scratch:
     """Tables written to the shared folder by one call, dropped when no longer needed.
 
@@ -56,6 +70,28 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_slices(
+    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 256
+) -> DataFrame:
+    """``mapInPandas`` that unpacks at most ``rows`` rows at a time.
+
+    Spark sends thousands of rows together; unpacked at once, long texts or sets would not fit beside
+    the executor's own memory.
+    """
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    yield batch.slice(start, rows).to_pandas()
+
+        for frame in run(slices()):
+            yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+
+    return df.mapInArrow(wrapped, schema)
+
+
 def running_total(scratch: Scratch, rows: DataFrame, value: str, order: list[str], total: str) -> DataFrame:
     """``rows`` in the order of the columns ``order`` with the sum of ``value`` up to and including each.
 

@@ -2,8 +2,8 @@
 
 Each rule has measures (columns it needs) and a rejection predicate. On a bounded sample every rule
 is run alone; its time is its cost, the share of rows it rejects its selectivity. Rules run in the
-order of rejection per cost; the measures of a rule are computed only for rows that no earlier rule
-rejected. The verdict is the conjunction of all rules, so it does not depend on that order.
+order of rejection per cost; ``accepted`` measures for a rule only the rows that no earlier rule
+rejected (``judged`` returns the base counts of all rows, so it measures those first). The verdict is the conjunction of all rules, so it does not depend on that order.
 
 NULL and empty texts have no words and fail. Words are separated by the six ASCII white-space
 characters. Rows are judged each on their own: repeated rows, ties and NULL ids need no rule. An
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflink.llm.common import WORD, Scratch, text_of
+from shelflink.llm.common import WORD, Scratch, let, text_of
 
 WINDOW = 5
 SAMPLE_ROWS = 500
@@ -57,35 +57,40 @@ def lines(df: DataFrame, on: Column) -> DataFrame:
     return df.withColumn("n_dup_lines", F.col("_n_lines") - F.col("_distinct")).drop("_lines")
 
 
-def repetition(df: DataFrame, on: Column) -> DataFrame:
-    """Words inside windows of five that occur twice or more in the text."""
-    df = df.withColumn("_hashes", F.when(on, F.transform("_words", lambda w: F.xxhash64(w))))
-    size = F.size("_hashes")
+def _covered(places: Column) -> Column:
+    """Words inside windows that start at the sorted ``places``."""
+    gain = F.transform(
+        places, lambda p, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), p - F.get(places, i - 1)))
+    )
+    return F.aggregate(gain, F.lit(0), lambda a, x: a + x)
 
-    def window(i: Column) -> Column:
-        return F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])
 
-    starts = F.sequence(F.lit(0), size - WINDOW)
-    df = df.withColumn(
-        "_windows", F.when(size >= WINDOW, F.transform(starts, window)).otherwise(F.array().cast("array<long>"))
-    )
+def _repeated(windows: Column) -> Column:
+    """Words inside windows whose hash occurs twice or more."""
+    numbered = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+
+    def places(ordered: Column) -> Column:
+        def twice(e: Column, i: Column) -> Column:
+            before = F.get(ordered, i - 1)["h"].eqNullSafe(e["h"])
+            return before | F.get(ordered, i + 1)["h"].eqNullSafe(e["h"])
+
+        return F.array_sort(F.transform(F.filter(ordered, twice), lambda e: e["i"]))
+
+    covered = let(let(F.sort_array(numbered), places), _covered)
     # Few texts repeat anything; only those are sorted.
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    numbered = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_sorted", F.when(repeats, F.sort_array(numbered)))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(0)
 
-    def repeated(e: Column, i: Column) -> Column:
-        before = F.get("_sorted", i - 1)["h"].eqNullSafe(e["h"])
-        return before | F.get("_sorted", i + 1)["h"].eqNullSafe(e["h"])
 
-    places = F.array_sort(F.transform(F.filter("_sorted", repeated), lambda e: e["i"]))
-    df = df.withColumn("_places", places)
-    gain = F.transform(
-        "_places", lambda p, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), p - F.get("_places", i - 1)))
-    )
-    covered = F.aggregate(gain, F.lit(0), lambda a, x: a + x)
-    covered = F.when(F.col("_hashes").isNotNull(), F.coalesce(covered, F.lit(0)))
-    return _longs(df, n_repeat_words=covered).drop("_hashes", "_windows", "_sorted", "_places")
+def repetition(df: DataFrame, on: Column) -> DataFrame:
+    """Words inside windows of five that occur twice or more in the text."""
+
+    def windows(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    repeated = F.when(F.size("_words") < WINDOW, 0).otherwise(let(let(hashes, windows), _repeated))
+    return _longs(df, n_repeat_words=F.when(on & F.col("_words").isNotNull(), repeated))
 
 
 @dataclass(frozen=True)
@@ -106,16 +111,9 @@ RULES = (
 )
 
 
-def _apply(df: DataFrame, rules: tuple[Rule, ...], done: set) -> DataFrame:
-    """``df`` with ``_rejected_by``: the first of ``rules`` that rejects; ``done`` measures exist already."""
-    df = df.withColumn("_rejected_by", F.lit(None).cast("string"))
-    for rule in rules:
-        for measure in rule.needs:
-            if measure not in done:
-                df = measure(df, F.col("_rejected_by").isNull())
-                done = done | {measure}
-        verdict = F.when(F.expr(rule.rejects), F.lit(rule.name))
-        df = df.withColumn("_rejected_by", F.coalesce("_rejected_by", verdict))
+def _measured(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    for measure in dict.fromkeys(m for rule in rules for m in rule.needs):
+        df = measure(df, F.lit(True))
     return df
 
 
@@ -125,7 +123,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     sample = scratch.put(docs.select(text_of().alias("_text")).limit(sample_rows), "sample")
     value = {}
     for rule in rules:
-        rejected = _apply(sample, (rule,), set()).agg(F.count("_rejected_by"))
+        rejected = _measured(sample, (rule,)).agg(F.count_if(F.expr(rule.rejects)))
         start = time.perf_counter()
         n = rejected.first()[0]
         value[rule.name] = (n + 0.01) / (time.perf_counter() - start)
@@ -135,10 +133,13 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass all rules, with the same columns."""
-    order = tuple(rule_order(docs, rules))
-    # Whole rows in one column, so no name can clash.
-    rows = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
-    return _apply(rows, order, set()).where("_rejected_by IS NULL").select("_row.*")
+    # Whole rows in one column, so no name can clash. Each rule sees what the rules before it left.
+    df = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
+    for rule in rule_order(docs, rules):
+        for measure in rule.needs:
+            df = measure(df, F.lit(True))
+        df = df.where(f"NOT coalesce({rule.rejects}, false)").select("_row", "_text")
+    return df.select("_row.*")
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -146,13 +147,16 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The counts are wanted for every row, so they are measured first; the cascade then decides.
     """
-    order = tuple(rule_order(docs, rules))
-    df, base = docs.select("doc_id", text_of().alias("_text")), (words, symbols, lines, repetition)
-    for measure in base:
-        df = measure(df, F.lit(True))
-    df = _apply(df.drop("_words"), order, set(base))
-    failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+    df = docs.select("doc_id", text_of().alias("_text"))
+    base = Rule("base", (words, symbols, lines, repetition), "n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+    order = rule_order(docs, rules)
+    df = _measured(df, (base, *order)).drop("_words")
+    # Evaluated from the left, so a rule runs only where no earlier one rejects.
+    rejected = F.lit(False)
+    for rule in order:
+        rejected = rejected | F.expr(f"coalesce({rule.rejects}, false)")
+    failed = F.expr(base.rejects)
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.col("_rejected_by").isNull()).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~rejected).alias("kept"),
     )

@@ -6,7 +6,7 @@ the two exceeds ``LEAST_RATIO``. Everything is DataFrame expressions.
 
 Random samples are made by hashing document ids and written in hexadecimal and base 64, values
 that the patterns find in the documents are added; ordinary samples are the other words and
-identifiers of the documents. Bound of the fit: ``TRAIN_ROWS`` documents, chosen by hash of doc_id.
+identifiers of 8 to 19 characters in the documents. Bound of the fit: ``TRAIN_ROWS`` documents, chosen by hash of doc_id.
 
 Places are code points, ends exclusive. NULL text counts as empty. Rows are scanned each on their
 own: repeated rows, ties and NULL ids need no rule. An empty table gives an empty result. Texts of
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflink.llm.common import Scratch, text_of
+from shelflink.llm.common import Scratch, let, text_of
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so asking for the least length here finds the same places as filtering later.
@@ -36,11 +36,8 @@ STATES = len(LETTERS) + 1
 TRAIN_ROWS = 5_000
 LEAST_RATIO = math.log(1e6)
 BLOCK = 128
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Weight of the common share of a state against counted steps.
+BACKOFF = 8.0
 
 
 def _running(lengths: Column) -> Column:
@@ -57,56 +54,53 @@ def _running(lengths: Column) -> Column:
 
         def placed(cut: Column) -> Column:
             totals = F.transform(cut, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
-            return _let(
+            return let(
                 sums(F.lit(0), totals),
                 lambda starts: F.flatten(
                     F.transform(cut, lambda x, b: F.slice(sums(F.get(starts, b), x), 1, F.size(x)))
                 ),
             )
 
-        return _let(blocks, placed)
+        return let(blocks, placed)
 
-    return F.when(F.size(lengths) > 0, _let(lengths, of)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<int>"))
 
 
-def _spans(df: DataFrame, pattern: str, name: str, group: int = 0, least: int = 0) -> DataFrame:
-    """``df`` with ``name``: (start, end, text) of the matches whose ``group`` has ``least`` characters."""
-    df = df.withColumn("_found", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-    some = F.size("_found") > 0
-    # Pieces in order: gap, match, gap, match, ...
-    gaps = F.transform(F.split("_text", pattern, -1), lambda g: F.length(g))
-    df = df.withColumn("_gaps", F.when(some, gaps))
-    pairs = F.transform(
-        "_found", lambda m, i: F.array(F.get("_gaps", i), F.length(m))
-    )
-    df = df.withColumn("_starts", F.when(some, _running(F.flatten(pairs))))
-    if group:
-        df = df.withColumn("_group", F.when(some, F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))))
-        long_enough = lambda i: F.length(F.get("_group", i)) >= least
-    else:
-        df = df.withColumn("_group", F.lit(None).cast("array<string>"))
-        long_enough = lambda i: F.lit(True)
-    numbered = F.transform(
-        "_found",
-        lambda m, i: F.when(
-            long_enough(i),
-            F.struct(
-                F.get("_starts", i * 2 + 1).alias("start"),
-                (F.get("_starts", i * 2 + 1) + F.length(m)).alias("end"),
-                m.alias("text"),
+def _spans(pattern: str, group: int = 0, least: int = 0) -> Column:
+    """(start, end, text) of the matches in ``_text`` whose ``group`` has ``least`` characters."""
+
+    def matches(i: int) -> Column:
+        return F.regexp_extract_all("_text", F.lit(pattern), F.lit(i))
+
+    def placed(found: Column, starts: Column) -> Column:
+        # Pieces in order: gap, match, gap, match, ...
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                F.get(starts, i * 2 + 1).alias("start"), (F.get(starts, i * 2 + 1) + F.length(m)).alias("end"), m.alias("text")
             ),
-        ),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    found = F.when(some, F.filter(numbered, lambda x: x.isNotNull())).otherwise(none)
-    return df.withColumn(name, found).drop("_found", "_gaps", "_starts", "_group")
+        )
+
+    def spans(found: Column) -> Column:
+        gaps = F.transform(F.split("_text", pattern, -1), lambda g: F.length(g))
+        pieces = let(gaps, lambda g: F.flatten(F.transform(found, lambda m, i: F.array(F.get(g, i), F.length(m)))))
+        all_spans = let(_running(pieces), lambda starts: placed(found, starts))
+        if group:
+            all_spans = let(
+                matches(group), lambda g: F.filter(all_spans, lambda x, i: F.length(F.get(g, i)) >= least)
+            )
+        none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+        return F.when(F.size(found) > 0, all_spans).otherwise(none)
+
+    return let(matches(0), spans)
 
 
 def known_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, _text and the pattern spans ``assign``, ``access``, ``hex`` of every row."""
     df = docs.select("doc_id", text_of().alias("_text"))
-    df = _spans(df, ASSIGN, "assign", group=2, least=12)
-    return _spans(_spans(df, ACCESS, "access"), HEX, "hex")
+    return df.withColumns(
+        {"assign": _spans(ASSIGN, group=2, least=12), "access": _spans(ACCESS), "hex": _spans(HEX)}
+    )
 
 
 def _states(text: Column) -> Column:
@@ -136,17 +130,28 @@ def fit_ratio(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[float]:
     runs = F.regexp_extract_all("_text", F.lit(ORDINARY), F.lit(0))
     secret = F.transform(F.concat("assign", "access", "hex"), lambda x: x["text"])
     ordinary = found.where(F.size(secret) == 0).select(F.explode(runs).alias("sample")).where(
-        "NOT sample RLIKE '[0-9].*[0-9].*[0-9].*[0-9]'"
+        # Long runs may themselves be secrets.
+        "length(sample) < 20 AND NOT sample RLIKE '[0-9].*[0-9].*[0-9].*[0-9]'"
     )
     random_steps, ordinary_steps = _steps(made.union(matched)), _steps(ordinary)
     scratch.drop(found)
 
-    def log_share(counts: dict, a: int, b: int) -> float:
-        return math.log((counts.get((a, b), 0) + 1) / (sum(counts.get((a, x), 0) for x in range(STATES)) + STATES))
+    def shares(counts: dict[tuple[int, int], int]) -> Callable[[int, int], float]:
+        """Step probabilities; states seen seldom fall back on how common the next state is."""
+        total = sum(counts.values())
+        ends, starts = [0] * STATES, [0] * STATES
+        for (a, b), n in counts.items():
+            starts[a] += n
+            ends[b] += n
+
+        def share(a: int, b: int) -> float:
+            common = (ends[b] + 0.5) / (total + 0.5 * STATES)
+            return (counts.get((a, b), 0) + BACKOFF * common) / (starts[a] + BACKOFF)
+
+        return share
 
-    return [
-        log_share(random_steps, a, b) - log_share(ordinary_steps, a, b) for a in range(STATES) for b in range(STATES)
-    ]
+    random, plain = shares(random_steps), shares(ordinary_steps)
+    return [math.log(random(a, b) / plain(a, b)) for a in range(STATES) for b in range(STATES)]
 
 
 def random_runs(df: DataFrame, ratio: list[float], least: float = LEAST_RATIO) -> DataFrame:
@@ -154,14 +159,15 @@ def random_runs(df: DataFrame, ratio: list[float], least: float = LEAST_RATIO) -
 
     Runs that touch a pattern span are left to the pattern.
     """
-    df = _spans(df, RUN, "_runs")
-    # Capital letters, digits or signs: plain words need no model.
-    df = df.withColumn("_runs", F.filter("_runs", lambda x: x["text"].rlike("[0-9+/=]|[a-z][A-Z].*[a-z][A-Z]")))
-    df = df.withColumn("_known", F.concat("assign", "access", "hex"))
-    free = F.filter(
-        "_runs",
-        lambda x: ~F.exists("_known", lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])),
-    )
+    # Digits, signs or mixed capitals: plain words need no model.
+    runs = F.filter(_spans(RUN), lambda x: x["text"].rlike("[0-9+/=]|[a-z][A-Z].*[a-z][A-Z]"))
+
+    def free(known: Column) -> Column:
+        def touched(x: Column) -> Column:
+            return F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+
+        return F.filter(runs, lambda x: ~touched(x))
+
     table = F.lit(ratio)
 
     def score(x: Column) -> Column:
@@ -171,10 +177,10 @@ def random_runs(df: DataFrame, ratio: list[float], least: float = LEAST_RATIO) -
             )
             return F.aggregate(steps, F.lit(0.0), lambda acc, v: acc + v)
 
-        return _let(_states(x["text"]), total)
+        return let(_states(x["text"]), total)
 
-    df = df.withColumn("_free", F.when(F.size("_runs") > 0, free).otherwise(F.col("_runs")))
-    return df.withColumn("random", F.filter("_free", lambda x: score(x) > least)).drop("_runs", "_known", "_free")
+    candidates = let(F.concat("assign", "access", "hex"), free)
+    return df.withColumn("random", F.filter(candidates, lambda x: score(x) > least))
 
 
 def secrets(docs: DataFrame) -> DataFrame:

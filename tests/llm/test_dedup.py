@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-import brute
+import corpus_brute as brute
 import pytest
 from pyspark.sql import functions as F
 
