@@ -6,8 +6,8 @@ The best path back gives the ids. Characters that no piece holds become their UT
 
 The vocabulary given with this job is a byte-pair one: its stored scores are merge ranks, whose sums
 prefer many short pieces. ``scores="zipf"`` (the default) takes the log-probability of the rank
-under Zipf's law instead; ``scores="stored"`` keeps the stored ones and then segments exactly as
-the SentencePiece library does for a unigram model of these pieces.
+under Zipf's law instead; ``scores="stored"`` keeps the stored ones. Neither repeats the library's
+merge order: the result is the segmentation of the highest total score, which the library can decode.
 
 As in the library, a text gets one leading blank and blanks are written as U+2581; nothing is
 normalised away. A U+2581 of the text itself is written in byte pieces, so every text comes back
@@ -23,23 +23,27 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelflink.llm.common import text_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches that a task remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
+#: Rows whose ids are held at a time.
+SLICE = 256
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
@@ -155,37 +159,59 @@ class Decoder:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
-    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``, in place of any of these names."""
+def _with_tokens(docs: DataFrame, path: str, scores: str, check: bool) -> DataFrame:
+    """``docs`` with ``ids`` and ``n_tokens``; ``check`` adds ``decoded``. A few hundred rows at a time."""
     pieces = load_pieces(path, scores)
+    names = ["ids", "n_tokens"] + ["decoded"] * check
+    rows = docs.drop(*names)
+    schema = StructType([*rows.schema, *StructType.fromDDL("ids array<int>, n_tokens long").fields])
+    if check:
+        schema = schema.add("decoded", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(pieces), Decoder(pieces)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                ids, ends, back = array("i"), [0], []
+                for text in part.column("text"):
+                    found = encoder.encode(text.as_py() or "")
+                    ids.extend(found)
+                    ends.append(len(ids))
+                    if check:
+                        back.append(decoder.decode(found))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                added = [lists, pa.array(np.diff(ends), pa.int64())] + [pa.array(back, pa.string())] * check
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *names])
+
+    return rows.mapInArrow(run, schema)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(pieces)
-        for batch in texts:
-            yield pd.Series([np.asarray(encoder.encode(t), np.int32) for t in batch], dtype=object)
 
-    # One evaluation of the function however often its result is used.
-    with_ids = docs.withColumn("ids", ids_of.asNondeterministic()(text_of()))
-    return with_ids.withColumn("n_tokens", F.size("ids").cast("long"))
+def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
+    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``, in place of any of these names."""
+    return _with_tokens(docs, path, scores, check=False)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of ``ids``; NULL ids give an empty text."""
     pieces = load_pieces(path)
+    rows = encoded.drop("decoded")
 
-    @F.pandas_udf("string")
-    def text_of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(pieces)
         for batch in batches:
-            yield pd.Series(["" if ids is None else decoder.decode(ids) for ids in batch], dtype=object)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [decoder.decode(ids.as_py() or []) for ids in part.column("ids")]
+                columns = [*part.columns, pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", text_of_ids("ids"))
+    return rows.mapInArrow(run, StructType([*rows.schema]).add("decoded", "string"))
 
 
 def encoded_and_checked(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256, round_trip of every row."""
-    back = decode(encode(docs.select("doc_id", text_of().alias("text")), path), path)
+    back = _with_tokens(docs.select("doc_id", text_of().alias("text")), path, "zipf", check=True)
     return back.select(
         "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
