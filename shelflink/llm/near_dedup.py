@@ -13,12 +13,14 @@ Bounded work in crowded buckets, without losing a link:
    links into components.
 3. A bucket may still hold members of several components. Only there, members outside the bucket's
    largest component meet all members of other components, in blocks of ``BLOCK`` x ``BLOCK``
-   signatures inside a task; a pair is tried in the first bucket it shares and leaves the task
-   only when the signatures agree well enough. Those pairs are verified too, and the components
-   taken again.
+   inside a task; a pair is tried in the first bucket it shares and leaves the task only when it
+   passes the tests below. Those pairs are verified too, and the components taken again.
 
-Verification compares signatures first (pairs more than 4.5 standard deviations below the threshold
-go), then the full sets.
+Before the full sets of a pair are compared, its parity sketches are: a sketch has ``SKETCH`` bits,
+each the parity of the number of shingles hashed to it, so sketches of two sets differ in at most as
+many bits as the sets differ in shingles. Pairs that differ in more bits than the threshold allows
+go; no pair at the threshold does. Signatures that agree in more than 4.5 standard deviations less
+than the threshold's share of places go as well.
 
 NULL and empty texts have an empty set and are linked with nothing. Rows without ``doc_id`` are
 no documents and are left out. Rows that repeat a ``doc_id`` are returned as often as they come;
@@ -35,10 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflink.llm.common import Scratch, text_of
+from shelflink.llm.common import Scratch, in_slices, text_of
 
 BANDS, ROWS = 32, 5
-BLOCK = 1000
+BLOCK = 500
+SKETCH = 2048
+#: Rows of small buckets that one call of a task takes together.
+TOGETHER = 2000
 SEED = 20240607
 
 
@@ -70,6 +75,19 @@ def signature_of(members: np.ndarray, factors: np.ndarray, offsets: np.ndarray)
     return low
 
 
+def sketch_of(members: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((members >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1)
+
+
+def _rows(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _near_enough(bits: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of together ``shingles`` members may differ in ``bits`` and reach the threshold."""
+    return (100 + percent) * bits.astype(np.int64) <= (100 - percent) * shingles
+
+
 def _universal(seed: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(seed)
     factors = random.integers(0, 2**31, BANDS * ROWS, dtype=np.int64) * 2 + 1
@@ -80,13 +98,16 @@ def _signatures(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors, offsets = _universal(SEED)
         for batch in batches:
-            n, keys, signatures = [], [], []
+            n, keys, signatures, sketches = [], [], [], []
             for text in batch["text"]:
                 members = shingle_set(text, words)
                 n.append(len(members))
                 keys.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
                 signatures.append(signature_of(members, factors, offsets).tobytes() if len(members) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "key": keys, "signature": signatures})
+                sketches.append(sketch_of(members).tobytes() if len(members) else None)
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"], "n_shingles": n, "key": keys, "signature": signatures, "sketch": sketches}
+            )
 
     return run
 
@@ -144,25 +165,31 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bucket": [bucket], "doc_id": [first], "head": [first], "before": [first]})
 
 
-def _cross(cut: int):
-    """Pairs of one block of minor members and one block of members of the same bucket."""
+def _cross(cut: int, percent: int):
+    """Alike pairs of minor members and members of other components in the same bucket, for one cell."""
 
     def run(minor: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found: list[tuple[int, int]] = []
         if len(minor) and len(members):
-            right = np.frombuffer(b"".join(members["signature"]), np.uint32).reshape(len(members), -1)
-            docs, components = members["doc_id"].to_numpy(), members["component"].to_numpy()
-            band = int(members["bucket"].iloc[0]) & (BANDS - 1)
-            rows = zip(minor["doc_id"], minor["component"], minor["signature"], strict=True)
-            for doc, component, signature in rows:
-                other = np.flatnonzero(components != component)
-                agree = right[other] == np.frombuffer(signature, np.uint32)
-                good = agree.sum(axis=1) >= cut
-                other, agree = other[good], agree[good]
-                # Tried in the first bucket that the two share.
-                bands = agree.reshape(len(other), BANDS, ROWS).all(axis=2)
-                other = other[bands.argmax(axis=1) == band] if len(other) else other
-                found += [(min(doc, d), max(doc, d)) for d in docs[other].tolist()]
+            members = members.sort_values(["bucket", "doc_id"])
+            bucket, docs = members["bucket"].to_numpy(), members["doc_id"].to_numpy()
+            components, n = members["component"].to_numpy(), members["n_shingles"].to_numpy()
+            sketches, signatures = _rows(members["sketch"], np.uint64), _rows(members["signature"], np.uint32)
+            low = np.searchsorted(bucket, minor["bucket"].to_numpy(), "left")
+            high = np.searchsorted(bucket, minor["bucket"].to_numpy(), "right")
+            own_sketch, own_signature = _rows(minor["sketch"], np.uint64), _rows(minor["signature"], np.uint32)
+            rows = zip(minor["bucket"], minor["doc_id"], minor["component"], minor["n_shingles"], strict=True)
+            for i, (b, doc, component, size) in enumerate(rows):
+                part = slice(low[i], high[i])
+                bits = np.bitwise_count(sketches[part] ^ own_sketch[i]).sum(axis=1)
+                good = _near_enough(bits, n[part] + size, percent) & (components[part] != component)
+                other = np.flatnonzero(good) + low[i]
+                if len(other):
+                    agree = signatures[other] == own_signature[i]
+                    # Tried in the first bucket that the two share.
+                    first = agree.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == b & (BANDS - 1)
+                    other = other[first & (agree.sum(axis=1) >= cut)]
+                    found += [(min(doc, d), max(doc, d)) for d in docs[other].tolist()]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -224,11 +251,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "near-dedup")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    signed = texts.mapInPandas(_signatures(words), "doc_id long, n_shingles long, key binary, signature binary")
+    schema = "doc_id long, n_shingles long, key binary, signature binary, sketch binary"
+    signed = in_slices(texts, _signatures(words), schema)
     signed = scratch.put(signed, "signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("leader"))
     classes = scratch.put(classes, "classes")
-    leaders = signed.select("doc_id", "key", "signature").join(
+    leaders = signed.join(
         classes.select(F.col("leader").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi"
     )
     leaders = scratch.put(leaders.dropDuplicates(["doc_id", "key"]).drop("key"), "leaders")
@@ -244,11 +272,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     to_first = shared.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     to_last = shared.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))
     near = to_first.union(to_last).where("a < b").distinct()
-    pairs = scratch.put(_alike(near, leaders, cut), "pairs")
+    pairs = scratch.put(_alike(near, leaders, cut, percent), "pairs")
     links = scratch.put(_verified(texts, pairs, words, percent), "links")
     reached = components(scratch, links)
 
-    crossing = _crossing(scratch, shared, leaders, reached, cut).distinct().join(pairs, ["a", "b"], "left_anti")
+    crossing = _crossing(scratch, shared, leaders, reached, cut, percent).distinct().join(pairs, ["a", "b"], "left_anti")
     crossing = scratch.put(crossing, "crossing")
     more = scratch.put(_verified(texts, crossing, words, percent), "more-links")
     if more.isEmpty():
@@ -269,32 +297,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _alike(pairs: DataFrame, leaders: DataFrame, cut: int) -> DataFrame:
-    """Pairs whose signatures agree in at least ``cut`` places."""
+def _alike(pairs: DataFrame, leaders: DataFrame, cut: int, percent: int) -> DataFrame:
+    """Pairs whose sketches and signatures allow the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch["sig_a"]), np.uint32).reshape(len(batch), -1)
-            y = np.frombuffer(b"".join(batch["sig_b"]), np.uint32).reshape(len(batch), -1)
-            yield batch.loc[(x == y).sum(axis=1) >= cut, ["a", "b"]]
+            if len(batch):
+                bits = np.bitwise_count(_rows(batch["sketch_a"], np.uint64) ^ _rows(batch["sketch_b"], np.uint64)).sum(axis=1)
+                agree = (_rows(batch["signature_a"], np.uint32) == _rows(batch["signature_b"], np.uint32)).sum(axis=1)
+                good = (agree >= cut) & _near_enough(bits, (batch["n_a"] + batch["n_b"]).to_numpy(), percent)
+                yield batch.loc[good, ["a", "b"]]
+
+    def side(name: str) -> DataFrame:
+        columns = {"doc_id": name, "n_shingles": f"n_{name}", "sketch": f"sketch_{name}", "signature": f"signature_{name}"}
+        return leaders.select(*[F.col(c).alias(n) for c, n in columns.items()])
 
-    left = leaders.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
-    right = leaders.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long").distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long").distinct()
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold. Only documents of some pair give their sets."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = texts.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = needed.mapInPandas(_sets(words), "doc_id long, members binary")
+    sets = in_slices(needed, _sets(words), "doc_id long, members binary")
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(_confirm(percent), "a long, b long").distinct()
+    joined = pairs.join(right, "b").join(left, "a")
+    return in_slices(joined, _confirm(percent), "a long, b long").distinct()
 
 
 def _crossing(
-    scratch: Scratch, shared: DataFrame, leaders: DataFrame, reached: DataFrame, cut: int
+    scratch: Scratch, shared: DataFrame, leaders: DataFrame, reached: DataFrame, cut: int, percent: int
 ) -> DataFrame:
     """Alike pairs of different components in one bucket that no earlier pair can have joined."""
     rows = shared.select("bucket", "doc_id").distinct()
@@ -312,18 +345,21 @@ def _crossing(
         F.ceil((F.col("members") - F.col("largest")) / BLOCK).alias("high"),
     )
     rows = scratch.put(labelled.join(blocks, "bucket").join(leaders, "doc_id"), "crowded")
-    spread = F.xxhash64("doc_id")
-    members = rows.withColumn("x", F.pmod(spread, F.col("wide"))).withColumn(
-        "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1))
-    )
-    minor = scratch.again(rows).where("component != major").withColumn("y", F.pmod(spread, F.col("high"))).withColumn(
-        "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1))
-    )
-    columns = ["bucket", "x", "y", "doc_id", "component", "signature"]
-    cell = ["bucket", "x", "y"]
-    return minor.select(columns).groupBy(cell).cogroup(members.select(columns).groupBy(cell)).applyInPandas(
-        _cross(cut), "a long, b long"
-    )
+    # A large bucket is a grid of cells; small ones share a cell, each keeping to itself.
+    small = F.greatest("wide", "high") == 1
+    shares = max(1, rows.count() // TOGETHER)
+    cell = F.when(small, F.pmod(F.xxhash64("bucket"), F.lit(shares))).otherwise(F.col("bucket"))
+    spread, zero = F.xxhash64("doc_id"), F.lit(0).cast("long")
+
+    def placed(df: DataFrame, own: str, own_size: str, other: str, other_size: str) -> DataFrame:
+        df = df.withColumns({"cell": cell, "small": small, own: F.pmod(spread, F.col(own_size))})
+        df = df.withColumn(other, F.explode(F.sequence(zero, F.col(other_size) - 1)))
+        return df.select("cell", "small", "x", "y", "bucket", "doc_id", "component", "n_shingles", "sketch", "signature")
+
+    members = placed(rows, "x", "wide", "y", "high")
+    minor = placed(scratch.again(rows).where("component != major"), "y", "high", "x", "wide")
+    key = ["cell", "small", "x", "y"]
+    return minor.groupBy(key).cogroup(members.groupBy(key)).applyInPandas(_cross(cut, percent), "a long, b long")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
