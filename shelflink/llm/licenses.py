@@ -76,8 +76,8 @@ TEMPLATES = (
         ("creative commons attribution",),
     ),
 )
-#: Rarest licence words of a file that are looked up, and the least that have to agree on a place.
-AGREE = 2
+#: Words of highest IDF that vote for a template (ties as well), and the least that have to agree on a place.
+RARE, AGREE = 4, 2
 LEAST_SCORE = 0.6
 
 
@@ -124,20 +124,28 @@ def word_counts(docs: DataFrame, index: TemplateIndex) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def aligned(words: list[bytes], index: TemplateIndex, idf: dict[bytes, float]) -> list[tuple[int, int, float]]:
+def voting_words(index: TemplateIndex, idf: dict[bytes, float]) -> list[frozenset[bytes]]:
+    """Per template its words of highest IDF; common words would vote for every place."""
+    voters = []
+    for words in index.words:
+        ranked = sorted((idf[w] for w in set(words)), reverse=True)
+        least = ranked[min(RARE, len(ranked)) - 1]
+        voters.append(frozenset(w for w in words if idf[w] >= least))
+    return voters
+
+
+def aligned(words: list[bytes], index: TemplateIndex, voters: list[frozenset[bytes]]) -> list[tuple[int, int, float]]:
     """(template, place of its first word, score) of every verified alignment in a file's words."""
     places = defaultdict(list)
     for i, w in enumerate(words):
         if w in index.postings:
             places[w].append(i)
-    # Per template, only its words of highest IDF vote; common words would vote for every place.
     votes: dict[tuple[int, int], int] = defaultdict(int)
-    for w in sorted(places, key=lambda w: (-idf.get(w, 0.0), w)):
-        if idf.get(w, 0.0) < idf[b""]:
-            break
+    for w in places:
         for t, at in index.postings[w]:
-            for i in places[w]:
-                votes[t, i - at] += 1
+            if w in voters[t]:
+                for i in places[w]:
+                    votes[t, i - at] += 1
     found = []
     for (t, start), n in sorted(votes.items()):
         if n < AGREE or not all(words[max(0, start + k) : start + k + len(p)] == p for k, p in index.keys[t]):
@@ -173,18 +181,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = max(1, docs.count())
     counts = word_counts(docs, index)
     idf = {w: float(np.log((rows + 1) / (counts.get(w, 0) + 1))) for w in index.postings}
-    # Rare: the rarer half of all template words.
-    idf[b""] = float(np.median(list(idf.values())))
+    voters = voting_words(index, idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A file without any rare word needs no alignment.
-        rare = frozenset(w for w in index.postings if idf[w] >= idf[b""])
+        rare = frozenset().union(*voters)
         for batch in batches:
             out = []
             for text in batch["text"]:
                 words = tokens(text)
                 base = _base_places(words)
-                hits = aligned(words, index, idf) if not rare.isdisjoint(words) else []
+                hits = aligned(words, index, voters) if not rare.isdisjoint(words) else []
                 starts = [s for s, _ in base]
                 base_labels = {label for _, label in base}
                 score = max([h[2] for h in hits], default=0.5 if base else 0.0)
