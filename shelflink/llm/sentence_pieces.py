@@ -41,9 +41,11 @@ from shelflink.llm.common import text_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches that a task remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Rows whose ids are held at a time.
 SLICE = 256
+#: One character without a piece: length, score (counted apart), no id.
+UNKNOWN = (1, 0.0, -1)
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
@@ -91,40 +93,44 @@ class Encoder:
         self.automaton.make_automaton()
         inner = any(BLANK in p.lstrip(BLANK) for p, u in zip(pieces.text, pieces.usable, strict=True) if u)
         self.cut = (lambda s: [s]) if inner else STRETCH.findall
+        self.single = frozenset(p for p, u in zip(pieces.text, pieces.usable, strict=True) if u and len(p) == 1)
         self.known: dict[str, list[int]] = {}
 
     def segment(self, stretch: str) -> list[int]:
         """Ids of the best segmentation of an escaped text."""
         n = len(stretch)
-        best, back = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
-        unknown, done = self.pieces.unknown, 0
-
-        def settle(upto: int) -> None:
-            # A position that no piece reaches, or reaches worse, takes its character as unknown.
-            nonlocal done
-            while done < upto:
-                done += 1
-                if best[done] == -math.inf:
-                    best[done], back[done] = best[done - 1] + unknown, (1, -1)
-
-        for last, (length, score, i) in self.automaton.iter(stretch):
+        best, back = [0.0] * (n + 1), [UNKNOWN] * (n + 1)
+        done, strange = 0, not self.single.issuperset(stretch)
+        # Matches come by end; of one end the longest first, so an equal score later is a shorter piece.
+        for last, piece in self.automaton.iter(stretch):
             end = last + 1
-            settle(end - 1)
-            total = best[end - length] + score
-            if total > best[end] or (total == best[end] and length < back[end][0]):
-                best[end], back[end] = total, (length, i)
-        settle(n)
+            if strange and end - done > 1:
+                self._unknown(stretch, best, back, done, end - 1)
+            total = best[end - piece[0]] + piece[1]
+            if end > done:
+                best[end], back[end], done = total, piece, end
+                if strange and stretch[last] not in self.single and best[last] + self.pieces.unknown > total:
+                    best[end], back[end] = best[last] + self.pieces.unknown, UNKNOWN
+            elif total >= best[end]:
+                best[end], back[end] = total, piece
+        if done < n:
+            self._unknown(stretch, best, back, done, n)
         ids, end = [], n
         while end:
-            length, i = back[end]
+            length, _, i = back[end]
             if i >= 0:
                 ids.append(i)
             else:
-                raw = stretch[end - length : end].encode("utf-8", "surrogatepass")
+                raw = stretch[end - 1].encode("utf-8", "surrogatepass")
                 ids.extend(self.bytes.get(b, 0) for b in reversed(raw))
             end -= length
         return ids[::-1]
 
+    def _unknown(self, stretch: str, best: list, back: list, start: int, end: int) -> None:
+        """No piece ends at the positions after ``start`` up to ``end``."""
+        for at in range(start + 1, end + 1):
+            best[at], back[at] = best[at - 1] + self.pieces.unknown, UNKNOWN
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []

@@ -86,8 +86,8 @@ def test_best_score_against_dynamic_programming(stored):
             for start in range(max(0, end - longest), end):
                 if (i := number.get(sample[start:end])) is not None:
                     best[end] = max(best[end], best[start] + stored.score[i])
-            if best[end] == -math.inf:
-                best[end] = best[end - 1] + stored.unknown
+            if sample[end - 1] not in number:
+                best[end] = max(best[end], best[end - 1] + stored.unknown)
         ids = encoder.segment(sample)
         unknown = sum(c not in number for c in sample)
         assert _cost(stored, ids, unknown) == pytest.approx(best[-1])
