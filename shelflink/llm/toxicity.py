@@ -1,16 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words of labelled examples that go with the label: chi-squared at least
-``LEAST_CHI2`` and at least ``LEAST_LIFT`` times as frequent in one class as in the other. An
-example or document is the unit vector of (1 + log count) * idf over these terms. Examples are
-sorted by their terms and cut into blocks; for each term the index holds its postings by block and
-its largest weight in each block. A query adds up the largest weights of its terms: no example of a
-block can be more similar than that. Blocks are scored in falling order of this bound until it drops
-below the similarity of the k-th best example, so the k nearest are exact; ties go to the smaller
-doc_id. Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by isotonic
-regression on held-back examples. Texts without any of the terms get the rate of such examples.
-
-Bounds of the fit: ``TRAIN_ROWS`` labelled documents chosen by hash, ``TERMS`` terms. Everything else covers
+Every word of the labelled examples is indexed. An example or document is the unit vector of
+(1 + log count) * idf, idf counted over all documents. Words that go with the label (chi-squared at least
+``LEAST_CHI2``, at least ``LEAST_LIFT`` times as frequent in one class as in the other) weigh
+``TELLING`` times as much; no word is left out. Words that no example has would scale all cosines of
+a text alike, so they change no neighbour; they are not counted.
+
+Examples are sorted by their heaviest terms and cut into blocks. The ``DENSE`` most frequent terms are stored as
+columns with the largest weight of each block, all others as postings. The postings of a query's terms
+are added up; with the largest weights of its frequent terms they bound the similarity of a block's
+examples. Blocks are scored in falling order of this bound unless it is below the similarity of
+the k-th best example, in single precision; whatever is near the k-th best is scored again in double
+precision, so the k nearest are exact; ties go to the smaller doc_id. Votes weigh
+1 / (distance + 0.05); the share of toxic votes is calibrated by isotonic regression on held-back
+examples, which then join the index. Texts without any word of the examples get the rate of such examples.
+
+Bound of the fit: ``TRAIN_ROWS`` labelled documents chosen by hash. Everything else covers
 all rows and whole texts. NULL text counts as empty. Without any labelled document the score is 0.5.
 Repeated rows are scored each. Rows without ``doc_id`` are scored, never learned from. NULL labels
 are left out; differing labels of a document average. An empty table gives an empty result.
@@ -18,8 +23,10 @@ are left out; differing labels of a document average. An empty table gives an em
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -30,10 +37,14 @@ from shelflink.llm.common import Scratch, text_of
 from shelflink.llm.labelled import bin_of, calibrated, calibration, remainder, training_texts
 
 TRAIN_ROWS = 20_000
-TERMS = 2_000
+TELLING = 10.0
 LEAST_CHI2, LEAST_LIFT, LEAST_DOCS = 25.0, 3.0, 4
 NEAREST = 15
 BLOCK = 64
+#: Terms stored as columns, blocks scored together, queries searched together.
+DENSE, GROUP, TOGETHER = 256, 16, 64
+#: More than single precision can lose.
+SLACK = 1e-5
 THRESHOLD = 0.7
 REMEMBERED = 50_000
 #: A-Z to a-z; letters, digits and bytes of non-ASCII characters stay, all else parts words.
@@ -46,85 +57,144 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all ranges, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples as postings by term and block, with the largest weight of each block."""
+    """Unit vectors of examples: columns of frequent terms with the largest weights of each block, postings of the rest."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: list[dict[int, float]], y: list[float]):
+    def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: Iterable[dict[int, float]], y: list[float]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=vectors[i].get, reverse=True), ids[i]))
+        lists = [(np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), float, len(v))) for v in vectors]
+        heaviest = [t[np.argsort(-w, kind="stable")[:8]].tolist() for t, w in lists]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.y = np.array([y[i] for i in order])
         self.blocks = -(-len(order) // BLOCK)
-        self.largest = np.zeros((len(terms), self.blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault((t, place // BLOCK), []).append((place % BLOCK, w))
-        for (t, b), entries in lists.items():
-            places, weights = np.array([p for p, _ in entries]), np.array([w for _, w in entries])
-            self.postings[t, b] = places, weights
-            self.largest[t, b] = weights.max()
+        # Rows: the vector of each example.
+        self.starts = np.cumsum([0, *(len(lists[i][0]) for i in order)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(lists[i][0] for i in order)])
+        self.weights = np.concatenate([np.zeros(0), *(lists[i][1] for i in order)])
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        """Only the rows travel; each process makes columns and postings of its own."""
+        made = {"column", "dense", "largest", "places", "shares", "posted"}
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"ready": False}
+
+    def prepare(self) -> None:
+        """Columns of the frequent terms, postings of the others."""
+        terms = self.number
+        rows = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
+        frequent = np.argsort(-np.bincount(self.terms, minlength=len(terms)), kind="stable")[:DENSE]
+        self.column = np.full(len(terms), -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[self.terms]
+        inside = column >= 0
+        self.dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
+        self.dense[rows[inside], column[inside]] = self.weights[inside]
+        self.largest = self.dense.reshape(self.blocks, BLOCK, len(frequent)).max(1)
+        others = np.flatnonzero(~inside)
+        others = others[np.argsort(self.terms[others], kind="stable")]
+        self.places, self.shares = rows[others], self.weights[others].astype(np.float32)
+        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.terms[others], minlength=len(terms)))])
+        self.ready = True
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
         return unit(Counter(map(self.number.__getitem__, filter(self.number.__contains__, words))), self.idf)
 
-    def nearest(self, query: dict[int, float], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k most similar examples with a term in common."""
-        terms = list(query)
-        weights = np.array([query[t] for t in terms])
-        bound = weights @ self.largest[terms]
-        best_cos, best_at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
+    def nearest_of(self, queries: list[dict[int, float]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k most similar examples with a term in common, for each query."""
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        if not self.ready:
+            self.prepare()
+        given = [(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))) for q in queries]
+        slots = self.blocks * BLOCK
+        posted = np.zeros((len(queries), slots), np.float32)
+        columns = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for r, (terms, weights) in enumerate(given):
+            at = self.column[terms]
+            columns[r, at[at >= 0]] = weights[at >= 0]
+            terms, weights = terms[at < 0], weights[at < 0]
+            lengths = self.posted[terms + 1] - self.posted[terms]
+            found = _ranges(self.posted[terms], lengths)
+            posted[r] = np.bincount(self.places[found], self.shares[found] * np.repeat(weights, lengths), slots)
+        bound = columns @ self.largest.T + posted.reshape(len(queries), self.blocks, BLOCK).max(2)
+        best = np.zeros((len(queries), k), np.float32)
+        score = np.zeros((len(queries), slots), np.float32)
+        order = np.argsort(-bound.max(0), kind="stable")
+        for start in range(0, self.blocks, GROUP):
+            group = order[start : start + GROUP]
+            reach = bound[:, group].max(1)
             # Rounding must not end the search early, nor leave out a tie.
-            if bound[b] <= 0 or (len(best_cos) == k and bound[b] < best_cos[-1] - 1e-9):
-                break
-            cos = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                if (found := self.postings.get((t, int(b)))) is not None:
-                    cos[found[0]] += w * found[1]
-            at = np.flatnonzero(cos)
-            best_cos = np.concatenate([best_cos, np.round(cos[at], 9)])
-            best_at = np.concatenate([best_at, at + b * BLOCK])
-            keep = np.lexsort((self.ids[best_at], -best_cos))[:k]
-            best_cos, best_at = best_cos[keep], best_at[keep]
-        return best_at, best_cos
-
-    def vote(self, query: dict[int, float]) -> tuple[float, list[int]]:
-        """Share of toxic votes, and the doc_ids of the voters, nearest first."""
-        at, cos = self.nearest(query)
-        if not len(at):
-            return 0.0, []
-        weight = 1 / (1 - np.minimum(cos, 1) + 0.05)
-        return float(weight @ self.y[at] / weight.sum()), self.ids[at].tolist()
-
-
-def unit(counts: Counter, idf: np.ndarray) -> dict[int, float]:
-    vector = {t: (1 + float(np.log(n))) * float(idf[t]) for t, n in sorted(counts.items())}
-    norm = sum(w * w for w in vector.values()) ** 0.5
-    return {t: w / norm for t, w in vector.items()}
+            open_ = np.flatnonzero((reach > 0) & (reach >= best.min(1) - SLACK))
+            if not len(open_):
+                continue
+            places = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cos = columns[open_] @ self.dense[places].T + posted[np.ix_(open_, places)]
+            score[np.ix_(open_, places)] = cos
+            best[open_] = np.partition(np.concatenate([best[open_], cos], 1), -k, 1)[:, -k:]
+        near = (score > 0) & (score >= best.min(1)[:, None] - SLACK)
+        weight_of = np.zeros(len(self.column))
+        out = []
+        for r, (terms, weights) in enumerate(given):
+            at = np.flatnonzero(near[r])
+            if not len(at):
+                out.append((at, np.zeros(0)))
+                continue
+            weight_of[terms] = weights
+            lengths = self.starts[at + 1] - self.starts[at]
+            row = _ranges(self.starts[at], lengths)
+            cos = np.add.reduceat(weight_of[self.terms[row]] * self.weights[row], np.cumsum(lengths) - lengths)
+            weight_of[terms] = 0
+            cos = np.round(cos, 9)
+            keep = np.lexsort((self.ids[at], -cos))[:k]
+            out.append((at[keep], cos[keep]))
+        return out
+
+    def nearest(self, query: dict[int, float], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([query], k)[0]
+
+    def votes(self, queries: list[dict[int, float]]) -> list[tuple[float, list[int]]]:
+        """Share of toxic votes, and the doc_ids of the voters, nearest first, for each query."""
+        out = []
+        for at, cos in self.nearest_of(queries):
+            weight = 1 / (1 - np.minimum(cos, 1) + 0.05)
+            out.append((float(weight @ self.y[at] / weight.sum()) if len(at) else 0.0, self.ids[at].tolist()))
+        return out
+
+
+def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
+    terms = sorted(counts)
+    weights = (1 + np.log([counts[t] for t in terms])) * idf[terms] if terms else np.zeros(0)
+    return dict(zip(terms, (weights / np.sqrt(weights @ weights)).tolist() if terms else [], strict=True))
 
 
 class ToxicityModel:
-    def __init__(self, index: BlockMaxIndex, steps, rest: float):
-        self.index, self.steps, self.rest = index, steps, rest
+    def __init__(self, index: BlockMaxIndex, telling: np.ndarray, steps, rest: float):
+        self.index, self.telling, self.steps, self.rest = index, telling, steps, rest
 
     def score(self, texts: Iterator[str], known: dict) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
-        """Scores, nearest examples and terms. ``known`` remembers the answers of earlier vectors."""
-        names = list(self.index.number)
+        """Scores, nearest examples and telling words. ``known`` remembers the answers of earlier texts."""
+        names = {int(t): w.decode("utf-8", "replace") for w, t in self.index.number.items() if self.telling[t]}
         votes, near, shown = [], [], []
-        for text in texts:
-            query = self.index.vector(tokens(text))
-            key = tuple(query.items())
-            if key not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[key] = self.index.vote(query) if query else (np.nan, [])
-            vote, ids = known[key]
-            votes.append(vote)
-            near.append(ids)
-            shown.append([names[t].decode("utf-8", "replace") for t in query])
+        for some in batched(texts, TOGETHER):
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in some]
+            if len(known) >= REMEMBERED:
+                known.clear()
+            new = {key: t for key, t in zip(keys, some, strict=True) if key not in known}
+            queries = [self.index.vector(tokens(t)) for t in new.values()]
+            for key, query, (vote, ids) in zip(new, queries, self.index.votes(queries), strict=True):
+                known[key] = vote if query else np.nan, ids, [names[t] for t in query if t in names]
+            for key in keys:
+                vote, ids, terms = known[key]
+                votes.append(vote)
+                near.append(ids)
+                shown.append(terms)
         vote = np.array(votes, float)
         out = np.full(len(vote), self.rest)
         met = ~np.isnan(vote)
@@ -143,6 +213,27 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+def document_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each word of ``number``, over all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = np.zeros(len(number), np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for text in batch["text"]:
+                held[[number[w] for w in set(tokens(text)) if w in number]] += 1
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"term": np.append(at, -1).astype(np.int32), "n": np.append(held[at], n)})
+
+    parts = docs.select(text_of().alias("text")).mapInPandas(run, "term int, n long")
+    # One row a word of the examples.
+    counted = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted["term"].to_numpy(), counted["n"].to_numpy()
+    out = np.zeros(len(number), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicityModel | None:
     """Model of ``label``, learned where crc32(doc_id) mod 3 is not 1; None without such rows."""
     scratch = Scratch(docs.sparkSession, "toxicity-fit")
@@ -153,21 +244,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     n, positive = fit.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not n:
         return None
-    df = fit.select(F.explode("words").alias("word"), "y").groupBy("word").agg(
-        F.count("*").alias("df"), F.sum("y").alias("with")
-    )
-    other = n - positive
-    a, b = F.col("with"), F.col("df") - F.col("with")
-    chi2 = n * (a * other - b * positive) ** 2 / (positive * other * F.col("df") * (n - F.col("df")) + 1e-9)
+    # Held-back examples are learned from as well, but say nothing about which words are telling.
+    told, known_y = F.count_if(~F.col("fold")), F.coalesce(F.sum(F.expr("IF(fold, 0, y)")), F.lit(0.0))
+    each = counted.select(F.explode("words").alias("word"), "y", "fold")
+    df = each.groupBy("word").agg(told.alias("df"), known_y.alias("with"))
+    # The words of at most ``rows`` texts.
+    found = df.toArrow().sort_by("word")
+    words = found["word"].to_pylist()
+    number = {w: i for i, w in enumerate(words)}
+    d, a = found["df"].to_numpy().astype(float), found["with"].to_numpy()
+    b, other = d - a, n - positive
+    chi2 = n * (a * other - b * positive) ** 2 / (positive * other * d * (n - d) + 1e-9)
     # Half a document more on both sides, so a word of one class only has a lift too.
     lift = ((a + 0.5) / (positive + 1)) / ((b + 0.5) / (other + 1))
-    telling = df.where(F.col("df") >= LEAST_DOCS).where(chi2 >= LEAST_CHI2).where(
-        (lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)
-    )
-    terms = telling.orderBy(chi2.desc(), "word").limit(TERMS).select("word", "df").collect()
-    words = [bytes(r["word"]) for r in terms]
-    idf = np.array([np.log((n + 1) / (r["df"] + 1)) + 1 for r in terms])
-    number = {w: i for i, w in enumerate(words)}
+    telling = (d >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
+    total, in_docs = document_counts(docs, number)
+    idf = (np.log((total + 1) / (in_docs + 1)) + 1) * np.where(telling, TELLING, 1.0)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,28 +274,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
                 }
             )
 
-    # At most ``rows`` rows, mostly empty lists.
     examples = counted.mapInPandas(sparse, "doc_id long, y double, fold boolean, terms array<int>, counts array<int>")
-    examples = examples.toPandas().sort_values(["doc_id", "y"])
+    examples = examples.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     scratch.drop(counted)
-    vectors = [unit(Counter(dict(zip(t, c, strict=True))), idf) for t, c in zip(examples["terms"], examples["counts"], strict=True)]
-    examples["vector"] = vectors
-    some = examples["vector"].map(bool)
-    inside = examples[some & ~examples["fold"]]
-    index = BlockMaxIndex(words, idf, list(inside["doc_id"]), list(inside["vector"]), list(inside["y"]))
-    rate = float(examples["y"].mean())
-    rest = examples[~some]["y"]
-    held = examples[some & examples["fold"]]
+    ids, y, fold = (examples[c].to_numpy() for c in ("doc_id", "y", "fold"))
+    terms, counts = (examples[c].combine_chunks() for c in ("terms", "counts"))
+    starts, terms, counts = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
+    some = np.diff(starts) > 0
+
+    def vectors(rows: np.ndarray) -> Iterator[dict[int, float]]:
+        """One at a time: dictionaries take much more memory than the index."""
+        for i in np.flatnonzero(rows).tolist():
+            row = slice(starts[i], starts[i + 1])
+            yield unit(dict(zip(terms[row].tolist(), counts[row].tolist(), strict=True)), idf)
+
+    def index_of(rows: np.ndarray) -> BlockMaxIndex:
+        return BlockMaxIndex(words, idf, ids[rows].tolist(), vectors(rows), y[rows].tolist())
+
+    # Calibrated without the held-back examples; they join the others afterwards.
+    index = index_of(some & ~fold)
+    rate, rest = float(y.mean()), y[~some]
     bins: dict[int, list[float]] = {}
-    for vector, y in zip(held["vector"], held["y"], strict=True):
-        step = bins.setdefault(int(bin_of(np.array([index.vote(vector)[0]]))[0]), [0.0, 0])
-        step[0] += y
-        step[1] += 1
+    for held in batched(zip(vectors(some & fold), y[some & fold].tolist()), TOGETHER):
+        for (vote, _), (_, target) in zip(index.votes([v for v, _ in held]), held, strict=True):
+            step = bins.setdefault(int(bin_of(np.array([vote]))[0]), [0.0, 0])
+            step[0] += target
+            step[1] += 1
     if bins:
         steps = calibration([(b, s, m) for b, (s, m) in bins.items()], rate)
     else:
         steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    return ToxicityModel(index, steps, float((rest.sum() + rate) / (len(rest) + 1)))
+    del index
+    return ToxicityModel(index_of(some), telling, steps, float((rest.sum() + rate) / (len(rest) + 1)))
 
 
 def with_evidence(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
