@@ -8,7 +8,9 @@ intersected. An alignment that enough of the template's rare words share is veri
 template's mandatory key phrases have to stand at the place where the alignment puts them, and
 the share of the template's words that stand in place is its score.
 
-Besides the templates, three base phrases are found at every place where their words stand
+Short forms (Creative Commons names and abbreviations behind words such as "licensed under" or before a
+version, SPDX identifiers behind their tag) have too few words to vote and are found by their words
+standing consecutively; the longest name counts. Besides, three base phrases are found at every place where their words stand
 consecutively. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
 NULL text counts as empty and has no words. Rows are scanned each on their own: repeated rows, ties and
@@ -76,6 +78,66 @@ TEMPLATES = (
         ("creative commons attribution",),
     ),
 )
+#: Label and words of short forms: names after "licensed under" or alike, and SPDX identifiers.
+LEADS = ("licensed under", "licensed under the", "licensed under a", "released under", "released under the", "available under", "available under the", "distributed under", "distributed under the", "license")
+CREATIVE_COMMONS = {
+    "cc-by": ("cc by", "creative commons attribution"),
+    "cc-by-sa": ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"),
+    "cc-by-nc-sa": ("cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"),
+    "cc-by-nc-nd": ("cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs", "creative commons attribution non commercial no derivatives"),
+    "cc0": ("cc0", "creative commons zero"),
+}
+SPDX = {
+    "mit": ("mit",), "apache-2.0": ("apache 2 0",), "mpl-2.0": ("mpl 2 0",), "isc": ("isc",),
+    "gpl-2.0": ("gpl 2 0",), "gpl-3.0": ("gpl 3 0",), "lgpl-2.1": ("lgpl 2 1",), "lgpl-3.0": ("lgpl 3 0",), "agpl-3.0": ("agpl 3 0",),
+    "bsd": ("bsd 2 clause", "bsd 3 clause"), "unlicense": ("unlicense",),
+} | {label: names[:1] for label, names in CREATIVE_COMMONS.items()}
+
+
+def _short_forms() -> dict[bytes, list[tuple[str, list[bytes], list[list[bytes]]]]]:
+    """By first word of the name: label, words of the name, words that may stand before it (none: no lead needed)."""
+    forms: dict[bytes, list[tuple[str, list[bytes], list[list[bytes]]]]] = defaultdict(list)
+    leads = [lead.encode().split() for lead in LEADS]
+    for label, names in CREATIVE_COMMONS.items():
+        for name in names:
+            words = name.encode().split()
+            forms[words[0]].append((label, words, leads))
+    for label, names in SPDX.items():
+        for name in names:
+            words = name.encode().split()
+            forms[words[0]].append((label, words, [b"spdx license identifier".split()]))
+    return forms
+
+
+def _short_places(words: list[bytes], forms: dict) -> list[tuple[str, int]]:
+    """(label, place of the name) of every short form; where several fit, the longest name.
+
+    A name counts after one of its leads, or with a version (1.0 to 4.0) behind it: "cc by" alone may be anything.
+    """
+    found = []
+    for first in forms:
+        at = -1
+        while True:
+            try:
+                at = words.index(first, at + 1)
+            except ValueError:
+                break
+            best: tuple[int, str] = (0, "")
+            for label, name, leads in forms[first]:
+                end = at + len(name)
+                if len(name) <= best[0] or words[at:end] != name:
+                    continue
+                versioned = (
+                    label.startswith("cc") and words[end : end + 1] in ([b"1"], [b"2"], [b"3"], [b"4"]) and words[end + 1 : end + 2] in ([b"0"], [b"5"])
+                )
+                if versioned or any(at >= len(lead) and words[at - len(lead) : at] == lead for lead in leads):
+                    best = len(name), label
+            if best[0]:
+                found.append((best[1], at))
+    return sorted(found, key=lambda x: x[1])
+
 #: Words of highest IDF that vote for a template (ties as well), and the least that have to agree on a place.
 RARE, AGREE = 4, 2
 LEAST_SCORE = 0.6
@@ -175,7 +237,7 @@ def _base_places(words: list[bytes]) -> list[tuple[int, str]]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of every row.
 
-    ``matches`` lists label and first word of the aligned templates.
+    ``matches`` lists label and first word of the aligned templates, then of the short forms.
     """
     index = TemplateIndex.of()
     rows = max(1, docs.count())
@@ -186,21 +248,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A file without any rare word needs no alignment.
         rare = frozenset().union(*voters)
+        forms = _short_forms()
         for batch in batches:
             out = []
             for text in batch["text"]:
                 words = tokens(text)
                 base = _base_places(words)
                 hits = aligned(words, index, voters) if not rare.isdisjoint(words) else []
+                short = _short_places(words, forms)
                 starts = [s for s, _ in base]
                 base_labels = {label for _, label in base}
-                score = max([h[2] for h in hits], default=0.5 if base else 0.0)
+                score = 1.0 if short else max([h[2] for h in hits], default=0.5 if base else 0.0)
                 out.append(
                     (
                         len(words), len(base), min(starts, default=None), max(starts, default=None),
                         ",".join(sorted(base_labels)),
-                        ",".join(sorted(base_labels | {index.labels[t] for t, _, _ in hits})),
-                        score, [f"{index.labels[t]}:{s}" for t, s, _ in hits],
+                        ",".join(sorted(base_labels | {index.labels[t] for t, _, _ in hits} | {label for label, _ in short})),
+                        score, [f"{index.labels[t]}:{s}" for t, s, _ in hits] + [f"{label}:{s}" for label, s in short],
                     )
                 )
             columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
