@@ -4,14 +4,14 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 path of tags (and classes). Text length and punctuation are added up per path and divided by the
 number of its blocks; link text counts against its path. The two ratios are smoothed over the blocks
 in page order, fused into one score per path, and paths at or above a threshold relative to the
-page's mean are content. The content container is the deepest element that holds most of the
-content text; its blocks that do not belong to boilerplate elements are the article, so short
+page's mean are content. The content container is the deepest element that holds all of them, or the
+article or section around it; its blocks that do not belong to boilerplate elements are the article, so short
 paragraphs and headings inside it stay.
 
 NULL html counts as empty; a page without content has an empty text. Broken markup is read
 leniently: unclosed paragraphs, list items and cells end where the next one starts, end tags without a
 start are ignored, elements left open end with the page. Rows are read each on their own: repeated
-rows, ties and NULL ids need no rule; of equal containers the first in page order counts. An empty
+rows, ties and NULL ids need no rule. An empty
 table gives an empty result. Pages of any length are read whole.
 """
 
@@ -57,21 +57,27 @@ ENDS = {
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "td", "th", "blockquote", "main"}
 MARKS = frozenset(".,;:!?…。，；：！？")
 THRESHOLD = 0.5
+ARTICLE = {"article", "main"}
+#: Elements that group blocks; lists, tables and quotes are parts of what surrounds them.
+GROUPS = {"article", "main", "section", "div", "body", "html"}
 
 
 class Block:
-    """A run of text: path, chain of open elements (numbers), text, characters inside links."""
+    """A run of text: path, chain of open elements (numbers), their tags, those with a boilerplate class, text, characters inside links."""
 
-    __slots__ = ("chain", "dropped", "linked", "path", "text")
+    __slots__ = ("chain", "dropped", "linked", "marked", "path", "tags", "text")
 
-    def __init__(self, path: str, chain: tuple[int, ...], dropped: bool, text: str, linked: int):
-        self.path, self.chain, self.dropped, self.text, self.linked = path, chain, dropped, text, linked
+    def __init__(
+        self, path: str, chain: tuple[int, ...], tags: tuple[str, ...], marked: tuple[int, ...], dropped: bool, text: str, linked: int
+    ):
+        self.path, self.chain, self.tags, self.marked = path, chain, tags, marked
+        self.dropped, self.text, self.linked = dropped, text, linked
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order, with entities decoded and white space collapsed."""
-    # Open elements: (tag, step of the path, number, boilerplate).
-    stack: list[tuple[str, str, int, bool]] = []
+    # Open elements: (tag, step of the path, number, boilerplate, boilerplate class).
+    stack: list[tuple[str, str, int, bool, bool]] = []
     blocks: list[Block] = []
     parts: list[str] = []
     numbers = links = linked = 0
@@ -84,7 +90,9 @@ def blocks_of(html: str) -> list[Block]:
             if text:
                 outer = [e for e in stack if e[0] not in INLINE]
                 path = "/".join(e[1] for e in outer)
-                blocks.append(Block(path, tuple(e[2] for e in outer), any(e[3] for e in stack), text, linked))
+                chain, tags = tuple(e[2] for e in outer), tuple(e[0] for e in outer)
+                marked = tuple(e[2] for e in outer if e[4])
+                blocks.append(Block(path, chain, tags, marked, any(e[3] for e in outer), text, linked))
         parts, linked = [], 0
 
     while at < end:
@@ -121,7 +129,7 @@ def blocks_of(html: str) -> list[Block]:
         if name in INLINE:
             if name not in VOID:
                 links += name == "a"
-                stack.append((name, name, numbers, False))
+                stack.append((name, name, numbers, False, False))
             continue
         flush()
         if name in VOID:
@@ -135,13 +143,18 @@ def blocks_of(html: str) -> list[Block]:
                     break
         numbers += 1
         classes = " ".join(a or b or c for a, b, c in CLASS.findall(tag[3] or ""))
-        boilerplate = name in BOILERPLATE or bool(classes and BOILERPLATE_CLASS.search(classes))
-        # A header inside the article's own element is still a header; html and body never are.
-        stack.append((name, f"{name}.{classes}" if classes else name, numbers, boilerplate and name not in ("html", "body")))
+        marked = bool(classes and BOILERPLATE_CLASS.search(classes)) and name not in ("html", "body")
+        # A header inside the article's own element is still a header.
+        stack.append((name, f"{name}.{classes}" if classes else name, numbers, name in BOILERPLATE, marked))
     flush()
     return blocks
 
 
+def _marked(blocks: list[Block]) -> list[bool]:
+    """Blocks inside an element whose class says boilerplate."""
+    return [bool(b.marked) for b in blocks]
+
+
 def content_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the article."""
     if not blocks:
@@ -163,27 +176,24 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
     fused: dict[str, float] = defaultdict(float)
     for b, x, y in zip(blocks, long_, marked, strict=True):
         fused[b.path] += (x / mean_long + y / mean_marked) / 2 / count[b.path]
-    kept = [b for b in blocks if not b.dropped]
-    content = [b for b in kept if fused[b.path] >= THRESHOLD and length[b.path] > 0] or kept
-    # The deepest element with most of the content text.
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    for b in content:
-        for d, element in enumerate(b.chain):
-            weight[element] += len(b.text)
-            depth[element] = d
-    total = sum(len(b.text) for b in content)
-    holders = [e for e, w in weight.items() if w >= 0.6 * total]
-    if not holders:
-        return content
-    container = max(holders, key=lambda e: (depth[e], -e))
-    # A lone paragraph is no container: its parent may hold a heading and shorter paragraphs.
-    chain = next(b.chain for b in content if container in b.chain)
-    inside = [b for b in kept if container in b.chain]
-    if len(inside) == 1 and depth[container] > 0:
-        container = chain[depth[container] - 1]
-        inside = [b for b in kept if container in b.chain]
-    return inside
+    marked = _marked(blocks)
+    plain = [b for b, m in zip(blocks, marked, strict=True) if not b.dropped and not m]
+    content = [b for b in plain if fused[b.path] >= THRESHOLD and length[b.path] > 0] or plain
+    if not content:
+        return []
+    # The deepest element around all of it: the open elements that all chains begin with.
+    chain, tags = content[0].chain, content[0].tags
+    depth = min(len(b.chain) for b in content)
+    while depth and any(b.chain[:depth] != chain[:depth] for b in content):
+        depth -= 1
+    # A lone paragraph, list or table is no container: what surrounds it may hold a heading and more.
+    while depth > 1 and tags[depth - 1] not in GROUPS:
+        depth -= 1
+    article = max((d for d in range(depth) if tags[d] in ARTICLE), default=-1)
+    if article >= 0:
+        depth = article + 1
+    inside = {id(b) for b in plain if b.chain[:depth] == chain[:depth]} | set(map(id, content))
+    return [b for b in blocks if id(b) in inside]
 
 
 def main_text(html: str) -> str:
