@@ -8,6 +8,9 @@ page's mean are content. The content container is the deepest element that holds
 article or section around it; its blocks that do not belong to boilerplate elements are the article, so short
 paragraphs and headings inside it stay.
 
+Elements such as nav are boilerplate. A class, id or role that says so only lowers the scores of what
+is inside; it says nothing about elements that hold an article or most of the page's text.
+
 NULL html counts as empty; a page without content has an empty text. Broken markup is read
 leniently: unclosed paragraphs, list items and cells end where the next one starts, end tags without a
 start are ignored, elements left open end with the page. Rows are read each on their own: repeated
@@ -57,6 +60,8 @@ ENDS = {
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "td", "th", "blockquote", "main"}
 MARKS = frozenset(".,;:!?…。，；：！？")
 THRESHOLD = 0.5
+#: Share of its score that a block keeps inside an element with a boilerplate class.
+MARKED_SHARE = 0.25
 ARTICLE = {"article", "main"}
 #: Elements that group blocks; lists, tables and quotes are parts of what surrounds them.
 GROUPS = {"article", "main", "section", "div", "body", "html"}
@@ -143,7 +148,7 @@ def blocks_of(html: str) -> list[Block]:
                     break
         numbers += 1
         classes = " ".join(a or b or c for a, b, c in CLASS.findall(tag[3] or ""))
-        marked = bool(classes and BOILERPLATE_CLASS.search(classes)) and name not in ("html", "body")
+        marked = bool(classes and BOILERPLATE_CLASS.search(classes)) and name not in ("html", "body", *ARTICLE)
         # A header inside the article's own element is still a header.
         stack.append((name, f"{name}.{classes}" if classes else name, numbers, name in BOILERPLATE, marked))
     flush()
@@ -151,8 +156,30 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def _marked(blocks: list[Block]) -> list[bool]:
-    """Blocks inside an element whose class says boilerplate."""
-    return [bool(b.marked) for b in blocks]
+    """Blocks inside an element whose class says boilerplate and whose content does not say otherwise."""
+    said = {e for b in blocks for e in b.marked}
+    if not said:
+        return [False] * len(blocks)
+    holds: dict[int, int] = defaultdict(int)
+    # Of text that stands in an article.
+    articles: dict[int, int] = defaultdict(int)
+    around: set[int] = set()
+    total = in_articles = 0
+    for b in blocks:
+        if b.dropped:
+            continue
+        last = max((d for d, tag in enumerate(b.tags) if tag in ARTICLE), default=-1)
+        total += len(b.text)
+        in_articles += len(b.text) if last >= 0 else 0
+        for e in b.marked:
+            holds[e] += len(b.text)
+            articles[e] += len(b.text) if last >= 0 else 0
+            if b.chain.index(e) < last:
+                around.add(e)
+    # Comments may be longer than their article: text left in an article is the article.
+    most = {e for e in said if 2 * holds[e] > total and articles[e] == in_articles}
+    boilerplate = said - around - most
+    return [not boilerplate.isdisjoint(b.marked) for b in blocks]
 
 
 def content_blocks(blocks: list[Block]) -> list[Block]:
@@ -178,9 +205,13 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
         fused[b.path] += (x / mean_long + y / mean_marked) / 2 / count[b.path]
     marked = _marked(blocks)
     plain = [b for b, m in zip(blocks, marked, strict=True) if not b.dropped and not m]
-    content = [b for b in plain if fused[b.path] >= THRESHOLD and length[b.path] > 0] or plain
+    content = [
+        b
+        for b, m in zip(blocks, marked, strict=True)
+        if not b.dropped and fused[b.path] * (MARKED_SHARE if m else 1) >= THRESHOLD and length[b.path] > 0
+    ] or plain
     if not content:
-        return []
+        return [b for b in blocks if not b.dropped]
     # The deepest element around all of it: the open elements that all chains begin with.
     chain, tags = content[0].chain, content[0].tags
     depth = min(len(b.chain) for b in content)

@@ -1,4 +1,4 @@
-"""Content outside the largest element stays."""
+"""Content outside the largest element stays, and class names do not empty a page."""
 
 from __future__ import annotations
 
@@ -21,3 +21,10 @@ P = f"<p>{T}</p>"
 )
 def test_content_outside_the_largest_element(html, text):
     assert main_text(html) == text
+
+
+@pytest.mark.parametrize("open_, close", [("<div class='layout has-sidebar'>", "</div>"), ("<div id='page-with-menu'>", "</div>"), ("<article class='post share-enabled'>", "</article>")])
+@pytest.mark.parametrize("inner", ["", "<main>"])
+def test_wrappers_with_such_class_names(open_, close, inner):
+    page = f"<body>{open_}{inner}<h1>Title</h1>{P * 3}{'</main>' if inner else ''}<div class='sidebar'>{P}</div>{close}</body>"
+    assert main_text(page) == "\n".join(["Title", T, T, T])
