@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 import shelflink.llm
 from shelflink.llm import oracles
+from shelflink.llm.centroids import clustered
 from shelflink.llm.common import table
+from shelflink.llm.embedding_dedup import near_vectors
 from shelflink.llm.exact_dedup import exact_groups
 from shelflink.llm.html_text import extract_text
 from shelflink.llm.licenses import license_scan
@@ -18,6 +20,7 @@ from shelflink.llm.mixing import mix
 from shelflink.llm.near_dedup import near_duplicates
 from shelflink.llm.quality_classifier import scored as quality_scored
 from shelflink.llm.quality_rules import judged
+from shelflink.llm.resampling import resampled
 from shelflink.llm.secrets import secret_digests
 from shelflink.llm.sentence_pieces import encoded_and_checked
 from shelflink.llm.toxicity import scored as toxicity_scored
@@ -67,6 +70,19 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity_scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op11_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors(table(spark, d, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, d: str) -> DataFrame:
+    rows = resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return clustered(table(spark, d, "embeddings"))
+
+
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_source_mix": (op1_source_mix, oracles.SOURCE_MIX),
@@ -79,5 +95,8 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op8_near_dedup": (op8_near_dedup, oracles.NEAR_DEDUP),
         "op9_quality": (op9_quality, None),
         "op10_toxicity": (op10_toxicity, None),
+        "op11_vector_dedup": (op11_vector_dedup, oracles.VECTOR_DEDUP),
+        "op12_resample": (op12_resample, oracles.RESAMPLE),
+        "op13_centroids": (op13_centroids, oracles.CENTROIDS),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
