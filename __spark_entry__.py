@@ -22,7 +22,7 @@ import oracles as sql
 from shelflink.functions import ids, similarity
 from shelflink.functions.titles import with_title_parts, with_variations
 from shelflink.operators import listings as pages
-from shelflink.operators import scoring
+from shelflink.operators import reach, scoring
 from shelflink.operators.candidates import block_by_title
 from shelflink.operators.exact import exact_matches
 from shelflink.operators.lookup import lookup_join
@@ -203,16 +203,33 @@ def exact_id_join(spark: SparkSession, d: str) -> DataFrame:
     return exact_matches(_wanted(spark, d), _catalogue(spark, d))
 
 
-def block_candidates(spark: SparkSession, d: str) -> DataFrame:
-    def titles(table: DataFrame, key: str, name: str) -> DataFrame:
+def _title_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    def titles(table: DataFrame, key: str) -> DataFrame:
         distinct = table.groupBy("title").agg(F.min(key).alias("id"))
-        return written(title_table(distinct.where(F.col("title").isNotNull())), name)
+        return title_table(distinct.where(F.col("title").isNotNull()))
 
-    return block_by_title(
-        titles(_wanted(spark, d), "position", "q"), titles(_catalogue(spark, d), "listing_pos", "l")
+    return (
+        stored(spark, d, "entry-titles", lambda: titles(_wanted(spark, d), "position")),
+        stored(spark, d, "listing-titles", lambda: titles(_catalogue(spark, d), "listing_pos")),
     )
 
 
+def block_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return block_by_title(*_title_tables(spark, d))
+
+
+def reach_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return reach.sharing_titles(*_title_tables(spark, d), scoring.least_base_percent(90))
+
+
+def near_title_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return reach.near_titles(*_title_tables(spark, d))
+
+
+def near_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return reach.near_words(reach.title_words(*_title_tables(spark, d))[2])
+
+
 def _page_pairs(spark: SparkSession, d: str) -> DataFrame:
     from shelflink.plans.link import _side
 
@@ -470,6 +487,9 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         ),
         "exact_id_join": (exact_id_join, f"{exact} SELECT position, listing_pos FROM found"),
         "block_candidates": (block_candidates, sql.BLOCKS),
+        "reach_candidates": (reach_candidates, sql.REACH),
+        "near_title_candidates": (near_title_candidates, sql.NEAR),
+        "near_spellings": (near_spellings, sql.SPELLINGS),
         "pair_score": (
             pair_score,
             f"""WITH {sql.page_pairs()} SELECT position, qv, listing_pos, lv, ratio, partial_ratio,

@@ -317,6 +317,74 @@ shared AS (
 candidates AS (SELECT DISTINCT query_id, listing_id FROM shared)"""
 
 
+def title_rows(queries: str, listings: str) -> str:
+    """CTEs ``qr`` and ``lr``: one row per variation with lengths and weight, ``qw`` and ``lw``: its words."""
+
+    def side(tag: str, table: str) -> str:
+        return f"""
+{tag}texts AS (
+  SELECT id, variations[i] AS text, {tokens('variations[i]')} AS toks
+  FROM {table}, unnest(range(1, len(variations) + 1)) AS u(i)),
+{tag}numbered AS (SELECT *, row_number() OVER () AS rid, list_distinct(toks) AS words FROM {tag}texts WHERE len(toks) > 0),
+{tag}r AS MATERIALIZED (
+  SELECT rid, id, len(text) AS tl, len(array_to_string(toks, ' ')) AS sl, words,
+    list_sum(list_transform(words, lambda w: len(w) + 1))::BIGINT AS whole FROM {tag}numbered),
+{tag}w AS MATERIALIZED (SELECT rid, whole, unnest(words) AS word FROM {tag}r)"""
+
+    return side("q", queries) + "," + side("l", listings)
+
+
+def titles_sharing(need: int = 72, share: int = 47) -> str:
+    """CTE ``sharing(query_id, listing_id)`` over ``title_rows``."""
+
+    def most(a: str, b: str) -> str:
+        return f"least(100.0::DOUBLE, least({a}, {b}) * 200.0::DOUBLE / greatest({a} + {b}, 1) + 0.5::DOUBLE)"
+
+    def weight(short: float, long: float) -> str:
+        return f"CASE WHEN q.tl > 50 OR l.tl > 50 THEN {long}::DOUBLE ELSE {short}::DOUBLE END"
+
+    token_set = f"greatest({most('(s - 1)', 'least(q.whole - 1, l.whole - 1)')}, {most('(q.whole - 1)', '(l.whole - 1)')})"
+    return f"""
+common AS (
+  SELECT q.rid AS q, l.rid AS l, sum(len(word) + 1)::BIGINT AS s FROM qw q JOIN lw l USING (word)
+  GROUP BY 1, 2 HAVING sum(len(word) + 1) * 100 >= least(any_value(q.whole), any_value(l.whole)) * {share}),
+sharing AS (
+  SELECT DISTINCT q.id AS query_id, l.id AS listing_id FROM common c JOIN qr q ON q.rid = c.q JOIN lr l ON l.rid = c.l
+  WHERE floor(({most('q.tl', 'l.tl')} * {weight(0.15, 0.1)} + 100.0::DOUBLE * {weight(0.2, 0.1)}
+      + {most('q.sl', 'l.sl')} * {weight(0.25, 0.2)} + {token_set} * {weight(0.4, 0.6)})
+    * CASE WHEN q.tl + l.tl > 100 THEN CASE WHEN abs(q.tl - l.tl) > 30 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END
+        WHEN abs(q.tl - l.tl) > 10 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END + 1e-9::DOUBLE) >= {need})"""
+
+
+NEAR_WORDS = """
+vocabulary AS (SELECT word, 'q' AS side FROM qw WHERE len(word) >= 5 UNION SELECT word, 'l' FROM lw WHERE len(word) >= 5),
+drops AS (
+  SELECT DISTINCT side, word, unnest(list_append(list_transform(range(1, len(word) + 1),
+    lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word)) AS rest FROM vocabulary),
+alike AS MATERIALIZED (
+  SELECT DISTINCT q.word, l.word AS near FROM drops q JOIN drops l ON l.rest = q.rest AND l.side = 'l' AND l.word <> q.word
+  WHERE q.side = 'q')"""
+
+
+def titles_near(percent: int = 80) -> str:
+    """CTE ``near(query_id, listing_id)`` over ``title_rows``."""
+    return f"""{NEAR_WORDS},
+called AS (SELECT word, word AS near FROM (SELECT DISTINCT word FROM qw) UNION ALL SELECT word, near FROM alike),
+met AS MATERIALIZED (
+  SELECT q.rid AS q, l.rid AS l, q.word AS a, l.word AS b, q.whole AS qwhole, l.whole AS lwhole
+  FROM qw q JOIN called c ON c.word = q.word JOIN lw l ON l.word = c.near
+  WHERE least(q.whole, l.whole) * 100 >= greatest(q.whole, l.whole) * {percent}),
+known AS (
+  SELECT q, l FROM (SELECT DISTINCT q, l, a, qwhole FROM met) GROUP BY q, l
+  HAVING sum(len(a) + 1) * 100 >= any_value(qwhole) * {percent}),
+offered AS (
+  SELECT q, l FROM (SELECT DISTINCT m.q, m.l, b, lwhole FROM met m JOIN known k ON k.q = m.q AND k.l = m.l) GROUP BY q, l
+  HAVING sum(len(b) + 1) * 100 >= any_value(lwhole) * {percent}),
+near AS (
+  SELECT DISTINCT q.id AS query_id, l.id AS listing_id
+  FROM offered o JOIN qr q ON q.rid = o.q JOIN lr l ON l.rid = o.l)"""
+
+
 def page_pairs(author_scores_pairs: bool = False, by_title: bool = False) -> str:
     """CTEs up to ``scored``: every variation pair of an entry and the listings it meets.
 
@@ -329,7 +397,9 @@ def page_pairs(author_scores_pairs: bool = False, by_title: bool = False) -> str
             NULL::VARCHAR AS author FROM listings GROUP BY title),
             {title_parts('firsts', 'lt')},
             qids AS (SELECT position AS id, variations FROM qt),
-            lids AS (SELECT listing_pos AS id, variations FROM lt),{candidate_words('qids', 'lids')}"""
+            lids AS (SELECT listing_pos AS id, variations FROM lt),{title_rows('qids', 'lids')},
+            {titles_sharing()},{titles_near()},
+            candidates AS (SELECT * FROM sharing UNION SELECT * FROM near)"""
     met = (
         "candidates c JOIN qv q ON q.position = c.query_id JOIN lv l ON l.listing_pos = c.listing_id"
         if by_title
@@ -415,8 +485,11 @@ matches AS (
     AND (base_score IS NULL OR author_score IS NULL OR author_score / 100.0::DOUBLE >= 0.5))"""
 
 
-BLOCKS = f"""WITH {WANTED},{CATALOGUE},
+TITLES = f"""WITH {WANTED},{CATALOGUE},
 q0 AS (SELECT title, min(position) AS id FROM wanted WHERE title IS NOT NULL GROUP BY title),
 l0 AS (SELECT title, min(listing_pos) AS id FROM catalogue GROUP BY title),
-{title_parts('q0', 'qt')},{title_parts('l0', 'lt')},{candidate_words('qt', 'lt')}
-SELECT query_id, listing_id FROM candidates"""
+{title_parts('q0', 'qt')},{title_parts('l0', 'lt')},"""
+BLOCKS = f"{TITLES}{candidate_words('qt', 'lt')} SELECT query_id, listing_id FROM candidates"
+REACH = f"{TITLES}{title_rows('qt', 'lt')},{titles_sharing()} SELECT query_id, listing_id FROM sharing"
+NEAR = f"{TITLES}{title_rows('qt', 'lt')},{titles_near()} SELECT query_id, listing_id FROM near"
+SPELLINGS = f"{TITLES}{title_rows('qt', 'lt')},{NEAR_WORDS} SELECT word, near FROM alike"

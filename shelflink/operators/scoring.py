@@ -136,6 +136,50 @@ def least_base_percent(threshold: int) -> int:
     return 101
 
 
+def least_shared_percent(need: float, weights: Mapping[str, float] = WEIGHTS) -> int:
+    """Least part of the lighter title, in percent, that common words must make up for a score of ``need``.
+
+    A window can match perfectly, so the other measures average ``t`` at least, by the weights of short or of
+    long titles. Where spelling does not reach ``t``, the token-set measure of the common words has to,
+    which is ``200 * common / (common + title)``; measures are rounded to whole numbers.
+    """
+    least = 100.0
+    for used in (weights, LONG_WEIGHTS):
+        window = used["partial_ratio"]
+        t = (need - 100 * window) / max(1 - window, 1e-9) - 0.5
+        least = min(least, 100 * t / (200 - t))
+    return max(1, int(least))
+
+
+def token_bound(
+    weights: Mapping[str, float], q_text: Column, l_text: Column, q_sorted: Column, l_sorted: Column,
+    q_set: Column, l_set: Column, shared: Column,
+) -> Column:
+    """Highest weighted sum, with its length penalty, of a pair of titles with these lengths.
+
+    Lengths are those of the texts, of the sorted words, of the distinct words and of the distinct words in
+    common, each joined by blanks. No common subsequence is longer than the shorter side, and the
+    token-set measure is one of the common words against a side, or of the two sides.
+    """
+    most = lambda a, b: F.least(F.lit(100.0), F.least(a, b) * 200.0 / F.greatest(a + b, F.lit(1)) + 0.5)
+    of_common = most(shared, F.least(q_set, l_set))
+    parts = {
+        "ratio": most(q_text, l_text),
+        "partial_ratio": F.lit(100.0),
+        "token_sort_ratio": most(q_sorted, l_sorted),
+        "token_set_ratio": F.greatest(of_common, most(q_set, l_set)),
+    }
+    is_long = (q_text > LONG_TITLE) | (l_text > LONG_TITLE)
+    total = F.lit(0.0)
+    for name in WEIGHTS:
+        total = total + parts[name] * F.when(is_long, float(LONG_WEIGHTS[name])).otherwise(float(weights[name]))
+    gap, both = F.abs(q_text - l_text), q_text + l_text
+    penalty = F.when((both > LONG_SUM) & (gap > LONG_GAP), LONG_GAP_FACTOR).when(
+        (both <= LONG_SUM) & (gap > SHORT_GAP), SHORT_GAP_FACTOR
+    )
+    return total * penalty.otherwise(1.0) + 1e-9
+
+
 def best_per_query(scored: DataFrame, *keys: str) -> DataFrame:
     """Highest positive base score per key.
 

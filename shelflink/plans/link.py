@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflink.functions.ids import normalize_isbn
-from shelflink.operators.candidates import MIN_OVERLAP, block_by_title
+from shelflink.operators.candidates import block_by_title
 from shelflink.operators.exact import exact_matches, exact_matches_on_page
 from shelflink.operators.lookup import lookup_join
+from shelflink.operators.reach import titles_in_reach
 from shelflink.operators.scoring import (
+    AUTHOR_LIKE_FACTOR,
     FLOOR_RULES,
     WEIGHTS,
     applies_to_query,
@@ -77,7 +79,7 @@ def _best_on_page(
 
 
 def _best_by_title(
-    entries: DataFrame, listings: DataFrame, scoring: dict, skew: dict, min_overlap: int
+    entries: DataFrame, listings: DataFrame, scoring: dict, skew: dict, reach: float, min_overlap: int | None
 ) -> DataFrame:
     """Entries with ``listing_pos`` and ``base_score``, without result pages.
 
@@ -104,8 +106,12 @@ def _best_by_title(
     offered = written(
         title_table(distinct_listings, *(["author"] if by_author else [])), "listing-titles"
     )
+    if min_overlap is None:
+        met = titles_in_reach(wanted, offered, reach / (AUTHOR_LIKE_FACTOR if by_author else 1), scoring["weights"])
+    else:
+        met = block_by_title(wanted, offered, min_overlap)
     pairs = (
-        block_by_title(wanted, offered, min_overlap)
+        written(met, "candidates")
         .join(_side(wanted.drop("n", "title"), "q").withColumnRenamed("q_id", "query_id"), "query_id")
         .join(_side(offered, "l").withColumnRenamed("l_id", "listing_id"), "listing_id")
     )
@@ -191,7 +197,7 @@ def link(
     weights: Mapping[str, float] = WEIGHTS,
     floor_rules: Sequence[tuple[str, str, int]] = FLOOR_RULES,
     title_authors: DataFrame | None = None,
-    min_overlap: int = MIN_OVERLAP,
+    min_overlap: int | None = None,
     prune: bool = True,
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -200,14 +206,14 @@ def link(
     ``entries(position, title, author, isbn)`` with unique ``position``; ``listings(listing_pos,
     title, author, isbn, price, url, cover_url)`` with unique ``listing_pos``, the order in which
     listings win ties. Missing text is NULL. When ``listings`` has a ``query_id`` column, an entry
-    only meets the listings found for it (``query_id`` = ``position``); otherwise candidates come
-    from shared title words. ``title_authors(title, author)`` lets author similarity weigh in on
+    only meets the listings found for it (``query_id`` = ``position``); otherwise candidates are the
+    titles in reach of the lowest score that bonuses can lift to the threshold (``operators.reach``), or with
+    ``min_overlap`` those that share that much word weight (``operators.candidates``). ``title_authors(title, author)`` lets author similarity weigh in on
     every pair. ``prune`` never changes the result, only its cost. The inputs are read several
     times: pass stored tables, or write derived ones first (``shelflink.scratch.written``).
     """
     matched = _best_listings(
-        entries, listings, use_isbn, weights, floor_rules, title_authors, min_overlap,
-        least_base_percent(threshold) if prune else None, hot_rows,
+        entries, listings, use_isbn, weights, floor_rules, title_authors, threshold, min_overlap, prune, hot_rows
     )
     return _decide(matched, threshold, require_author, floor_rules)
 
@@ -222,7 +228,7 @@ def closest_matches(
     weights: Mapping[str, float] = WEIGHTS,
     floor_rules: Sequence[tuple[str, str, int]] = FLOOR_RULES,
     title_authors: DataFrame | None = None,
-    min_overlap: int = MIN_OVERLAP,
+    min_overlap: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """``(position, query, closest, score, reason)``: the best listing of every entry, accepted or not.
@@ -231,7 +237,7 @@ def closest_matches(
     to compare with; score 0). Arguments as in ``link``; nothing is pruned by the threshold.
     """
     matched = _best_listings(
-        entries, listings, use_isbn, weights, floor_rules, title_authors, min_overlap, None, hot_rows
+        entries, listings, use_isbn, weights, floor_rules, title_authors, threshold, min_overlap, False, hot_rows
     )
     fits = _author_fits() if require_author else F.lit(True)
     reason = (
@@ -253,11 +259,12 @@ def _best_listings(
     weights: Mapping[str, float],
     floor_rules: Sequence[tuple[str, str, int]],
     title_authors: DataFrame | None,
-    min_overlap: int,
-    need: float | None,
+    threshold: int,
+    min_overlap: int | None,
+    prune: bool,
     hot_rows: int | None,
 ) -> DataFrame:
-    """Each entry with its best listing: by identifier, else by title among pairs that reach ``need``."""
+    """Each entry with its best listing: by identifier, else by title, with ``prune`` among pairs that can be accepted."""
     skew = {} if hot_rows is None else {"hot_rows": hot_rows}
     on_page = "query_id" in listings.columns
     entries = entries.select(
@@ -277,13 +284,13 @@ def _best_listings(
     untried = untried.drop("listing_pos").withColumn(
         "named", applies_to_query(floor_rules, "title")
     )
-    scoring = {"weights": weights}
-    if need is not None:
+    scoring, need = {"weights": weights}, least_base_percent(threshold)
+    if prune:
         scoring |= {"need": need, "keep_all": F.col("q_named")}
     if on_page:
         fuzzy = _best_on_page(untried, listings, scoring, skew)
     else:
-        fuzzy = _best_by_title(untried, listings, scoring, skew, min_overlap)
+        fuzzy = _best_by_title(untried, listings, scoring, skew, need, min_overlap)
 
     by_id = entries.where(F.col("listing_pos").isNotNull()).withColumn(
         "base_score", F.lit(None).cast("double")
