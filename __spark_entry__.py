@@ -306,7 +306,7 @@ def closest_by_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_parts_by_title(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(link(_part_entries(spark, d), _part_listings(spark, d).drop("query_id")))
+    return _flat(link(_part_entries(spark, d), _part_listings(spark, d).drop("query_id"), min_overlap=60))
 
 
 def link_by_title(spark: SparkSession, d: str) -> DataFrame:

@@ -92,9 +92,20 @@ def _word_lists(titles: DataFrame, counts: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _code(word: Column) -> Column:
+    """52 bits of a word's hash and its weight, at most ``MOST_WEIGHT``."""
+    return F.shiftleft(F.xxhash64(word), 12).bitwiseOR(F.least(word_weight(word), F.lit(MOST_WEIGHT)))
+
+
+def _weight_of_codes(codes: Column) -> Column:
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda total, code: total + code.bitwiseAND(F.lit(MOST_WEIGHT)))
+
+
 def _rows(lists: DataFrame, prefix: int | None) -> DataFrame:
-    """One row per word, or per prefix word; lengths and word list travel along unless the list is very long."""
-    carried = F.when(F.size("entries") <= CARRIED_WORDS, F.col("entries.word"))
+    """One row per word, or per prefix word; lengths and codes of all words travel along unless these are very many."""
+    own = F.col("entries.word")
+    codable = (F.size(own) <= CARRIED_WORDS) & ~F.exists(own, lambda word: word_weight(word) > MOST_WEIGHT)
+    carried = F.when(codable, F.transform(own, _code))
     side = F.struct("variation", "text_length", "sorted_length").alias("variation")
     rows = lists.select("id", side, "whole", carried.alias("words"), F.explode_outer("entries").alias("e"))
     if prefix is not None:
@@ -129,7 +140,8 @@ def sharing_titles(
 ) -> DataFrame:
     """``(query_id, listing_id)`` of two ``title_table`` tables by common words, see above.
 
-    Both inputs must be tables that are cheap to read again.
+    Both inputs must be tables that are cheap to read again. Words of a pair are compared by 52 bits of
+    their hashes, very long or very many ones by themselves.
     """
     percent = least_shared_percent(need, weights)
     q_lists, l_lists = lists or title_words(queries, listings)[:2]
@@ -143,7 +155,7 @@ def sharing_titles(
     # Everything shared comes at or after the first shared word, on both sides.
     reachable = enough(F.least("q_rest", "l_rest"))
     carried = F.col("q_words").isNotNull() & F.col("l_words").isNotNull()
-    verified = enough(_weight_of(F.array_intersect("q_words", "l_words")))
+    verified = enough(_weight_of_codes(F.array_intersect("q_words", "l_words")))
     parts = [
         _met(_rows(q_lists, percent), _rows(l_lists, None), cell_rows).where(F.col("q_whole") <= F.col("l_whole")),
         _met(_rows(q_lists, None), _rows(l_lists, percent), cell_rows).where(F.col("q_whole") > F.col("l_whole")),
@@ -181,15 +193,6 @@ def near_words(counts: DataFrame) -> DataFrame:
     return wanted.join(offered, "left").where("word <> near").select("word", "near").distinct()
 
 
-def _code(word: Column) -> Column:
-    """52 bits of a word's hash and its weight, at most ``MOST_WEIGHT``."""
-    return F.shiftleft(F.xxhash64(word), 12).bitwiseOR(F.least(word_weight(word), F.lit(MOST_WEIGHT)))
-
-
-def _weight_of_codes(codes: Column) -> Column:
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda total, code: total + code.bitwiseAND(F.lit(MOST_WEIGHT)))
-
-
 def _spelled(lists: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per entry variation: its words with their ``keys``, all they may be called by a listing.
 
