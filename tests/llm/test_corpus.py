@@ -20,15 +20,21 @@ on_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
+    def value(v):
+        if pd.isna(v):
+            return "NULL"
+        return repr(float(v)) if isinstance(v, (int, float)) else str(v)
+
     rows = frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None)
-    return sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
+    return sorted(tuple(map(value, r)) for r in rows)
 
 
 @on_data
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_queries_against_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for view in ("documents", "embeddings", "benchmark"):
+        duck.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     query, sql = QUERIES[name]
     got, want = query(spark, FOLDER).toPandas(), duck.execute(sql).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
