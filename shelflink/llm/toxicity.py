@@ -1,45 +1,50 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Every word of the labelled examples is indexed. An example or document is the unit vector of
-(1 + log count) * idf, idf counted over all documents. Words that go with the label (chi-squared at least
-``LEAST_CHI2``, at least ``LEAST_LIFT`` times as frequent in one class as in the other) weigh
-``TELLING`` times as much; no word is left out. Words that no example has would scale all cosines of
-a text alike, so they change no neighbour; they are not counted.
-
-Examples are sorted by their heaviest terms and cut into blocks. The ``DENSE`` most frequent terms are stored as
-columns with the largest weight of each block, all others as postings. The postings of a query's terms
-are added up; with the largest weights of its frequent terms they bound the similarity of a block's
-examples. Blocks are scored in falling order of this bound unless it is below the similarity of
-the k-th best example, in single precision; whatever is near the k-th best is scored again in double
-precision, so the k nearest are exact; ties go to the smaller doc_id. Votes weigh
-1 / (distance + 0.05); the share of toxic votes is calibrated by isotonic regression on held-back
-examples, which then join the index. Texts without any word of the examples get the rate of such examples.
-
-Bound of the fit: ``TRAIN_ROWS`` labelled documents chosen by hash. Everything else covers
-all rows and whole texts. NULL text counts as empty. Without any labelled document the score is 0.5.
-Repeated rows are scored each. Rows without ``doc_id`` are scored, never learned from. NULL labels
-are left out; differing labels of a document average. An empty table gives an empty result.
+An example or document is the unit vector of (1 + log count) * idf over all its words, idf counted over all
+documents; a word that no example has counts as a word of one document. Labels change no weight, so cosines are those of
+plain TF-IDF.
+
+Examples are sorted by their heaviest terms and cut into blocks. Each posting list keeps its largest
+weight in each block; the ``DENSE`` most frequent terms are stored as columns. The largest weights
+bound the similarity of a block's examples. Blocks are scored in falling order of this bound; a query
+skips those whose bound is below the similarity of its k-th best example, postings included. That is done in
+single precision; whatever is near the k-th best is scored again in double precision, so the k nearest are
+exact; ties go to the smaller doc_id.
+
+``VOTERS`` examples vote with weight 1 / (distance + 0.05), times 1 + ``TELLING`` for each telling word that
+text and example share: a word that goes with the label (chi-squared at least ``LEAST_CHI2``, at least ``LEAST_LIFT`` times
+as frequent in one class as in the other). The share of toxic votes is calibrated by isotonic regression on
+held-back examples, which vote only afterwards. Texts without any word of the examples get the rate of such
+examples. The ``NEAREST`` first voters and the telling words are the evidence.
+
+Bound of the fit: labelled documents in the order of a hash, at most ``TRAIN_ROWS`` and ``TRAIN_BYTES`` of
+text. The arrays of the index follow from it (at most four bytes for each byte of text, usually less than one), pass
+the driver once and are broadcast; tasks count the words, build the index and calibrate. Everything else covers all rows and whole
+texts. NULL text counts as empty. Without any labelled document the score is 0.5.
+Repeated rows are scored each; of differing texts of one doc_id the one with the smallest hash is learned from, once. Rows
+without ``doc_id`` are scored, never learned from. NULL labels are left out; differing labels of a
+document average. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflink.llm.common import Scratch, text_of
+from shelflink.llm.common import Scratch, in_slices, text_of
 from shelflink.llm.labelled import bin_of, calibrated, calibration, remainder, training_texts
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, TRAIN_BYTES = 20_000, 64 << 20
 TELLING = 10.0
 LEAST_CHI2, LEAST_LIFT, LEAST_DOCS = 25.0, 3.0, 4
-NEAREST = 15
+NEAREST, VOTERS = 15, 50
 BLOCK = 64
 #: Terms stored as columns, blocks scored together, queries searched together.
 DENSE, GROUP, TOGETHER = 256, 16, 64
@@ -47,6 +52,8 @@ DENSE, GROUP, TOGETHER = 256, 16, 64
 SLACK = 1e-5
 THRESHOLD = 0.7
 REMEMBERED = 50_000
+#: Different words counted in a task before they are looked up.
+COUNTED = 500_000
 #: A-Z to a-z; letters, digits and bytes of non-ASCII characters stay, all else parts words.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -62,133 +69,210 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def unit(counts: dict[int, int], idf: np.ndarray, others: float = 0.0) -> dict[int, float]:
+    """Unit vector of counted terms; ``others`` is the squared length of what has no number."""
+    terms = sorted(counts)
+    weights = (1 + np.log([counts[t] for t in terms])) * idf[terms] if terms else np.zeros(0)
+    return dict(zip(terms, (weights / np.sqrt(weights @ weights + others)).tolist() if terms else [], strict=True))
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples: columns of frequent terms with the largest weights of each block, postings of the rest."""
+    """Unit vectors of examples by blocks: columns of frequent terms, postings of the rest, both with the largest weight of each block."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: Iterable[dict[int, float]], y: list[float]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
+    def __init__(
+        self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: Iterable[dict[int, float]], y: list[float],
+        telling: np.ndarray | None = None, unknown: float = 1.0,
+    ):
         lists = [(np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), float, len(v))) for v in vectors]
-        heaviest = [t[np.argsort(-w, kind="stable")[:8]].tolist() for t, w in lists]
-        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.y = np.array([y[i] for i in order])
-        self.blocks = -(-len(order) // BLOCK)
+        self._build(
+            terms, idf, np.array(ids, np.int64), np.array([len(t) for t, _ in lists], np.int64),
+            np.concatenate([np.zeros(0, np.int32), *(t for t, _ in lists)]),
+            np.concatenate([np.zeros(0), *(w for _, w in lists)]), np.array(y, float), telling, unknown,
+        )
+
+    @classmethod
+    def of_counts(cls, given: dict) -> BlockMaxIndex:
+        """Index of the arrays that ``fit_toxicity`` sends out; examples without words are left out."""
+        lengths, terms, idf = given["lengths"], given["terms"], given["idf"]
+        weights = (1 + np.log(given["counts"])) * idf[terms]
+        some = lengths > 0
+        lengths = lengths[some]
+        if len(lengths):
+            norms = np.sqrt(np.add.reduceat(weights * weights, _offsets(lengths)[:-1]))
+            weights /= np.repeat(norms, lengths)
+        index = cls.__new__(cls)
+        index._build(
+            given["words"].split(), idf, given["ids"][some], lengths, terms, weights, given["y"][some],
+            given["telling"], given["unknown"], given["held"][some],
+        )
+        return index
+
+    def _build(self, words, idf, ids, lengths, terms, weights, y, telling, unknown, held=None) -> None:
+        self.number = {w: i for i, w in enumerate(words)}
+        self.idf, self.unknown = idf, unknown
+        self.telling = np.zeros(len(words), bool) if telling is None else telling
+        n, m = len(ids), len(words)
+        # Examples by their eight heaviest terms, the doc_id last.
+        row = np.repeat(np.arange(n), lengths)
+        first = _offsets(lengths)[:-1]
+        by_weight = np.lexsort((terms, -weights, row))
+        rank = np.arange(len(terms)) - np.repeat(first, lengths)
+        heaviest = np.full((n, 8), -1, np.int64)
+        top = rank < 8
+        heaviest[row[top], rank[top]] = terms[by_weight[top]]
+        order = np.lexsort((ids, *heaviest.T[::-1]))
+        moved = _ranges(first[order], lengths[order])
+        self.ids, self.y = ids[order], y[order]
+        self.held = np.zeros(n, bool) if held is None else held[order]
         # Rows: the vector of each example.
-        self.starts = np.cumsum([0, *(len(lists[i][0]) for i in order)])
-        self.terms = np.concatenate([np.zeros(0, np.int32), *(lists[i][0] for i in order)])
-        self.weights = np.concatenate([np.zeros(0), *(lists[i][1] for i in order)])
-        self.ready = False
-
-    def __getstate__(self) -> dict:
-        """Only the rows travel; each process makes columns and postings of its own."""
-        made = {"column", "dense", "largest", "places", "shares", "posted"}
-        return {k: v for k, v in self.__dict__.items() if k not in made} | {"ready": False}
-
-    def prepare(self) -> None:
-        """Columns of the frequent terms, postings of the others."""
-        terms = self.number
-        rows = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
-        frequent = np.argsort(-np.bincount(self.terms, minlength=len(terms)), kind="stable")[:DENSE]
-        self.column = np.full(len(terms), -1, np.int32)
+        self.starts, self.terms, self.weights = _offsets(lengths[order]), terms[moved], weights[moved]
+        self.blocks = -(-n // BLOCK)
+        place = np.repeat(np.arange(n, dtype=np.int32), lengths[order])
+        frequent = np.argsort(-np.bincount(self.terms, minlength=m), kind="stable")[:DENSE]
+        self.column = np.full(m, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         column = self.column[self.terms]
         inside = column >= 0
         self.dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
-        self.dense[rows[inside], column[inside]] = self.weights[inside]
+        self.dense[place[inside], column[inside]] = self.weights[inside]
         self.largest = self.dense.reshape(self.blocks, BLOCK, len(frequent)).max(1)
+        # Postings by term and place; an entry is the part of a list that lies in one block.
         others = np.flatnonzero(~inside)
         others = others[np.argsort(self.terms[others], kind="stable")]
-        self.places, self.shares = rows[others], self.weights[others].astype(np.float32)
-        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.terms[others], minlength=len(terms)))])
-        self.ready = True
+        term, self.places, self.shares = self.terms[others], place[others], self.weights[others].astype(np.float32)
+        key = term.astype(np.int64) * max(self.blocks, 1) + self.places // BLOCK
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.entry_start, self.entry_length = begin, np.diff(np.append(begin, len(key)))
+        self.entry_block = self.places[begin] // BLOCK
+        self.entry_largest = np.maximum.reduceat(self.shares, begin) if len(begin) else self.shares
+        self.entries = np.searchsorted(term[begin], np.arange(m + 1))
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
-        return unit(Counter(map(self.number.__getitem__, filter(self.number.__contains__, words))), self.idf)
-
-    def nearest_of(self, queries: list[dict[int, float]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and cosines of the k most similar examples with a term in common, for each query."""
-        if not len(self.ids):
-            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
-        if not self.ready:
-            self.prepare()
-        given = [(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))) for q in queries]
-        slots = self.blocks * BLOCK
-        posted = np.zeros((len(queries), slots), np.float32)
-        columns = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        for r, (terms, weights) in enumerate(given):
-            at = self.column[terms]
-            columns[r, at[at >= 0]] = weights[at >= 0]
-            terms, weights = terms[at < 0], weights[at < 0]
-            lengths = self.posted[terms + 1] - self.posted[terms]
-            found = _ranges(self.posted[terms], lengths)
-            posted[r] = np.bincount(self.places[found], self.shares[found] * np.repeat(weights, lengths), slots)
-        bound = columns @ self.largest.T + posted.reshape(len(queries), self.blocks, BLOCK).max(2)
-        best = np.zeros((len(queries), k), np.float32)
-        score = np.zeros((len(queries), slots), np.float32)
+        known: Counter[int] = Counter()
+        others = 0.0
+        for word, count in Counter(words).items():
+            if (number := self.number.get(word)) is None:
+                others += ((1 + np.log(count)) * self.unknown) ** 2
+            else:
+                known[number] = count
+        return unit(known, self.idf, others)
+
+    def _near(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, hide: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose similarity in single precision may be one of the k largest, as a mask for each query."""
+        n, slots = len(given), self.blocks * BLOCK
+        columns = np.zeros((n, self.dense.shape[1]), np.float32)
+        query = np.repeat(np.arange(n), [len(t) for t, _ in given])
+        terms, weights = np.concatenate([t for t, _ in given]), np.concatenate([w for _, w in given]).astype(np.float32)
+        at = self.column[terms]
+        columns[query[at >= 0], at[at >= 0]] = weights[at >= 0]
+        query, terms, weights = query[at < 0], terms[at < 0], weights[at < 0]
+        lengths = self.entries[terms + 1] - self.entries[terms]
+        entry = _ranges(self.entries[terms], lengths)
+        query, weights = np.repeat(query, lengths), np.repeat(weights, lengths)
+        block = self.entry_block[entry]
+        bound = np.bincount(query * self.blocks + block, self.entry_largest[entry] * weights, n * self.blocks)
+        bound = bound.reshape(n, self.blocks) + columns @ self.largest.T
         order = np.argsort(-bound.max(0), kind="stable")
-        for start in range(0, self.blocks, GROUP):
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        by_group = np.argsort(rank[block] // GROUP, kind="stable")
+        cuts = np.searchsorted(rank[block[by_group]] // GROUP, np.arange(-(-self.blocks // GROUP) + 1))
+        best = np.zeros((n, k), np.float32)
+        score = np.zeros((n, slots), np.float32)
+        local = np.full(n, -1)
+        for g, start in enumerate(range(0, self.blocks, GROUP)):
             group = order[start : start + GROUP]
-            reach = bound[:, group].max(1)
             # Rounding must not end the search early, nor leave out a tie.
-            open_ = np.flatnonzero((reach > 0) & (reach >= best.min(1) - SLACK))
+            least = best.min(1) - SLACK
+            reach = bound[:, group].max(1)
+            open_ = np.flatnonzero((reach > 0) & (reach >= least))
             if not len(open_):
                 continue
+            local[open_] = np.arange(len(open_))
+            e = by_group[cuts[g] : cuts[g + 1]]
+            e = e[(local[query[e]] >= 0) & (bound[query[e], block[e]] >= least[query[e]])]
+            width = len(group) * BLOCK
+            size = self.entry_length[entry[e]]
+            found = _ranges(self.entry_start[entry[e]], size)
+            base = local[query[e]] * width + (rank[block[e]] - start) * BLOCK
+            flat = np.repeat(base, size) + self.places[found] % BLOCK
+            cos = np.bincount(flat, self.shares[found] * np.repeat(weights[e], size), len(open_) * width)
             places = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cos = columns[open_] @ self.dense[places].T + posted[np.ix_(open_, places)]
+            cos = (cos.reshape(len(open_), width) + columns[open_] @ self.dense[places].T).astype(np.float32)
+            if hide is not None:
+                cos[:, hide[places]] = 0
             score[np.ix_(open_, places)] = cos
             best[open_] = np.partition(np.concatenate([best[open_], cos], 1), -k, 1)[:, -k:]
-        near = (score > 0) & (score >= best.min(1)[:, None] - SLACK)
+            local[open_] = -1
+        return (score > 0) & (score >= best.min(1)[:, None] - SLACK)
+
+    def nearest_of(
+        self, queries: list[dict[int, float]], k: int = NEAREST, without_held: bool = False
+    ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, cosines and common telling words of the k most similar examples with a term in common, for each query."""
+        none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        if not len(self.ids) or not queries:
+            return [none for _ in queries]
+        given = [(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))) for q in queries]
+        hide = None
+        if without_held:
+            hide = np.append(self.held, np.zeros(self.blocks * BLOCK - len(self.held), bool))
         weight_of = np.zeros(len(self.column))
         out = []
-        for r, (terms, weights) in enumerate(given):
-            at = np.flatnonzero(near[r])
+        for (terms, weights), near in zip(given, self._near(given, k, hide), strict=True):
+            at = np.flatnonzero(near)
             if not len(at):
-                out.append((at, np.zeros(0)))
+                out.append(none)
                 continue
             weight_of[terms] = weights
             lengths = self.starts[at + 1] - self.starts[at]
             row = _ranges(self.starts[at], lengths)
-            cos = np.add.reduceat(weight_of[self.terms[row]] * self.weights[row], np.cumsum(lengths) - lengths)
+            shared, cut = weight_of[self.terms[row]], _offsets(lengths)[:-1]
+            cos = np.round(np.add.reduceat(shared * self.weights[row], cut), 9)
+            common = np.add.reduceat((self.telling[self.terms[row]] & (shared > 0)).astype(np.int64), cut)
             weight_of[terms] = 0
-            cos = np.round(cos, 9)
             keep = np.lexsort((self.ids[at], -cos))[:k]
-            out.append((at[keep], cos[keep]))
+            out.append((at[keep], cos[keep], common[keep]))
         return out
 
     def nearest(self, query: dict[int, float], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of([query], k)[0]
+        return self.nearest_of([query], k)[0][:2]
 
-    def votes(self, queries: list[dict[int, float]]) -> list[tuple[float, list[int]]]:
-        """Share of toxic votes, and the doc_ids of the voters, nearest first, for each query."""
+    def votes(self, queries: list[dict[int, float]], without_held: bool = False) -> list[tuple[float, list[int]]]:
+        """Share of toxic votes, and the doc_ids of the nearest voters, for each query."""
         out = []
-        for at, cos in self.nearest_of(queries):
-            weight = 1 / (1 - np.minimum(cos, 1) + 0.05)
-            out.append((float(weight @ self.y[at] / weight.sum()) if len(at) else 0.0, self.ids[at].tolist()))
+        for at, cos, common in self.nearest_of(queries, VOTERS, without_held):
+            weight = (1 + TELLING * common) / (1 - np.minimum(cos, 1) + 0.05)
+            out.append((float(weight @ self.y[at] / weight.sum()) if len(at) else 0.0, self.ids[at[:NEAREST]].tolist()))
         return out
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    terms = sorted(counts)
-    weights = (1 + np.log([counts[t] for t in terms])) * idf[terms] if terms else np.zeros(0)
-    return dict(zip(terms, (weights / np.sqrt(weights @ weights)).tolist() if terms else [], strict=True))
+class ToxicityModel:
+    """What the fit leaves on the driver: a broadcast of the index's arrays, the calibration's steps, a rate."""
 
+    def __init__(self, shared, index_of: Callable[[dict], BlockMaxIndex], steps, rest: float):
+        self.shared, self.index_of, self.steps, self.rest = shared, index_of, steps, rest
 
-class ToxicityModel:
-    def __init__(self, index: BlockMaxIndex, telling: np.ndarray, steps, rest: float):
-        self.index, self.telling, self.steps, self.rest = index, telling, steps, rest
+    @property
+    def index(self) -> BlockMaxIndex:
+        return self.index_of(self.shared.value)
 
     def score(self, texts: Iterator[str], known: dict) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
         """Scores, nearest examples and telling words. ``known`` remembers the answers of earlier texts."""
-        names = {int(t): w.decode("utf-8", "replace") for w, t in self.index.number.items() if self.telling[t]}
+        index = self.index
+        names = {index.number[w]: w.decode("utf-8", "replace") for w in index.number if index.telling[index.number[w]]}
         votes, near, shown = [], [], []
         for some in batched(texts, TOGETHER):
             keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in some]
             if len(known) >= REMEMBERED:
                 known.clear()
             new = {key: t for key, t in zip(keys, some, strict=True) if key not in known}
-            queries = [self.index.vector(tokens(t)) for t in new.values()]
-            for key, query, (vote, ids) in zip(new, queries, self.index.votes(queries), strict=True):
+            queries = [index.vector(tokens(t)) for t in new.values()]
+            for key, query, (vote, ids) in zip(new, queries, index.votes(queries), strict=True):
                 known[key] = vote if query else np.nan, ids, [names[t] for t in query if t in names]
             for key in keys:
                 vote, ids, terms = known[key]
@@ -202,6 +286,13 @@ class ToxicityModel:
         return out, near, shown
 
 
+def built_index(given: dict) -> BlockMaxIndex:
+    """The index of the arrays, built once in each Python worker and kept beside them."""
+    if "index" not in given:
+        given["index"] = BlockMaxIndex.of_counts(given)
+    return given["index"]
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counted = [Counter(tokens(t)) for t in batch["text"]]
@@ -213,103 +304,129 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def document_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each word of ``number``, over all documents."""
+def _numbers(given: dict) -> dict[bytes, int]:
+    if "number" not in given:
+        given["number"] = {w: i for i, w in enumerate(given["words"].split())}
+    return given["number"]
 
+
+def _document_counts(docs: DataFrame, shared, n_words: int) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = np.zeros(len(number), np.int64), 0
+        number = _numbers(shared.value)
+        held, n = np.zeros(n_words, np.int64), 0
+        counted: Counter[bytes] = Counter()
+
+        def settle() -> None:
+            for word, count in counted.items():
+                if (at := number.get(word)) is not None:
+                    held[at] += count
+            counted.clear()
+
         for batch in batches:
             n += len(batch)
             for text in batch["text"]:
-                held[[number[w] for w in set(tokens(text)) if w in number]] += 1
+                counted.update(set(tokens(text)))
+                if len(counted) > COUNTED:
+                    settle()
+        settle()
         at = np.flatnonzero(held)
         yield pd.DataFrame({"term": np.append(at, -1).astype(np.int32), "n": np.append(held[at], n)})
 
-    parts = docs.select(text_of().alias("text")).mapInPandas(run, "term int, n long")
+    parts = in_slices(docs.select(text_of().alias("text")), run, "term int, n long")
     # One row a word of the examples.
     counted = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counted["term"].to_numpy(), counted["n"].to_numpy()
-    out = np.zeros(len(number), np.int64)
+    out = np.zeros(n_words, np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicityModel | None:
-    """Model of ``label``, learned where crc32(doc_id) mod 3 is not 1; None without such rows."""
-    scratch = Scratch(docs.sparkSession, "toxicity-fit")
+def document_counts(docs: DataFrame, words: Iterable[bytes]) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each of ``words``, over all documents."""
+    words = list(words)
+    shared = docs.sparkSession.sparkContext.broadcast({"words": b" ".join(words)})
+    return _document_counts(docs, shared, len(words))
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text, y, fold of the sample: one row a document, in hash order up to ``size`` bytes of text."""
     train = training_texts(docs, labels, label, remainder(3) != 1, rows)
-    counted = train.mapInPandas(_words, "doc_id long, y double, fold boolean, words array<binary>, counts array<int>")
-    counted = scratch.put(counted, "train")
-    fit = counted.where("NOT fold")
-    n, positive = fit.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    # A document that is repeated often is one example.
+    one = train.groupBy("doc_id", "y", "fold").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    one = scratch.put(one.select("doc_id", F.col("t.text").alias("text"), "y", "fold"), "texts")
+    # At most ``rows`` small rows.
+    order = Window.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("long")), "doc_id")
+    sized = one.select("doc_id", F.sum(F.octet_length("text")).over(order).alias("_size"))
+    return one.join(F.broadcast(sized.where(F.col("_size") <= size).select("doc_id")), "doc_id", "left_semi")
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES
+) -> ToxicityModel | None:
+    """Model of ``label``, learned where crc32(doc_id) mod 3 is not 1; None without such rows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity-fit")
+    train = examples_of(docs, labels, label, rows, size, scratch)
+    schema = "doc_id long, y double, fold boolean, words array<binary>, counts array<int>"
+    counted = scratch.put(in_slices(train, _words, schema), "train")
+    n, positive = counted.where("NOT fold").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not n:
         return None
     # Held-back examples are learned from as well, but say nothing about which words are telling.
     told, known_y = F.count_if(~F.col("fold")), F.coalesce(F.sum(F.expr("IF(fold, 0, y)")), F.lit(0.0))
     each = counted.select(F.explode("words").alias("word"), "y", "fold")
-    df = each.groupBy("word").agg(told.alias("df"), known_y.alias("with"))
-    # The words of at most ``rows`` texts.
-    found = df.toArrow().sort_by("word")
-    words = found["word"].to_pylist()
-    number = {w: i for i, w in enumerate(words)}
+    found = each.groupBy("word").agg(told.alias("df"), known_y.alias("with")).toArrow().sort_by("word")
     d, a = found["df"].to_numpy().astype(float), found["with"].to_numpy()
     b, other = d - a, n - positive
     chi2 = n * (a * other - b * positive) ** 2 / (positive * other * d * (n - d) + 1e-9)
     # Half a document more on both sides, so a word of one class only has a lift too.
     lift = ((a + 0.5) / (positive + 1)) / ((b + 0.5) / (other + 1))
     telling = (d >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
-    total, in_docs = document_counts(docs, number)
-    idf = (np.log((total + 1) / (in_docs + 1)) + 1) * np.where(telling, TELLING, 1.0)
+    words = spark.sparkContext.broadcast({"words": b" ".join(found["word"].to_pylist())})
+    del found
+    total, in_docs = _document_counts(docs, words, len(d))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = _numbers(words.value)
         for batch in batches:
-            found = [
-                [(number[w], int(c)) for w, c in zip(ws, cs, strict=True) if w in number]
-                for ws, cs in zip(batch["words"], batch["counts"], strict=True)
-            ]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"], "y": batch["y"], "fold": batch["fold"],
-                    "terms": [[t for t, _ in f] for f in found], "counts": [[c for _, c in f] for f in found],
-                }
-            )
-
-    examples = counted.mapInPandas(sparse, "doc_id long, y double, fold boolean, terms array<int>, counts array<int>")
-    examples = examples.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    scratch.drop(counted)
-    ids, y, fold = (examples[c].to_numpy() for c in ("doc_id", "y", "fold"))
+            terms = [[number[w] for w in ws] for ws in batch["words"]]
+            yield batch[["doc_id", "y", "fold", "counts"]].assign(terms=terms)
+
+    schema = "doc_id long, y double, fold boolean, terms array<int>, counts array<int>"
+    examples = in_slices(counted, sparse, schema).toArrow().sort_by("doc_id")
     terms, counts = (examples[c].combine_chunks() for c in ("terms", "counts"))
-    starts, terms, counts = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
-    some = np.diff(starts) > 0
-
-    def vectors(rows: np.ndarray) -> Iterator[dict[int, float]]:
-        """One at a time: dictionaries take much more memory than the index."""
-        for i in np.flatnonzero(rows).tolist():
-            row = slice(starts[i], starts[i + 1])
-            yield unit(dict(zip(terms[row].tolist(), counts[row].tolist(), strict=True)), idf)
-
-    def index_of(rows: np.ndarray) -> BlockMaxIndex:
-        return BlockMaxIndex(words, idf, ids[rows].tolist(), vectors(rows), y[rows].tolist())
-
-    # Calibrated without the held-back examples; they join the others afterwards.
-    index = index_of(some & ~fold)
-    rate, rest = float(y.mean()), y[~some]
-    bins: dict[int, list[float]] = {}
-    for held in batched(zip(vectors(some & fold), y[some & fold].tolist()), TOGETHER):
-        for (vote, _), (_, target) in zip(index.votes([v for v, _ in held]), held, strict=True):
-            step = bins.setdefault(int(bin_of(np.array([vote]))[0]), [0.0, 0])
-            step[0] += target
-            step[1] += 1
-    if bins:
-        steps = calibration([(b, s, m) for b, (s, m) in bins.items()], rate)
-    else:
-        steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    del index
-    return ToxicityModel(index_of(some), telling, steps, float((rest.sum() + rate) / (len(rest) + 1)))
+    given = {
+        "words": words.value["words"], "idf": np.log((total + 1) / (in_docs + 1)) + 1, "telling": telling,
+        "unknown": float(np.log((total + 1) / 2) + 1), "lengths": np.diff(terms.offsets.to_numpy()).astype(np.int64),
+        "terms": terms.values.to_numpy(), "counts": counts.values.to_numpy(),
+        "ids": examples["doc_id"].to_numpy(), "y": examples["y"].to_numpy(),
+        "held": examples["fold"].combine_chunks().to_numpy(zero_copy_only=False),
+    }
+    rate, rest = float(given["y"].mean()), given["y"][given["lengths"] == 0]
+    shared = spark.sparkContext.broadcast(given)
+    del given, examples, terms, counts
+
+    def held_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = built_index(shared.value)
+        for batch in batches:
+            for some in batched(zip(batch["words"], batch["counts"], batch["y"], strict=True), TOGETHER):
+                queries = [
+                    unit({index.number[w]: int(c) for w, c in zip(ws, cs, strict=True)}, index.idf) for ws, cs, _ in some
+                ]
+                vote = np.array([v for v, _ in index.votes(queries, without_held=True)])
+                yield pd.DataFrame({"bin": bin_of(vote), "y": [y for _, _, y in some]})
+
+    # Calibrated without the votes of held-back examples; at most a row a bin comes back.
+    held = in_slices(counted.where("fold AND size(words) > 0"), held_votes, "bin long, y double")
+    bins = [(r.bin, r.s, r.m) for r in held.groupBy("bin").agg(F.sum("y").alias("s"), F.count("*").alias("m")).collect()]
+    steps = calibration(bins, rate) if bins else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    words.unpersist()
+    scratch.drop(counted)
+    return ToxicityModel(shared, built_index, steps, float((rest.sum() + rate) / (len(rest) + 1)))
 
 
 def with_evidence(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """doc_id, score, neighbours (doc_ids of the voters), terms of every row."""
+    """doc_id, score, neighbours (doc_ids of the nearest voters), terms of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
