@@ -4,11 +4,11 @@ An example or document is the unit vector of (1 + log count) * idf over all its
 documents; a word that no example has counts as a word of one document. Labels change no weight, so cosines are those of
 plain TF-IDF.
 
-Examples are sorted by their heaviest terms and cut into blocks. Each posting list keeps its largest
-weight in each block; the ``DENSE`` most frequent terms are stored as columns. The largest weights
+Examples are sorted by their heaviest terms and cut into blocks. The ``DENSE`` most frequent terms, which make up
+most postings, are stored as columns with the largest weight of each block; the other lists are so short that they
+rarely have two postings in a block, so the postings themselves take the place of its largest weight. Both
 bound the similarity of a block's examples. Blocks are scored in falling order of this bound; a query
-skips those whose bound is below the similarity of its k-th best example, postings included. That is done in
-single precision; whatever is near the k-th best is scored again in double precision, so the k nearest are
+skips those whose bound is below the similarity of its k-th best example. That is done in single precision; whatever is near the k-th best is scored again in double precision, so the k nearest are
 exact; ties go to the smaller doc_id.
 
 ``VOTERS`` examples vote with weight 1 / (distance + 0.05), times 1 + ``TELLING`` for each telling word that
@@ -47,7 +47,7 @@ LEAST_CHI2, LEAST_LIFT, LEAST_DOCS = 25.0, 3.0, 4
 NEAREST, VOTERS = 15, 50
 BLOCK = 64
 #: Terms stored as columns, blocks scored together, queries searched together.
-DENSE, GROUP, TOGETHER = 256, 16, 64
+DENSE, GROUP, TOGETHER = 1024, 32, 64
 #: More than single precision can lose.
 SLACK = 1e-5
 THRESHOLD = 0.7
@@ -73,151 +73,144 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
-def unit(counts: dict[int, int], idf: np.ndarray, others: float = 0.0) -> dict[int, float]:
-    """Unit vector of counted terms; ``others`` is the squared length of what has no number."""
+def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     terms = sorted(counts)
     weights = (1 + np.log([counts[t] for t in terms])) * idf[terms] if terms else np.zeros(0)
-    return dict(zip(terms, (weights / np.sqrt(weights @ weights + others)).tolist() if terms else [], strict=True))
+    return dict(zip(terms, (weights / np.sqrt(weights @ weights)).tolist() if terms else [], strict=True))
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by blocks: columns of frequent terms, postings of the rest, both with the largest weight of each block."""
+    """Unit vectors of examples by blocks: columns of frequent terms with the largest weight of each block, postings of the rest."""
 
-    def __init__(
-        self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: Iterable[dict[int, float]], y: list[float],
-        telling: np.ndarray | None = None, unknown: float = 1.0,
-    ):
+    def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], vectors: Iterable[dict[int, float]], y: list[float]):
         lists = [(np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), float, len(v))) for v in vectors]
+        weights = np.concatenate([np.zeros(0), *(w for _, w in lists)])
         self._build(
             terms, idf, np.array(ids, np.int64), np.array([len(t) for t, _ in lists], np.int64),
-            np.concatenate([np.zeros(0, np.int32), *(t for t, _ in lists)]),
-            np.concatenate([np.zeros(0), *(w for _, w in lists)]), np.array(y, float), telling, unknown,
+            np.concatenate([np.zeros(0, np.int32), *(t for t, _ in lists)]), np.arange(len(weights), dtype=np.int32), weights,
+            np.ones(len(terms)), np.array(y, float),
         )
 
     @classmethod
     def of_counts(cls, given: dict) -> BlockMaxIndex:
         """Index of the arrays that ``fit_toxicity`` sends out; examples without words are left out."""
-        lengths, terms, idf = given["lengths"], given["terms"], given["idf"]
-        weights = (1 + np.log(given["counts"])) * idf[terms]
-        some = lengths > 0
-        lengths = lengths[some]
-        if len(lengths):
-            norms = np.sqrt(np.add.reduceat(weights * weights, _offsets(lengths)[:-1]))
-            weights /= np.repeat(norms, lengths)
+        some = given["lengths"] > 0
+        counts, idf = given["counts"], given["idf"]
         index = cls.__new__(cls)
         index._build(
-            given["words"].split(), idf, given["ids"][some], lengths, terms, weights, given["y"][some],
+            given["words"].split(), idf, given["ids"][some], given["lengths"][some], given["terms"], counts,
+            1 + np.log(np.maximum(np.arange(counts.max(initial=0) + 1), 1)), idf, given["y"][some],
             given["telling"], given["unknown"], given["held"][some],
         )
         return index
 
-    def _build(self, words, idf, ids, lengths, terms, weights, y, telling, unknown, held=None) -> None:
+    def _build(self, words, idf, ids, lengths, terms, codes, values, scale, y, telling=None, unknown=1.0, held=None) -> None:
+        """A weight is ``values[code] * scale[term]``, over the length of its vector if ``scale`` is not one."""
         self.number = {w: i for i, w in enumerate(words)}
-        self.idf, self.unknown = idf, unknown
+        self.idf, self.unknown, self.values, self.scale = idf, unknown, values, scale
         self.telling = np.zeros(len(words), bool) if telling is None else telling
         n, m = len(ids), len(words)
+        first = _offsets(lengths)
         # Examples by their eight heaviest terms, the doc_id last.
-        row = np.repeat(np.arange(n), lengths)
-        first = _offsets(lengths)[:-1]
-        by_weight = np.lexsort((terms, -weights, row))
-        rank = np.arange(len(terms)) - np.repeat(first, lengths)
-        heaviest = np.full((n, 8), -1, np.int64)
-        top = rank < 8
-        heaviest[row[top], rank[top]] = terms[by_weight[top]]
+        heaviest, norms = np.full((n, 8), -1, np.int64), np.ones(n)
+        for i in range(n):
+            row = slice(first[i], first[i + 1])
+            weight = values[codes[row]] * scale[terms[row]]
+            top = np.lexsort((terms[row], -weight))[:8]
+            heaviest[i, : len(top)] = terms[row][top]
+            norms[i] = np.sqrt(weight @ weight)
         order = np.lexsort((ids, *heaviest.T[::-1]))
         moved = _ranges(first[order], lengths[order])
-        self.ids, self.y = ids[order], y[order]
+        self.ids, self.y, self.norms = ids[order], y[order], norms[order]
         self.held = np.zeros(n, bool) if held is None else held[order]
         # Rows: the vector of each example.
-        self.starts, self.terms, self.weights = _offsets(lengths[order]), terms[moved], weights[moved]
+        self.starts, self.terms, self.codes = _offsets(lengths[order]), terms[moved], codes[moved]
+        del moved
         self.blocks = -(-n // BLOCK)
         place = np.repeat(np.arange(n, dtype=np.int32), lengths[order])
         frequent = np.argsort(-np.bincount(self.terms, minlength=m), kind="stable")[:DENSE]
         self.column = np.full(m, -1, np.int32)
-        self.column[frequent] = np.arange(len(frequent))
-        column = self.column[self.terms]
-        inside = column >= 0
+        self.column[frequent] = np.arange(len(frequent), dtype=np.int32)
+        rare = self.column[self.terms] < 0
         self.dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
-        self.dense[place[inside], column[inside]] = self.weights[inside]
+        at = np.flatnonzero(~rare)
+        self.dense[place[at], self.column[self.terms[at]]] = self._shares(at, place)
         self.largest = self.dense.reshape(self.blocks, BLOCK, len(frequent)).max(1)
-        # Postings by term and place; an entry is the part of a list that lies in one block.
-        others = np.flatnonzero(~inside)
-        others = others[np.argsort(self.terms[others], kind="stable")]
-        term, self.places, self.shares = self.terms[others], place[others], self.weights[others].astype(np.float32)
-        key = term.astype(np.int64) * max(self.blocks, 1) + self.places // BLOCK
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry_start, self.entry_length = begin, np.diff(np.append(begin, len(key)))
-        self.entry_block = self.places[begin] // BLOCK
-        self.entry_largest = np.maximum.reduceat(self.shares, begin) if len(begin) else self.shares
-        self.entries = np.searchsorted(term[begin], np.arange(m + 1))
+        at = np.flatnonzero(rare)
+        at = at[np.argsort(self.terms[at], kind="stable")]
+        self.places, self.shares = place[at], self._shares(at, place)
+        self.posted = _offsets(np.bincount(self.terms[at], minlength=m))
+        # Rows of telling words only.
+        at = np.flatnonzero(self.telling[self.terms])
+        self.names = {int(t): words[t].decode("utf-8", "replace") for t in np.flatnonzero(self.telling)}
+        self.told, self.told_starts = self.terms[at], np.searchsorted(place[at], np.arange(n + 1))
+
+    def _shares(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        weights = self.values[self.codes[at]] * self.scale[self.terms[at]]
+        return (weights / self.norms[place[at]]).astype(np.float32)
+
+    def query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text's unit vector; words that no example has only lengthen the vector."""
+        counted = Counter(words)
+        terms = np.array([self.number.get(w, -1) for w in counted], np.int64)
+        weights = 1 + np.log(np.fromiter(counted.values(), float, len(counted)))
+        known = terms >= 0
+        others = weights[~known] * self.unknown
+        terms, weights = terms[known], weights[known]
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = weights[order] * self.idf[terms]
+        return terms, weights / np.sqrt(weights @ weights + others @ others) if len(terms) else weights
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
-        known: Counter[int] = Counter()
-        others = 0.0
-        for word, count in Counter(words).items():
-            if (number := self.number.get(word)) is None:
-                others += ((1 + np.log(count)) * self.unknown) ** 2
-            else:
-                known[number] = count
-        return unit(known, self.idf, others)
+        terms, weights = self.query(words)
+        return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
-    def _near(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, hide: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _near(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, hide: np.ndarray | None) -> np.ndarray:
         """Places whose similarity in single precision may be one of the k largest, as a mask for each query."""
         n, slots = len(given), self.blocks * BLOCK
         columns = np.zeros((n, self.dense.shape[1]), np.float32)
-        query = np.repeat(np.arange(n), [len(t) for t, _ in given])
-        terms, weights = np.concatenate([t for t, _ in given]), np.concatenate([w for _, w in given]).astype(np.float32)
-        at = self.column[terms]
-        columns[query[at >= 0], at[at >= 0]] = weights[at >= 0]
-        query, terms, weights = query[at < 0], terms[at < 0], weights[at < 0]
-        lengths = self.entries[terms + 1] - self.entries[terms]
-        entry = _ranges(self.entries[terms], lengths)
-        query, weights = np.repeat(query, lengths), np.repeat(weights, lengths)
-        block = self.entry_block[entry]
-        bound = np.bincount(query * self.blocks + block, self.entry_largest[entry] * weights, n * self.blocks)
-        bound = bound.reshape(n, self.blocks) + columns @ self.largest.T
-        order = np.argsort(-bound.max(0), kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        by_group = np.argsort(rank[block] // GROUP, kind="stable")
-        cuts = np.searchsorted(rank[block[by_group]] // GROUP, np.arange(-(-self.blocks // GROUP) + 1))
-        best = np.zeros((n, k), np.float32)
         score = np.zeros((n, slots), np.float32)
-        local = np.full(n, -1)
-        for g, start in enumerate(range(0, self.blocks, GROUP)):
+        for r, (terms, weights) in enumerate(given):
+            at = self.column[terms]
+            columns[r, at[at >= 0]] = weights[at >= 0]
+            terms, weights = terms[at < 0], weights[at < 0]
+            starts = self.posted[terms]
+            lengths = self.posted[terms + 1] - starts
+            found = _ranges(starts, lengths)
+            score[r] = np.bincount(self.places[found], self.shares[found] * np.repeat(weights, lengths), slots)
+        bound = columns @ self.largest.T + score.reshape(n, self.blocks, BLOCK).max(2)
+        best = np.zeros((n, k), np.float32)
+        scored = np.zeros((n, self.blocks), bool)
+        order = np.argsort(-bound.max(0), kind="stable")
+        for start in range(0, self.blocks, GROUP):
             group = order[start : start + GROUP]
             # Rounding must not end the search early, nor leave out a tie.
-            least = best.min(1) - SLACK
             reach = bound[:, group].max(1)
-            open_ = np.flatnonzero((reach > 0) & (reach >= least))
+            open_ = np.flatnonzero((reach > 0) & (reach >= best.min(1) - SLACK))
             if not len(open_):
                 continue
-            local[open_] = np.arange(len(open_))
-            e = by_group[cuts[g] : cuts[g + 1]]
-            e = e[(local[query[e]] >= 0) & (bound[query[e], block[e]] >= least[query[e]])]
-            width = len(group) * BLOCK
-            size = self.entry_length[entry[e]]
-            found = _ranges(self.entry_start[entry[e]], size)
-            base = local[query[e]] * width + (rank[block[e]] - start) * BLOCK
-            flat = np.repeat(base, size) + self.places[found] % BLOCK
-            cos = np.bincount(flat, self.shares[found] * np.repeat(weights[e], size), len(open_) * width)
             places = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cos = (cos.reshape(len(open_), width) + columns[open_] @ self.dense[places].T).astype(np.float32)
+            cos = score[np.ix_(open_, places)] + columns[open_] @ self.dense[places].T
             if hide is not None:
                 cos[:, hide[places]] = 0
             score[np.ix_(open_, places)] = cos
+            scored[np.ix_(open_, group)] = True
             best[open_] = np.partition(np.concatenate([best[open_], cos], 1), -k, 1)[:, -k:]
-            local[open_] = -1
-        return (score > 0) & (score >= best.min(1)[:, None] - SLACK)
+        near = (score > 0) & (score >= best.min(1)[:, None] - SLACK)
+        return near & np.repeat(scored, BLOCK, axis=1)
+
+    def nearest_of(self, queries: list, k: int = NEAREST, without_held: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, cosines and common telling words of the k most similar examples with a term in common, for each query.
 
-    def nearest_of(
-        self, queries: list[dict[int, float]], k: int = NEAREST, without_held: bool = False
-    ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places, cosines and common telling words of the k most similar examples with a term in common, for each query."""
+        A query is a pair of arrays as ``query`` makes it, or a dictionary of the same.
+        """
         none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         if not len(self.ids) or not queries:
             return [none for _ in queries]
-        given = [(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))) for q in queries]
+        given = [
+            (np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))) if isinstance(q, dict) else q for q in queries
+        ]
         hide = None
         if without_held:
             hide = np.append(self.held, np.zeros(self.blocks * BLOCK - len(self.held), bool))
@@ -228,21 +221,24 @@ class BlockMaxIndex:
             if not len(at):
                 out.append(none)
                 continue
-            weight_of[terms] = weights
+            weight_of[terms] = weights * self.scale[terms]
             lengths = self.starts[at + 1] - self.starts[at]
             row = _ranges(self.starts[at], lengths)
-            shared, cut = weight_of[self.terms[row]], _offsets(lengths)[:-1]
-            cos = np.round(np.add.reduceat(shared * self.weights[row], cut), 9)
-            common = np.add.reduceat((self.telling[self.terms[row]] & (shared > 0)).astype(np.int64), cut)
-            weight_of[terms] = 0
+            products = weight_of[self.terms[row]] * self.values[self.codes[row]]
+            cos = np.round(np.add.reduceat(products, _offsets(lengths)[:-1]) / self.norms[at], 9)
             keep = np.lexsort((self.ids[at], -cos))[:k]
-            out.append((at[keep], cos[keep], common[keep]))
+            at, cos = at[keep], cos[keep]
+            lengths = self.told_starts[at + 1] - self.told_starts[at]
+            shared = weight_of[self.told[_ranges(self.told_starts[at], lengths)]] > 0
+            common = np.bincount(np.repeat(np.arange(len(at)), lengths)[shared], minlength=len(at))
+            weight_of[terms] = 0
+            out.append((at, cos, common))
         return out
 
     def nearest(self, query: dict[int, float], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([query], k)[0][:2]
 
-    def votes(self, queries: list[dict[int, float]], without_held: bool = False) -> list[tuple[float, list[int]]]:
+    def votes(self, queries: list, without_held: bool = False) -> list[tuple[float, list[int]]]:
         """Share of toxic votes, and the doc_ids of the nearest voters, for each query."""
         out = []
         for at, cos, common in self.nearest_of(queries, VOTERS, without_held):
@@ -264,16 +260,17 @@ class ToxicityModel:
     def score(self, texts: Iterator[str], known: dict) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
         """Scores, nearest examples and telling words. ``known`` remembers the answers of earlier texts."""
         index = self.index
-        names = {index.number[w]: w.decode("utf-8", "replace") for w in index.number if index.telling[index.number[w]]}
+        names = index.names
         votes, near, shown = [], [], []
         for some in batched(texts, TOGETHER):
             keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in some]
             if len(known) >= REMEMBERED:
                 known.clear()
             new = {key: t for key, t in zip(keys, some, strict=True) if key not in known}
-            queries = [index.vector(tokens(t)) for t in new.values()]
-            for key, query, (vote, ids) in zip(new, queries, index.votes(queries), strict=True):
-                known[key] = vote if query else np.nan, ids, [names[t] for t in query if t in names]
+            queries = [index.query(tokens(t)) for t in new.values()]
+            for key, (terms, _), (vote, ids) in zip(new, queries, index.votes(queries), strict=True):
+                told = terms[index.telling[terms]].tolist()
+                known[key] = vote if len(terms) else np.nan, ids, [names[t] for t in told]
             for key in keys:
                 vote, ids, terms = known[key]
                 votes.append(vote)
@@ -287,9 +284,11 @@ class ToxicityModel:
 
 
 def built_index(given: dict) -> BlockMaxIndex:
-    """The index of the arrays, built once in each Python worker and kept beside them."""
+    """The index of the arrays, built once in each Python worker and kept in their place."""
     if "index" not in given:
-        given["index"] = BlockMaxIndex.of_counts(given)
+        index = BlockMaxIndex.of_counts(given)
+        given.clear()
+        given["index"] = index
     return given["index"]
 
 
@@ -375,7 +374,9 @@ def fit_toxicity(
     # Held-back examples are learned from as well, but say nothing about which words are telling.
     told, known_y = F.count_if(~F.col("fold")), F.coalesce(F.sum(F.expr("IF(fold, 0, y)")), F.lit(0.0))
     each = counted.select(F.explode("words").alias("word"), "y", "fold")
-    found = each.groupBy("word").agg(told.alias("df"), known_y.alias("with")).toArrow().sort_by("word")
+    found = each.groupBy("word").agg(F.count("*").alias("all"), told.alias("df"), known_y.alias("with"))
+    # Frequent words first: what is read together lies together.
+    found = found.toArrow().sort_by([("all", "descending"), ("word", "ascending")])
     d, a = found["df"].to_numpy().astype(float), found["with"].to_numpy()
     b, other = d - a, n - positive
     chi2 = n * (a * other - b * positive) ** 2 / (positive * other * d * (n - d) + 1e-9)
@@ -410,9 +411,7 @@ def fit_toxicity(
         index = built_index(shared.value)
         for batch in batches:
             for some in batched(zip(batch["words"], batch["counts"], batch["y"], strict=True), TOGETHER):
-                queries = [
-                    unit({index.number[w]: int(c) for w, c in zip(ws, cs, strict=True)}, index.idf) for ws, cs, _ in some
-                ]
+                queries = [index.query([w for w, c in zip(ws, cs, strict=True) for _ in range(c)]) for ws, cs, _ in some]
                 vote = np.array([v for v, _ in index.votes(queries, without_held=True)])
                 yield pd.DataFrame({"bin": bin_of(vote), "y": [y for _, _, y in some]})
 
