@@ -8,8 +8,10 @@ page's mean are content. The content container is the deepest element that holds
 article or section around it; its blocks that do not belong to boilerplate elements are the article, so short
 paragraphs and headings inside it stay.
 
-Elements such as nav are boilerplate. A class, id or role that says so only lowers the scores of what
-is inside; it says nothing about elements that hold an article or most of the page's text.
+Elements such as nav are boilerplate; of a header inside an article only the headings stay. A class, id or role that
+says so (``DESCRIBING`` parts such as has- take it back) makes an element boilerplate too, however long its text: adverts and comments
+may be longer than the article. Excepted are elements that hold an h1 and most of the page's text, that hold all its
+article elements, or without which no sentence would be left.
 
 NULL html counts as empty; a page without content has an empty text. Broken markup is read
 leniently: unclosed paragraphs, list items and cells end where the next one starts, end tags without a
@@ -31,26 +33,33 @@ from pyspark.sql import functions as F
 
 from shelflink.llm.common import text_of
 
+#: A quote opens a string only after an equals sign; possessive, so a tag without end is read once.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S
 )
-CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPACE = re.compile(r"\s+")
+CLASS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is no text.
-OPAQUE = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "head", "select", "option", "button"}
+OPAQUE = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title", "head", "select", "option", "button"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder",
 }
-#: Elements that hold no article text, and names of classes that say the same.
+#: Elements that hold no article text, and parts of class names that say the same.
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
-BOILERPLATE_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|modal|nav\w*|"
-    r"newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+BOILERPLATE_PART = re.compile(
+    r"ads?|adsense|adsbygoogle|advert\w*|banner|breadcrumbs?|ccpa|comment\w*|cookie\w*|consent|disqus\w*|footer|gdpr|header|masthead|menu|"
+    r"modal|nav\w*|\w+nav|navbar|newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|respond|responses?|share|sharebar|sharing|sidebar|"
+    r"social|sponsor\w*|subscribe|toolbar|widget"
 )
+#: Parts that make such a name describe a page or an article instead.
+DESCRIBING = {"has", "with", "without", "no", "enabled", "disabled", "open", "closed", "layout", "entry", "post", "article", "story"}
+#: What marks even an article element: a reader's comment.
+COMMENT_PART = re.compile(r"comment\w*|repl(?:y|ies)|responses?")
+PARTS = re.compile(r"[-_]+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag of the first kind ends an open element of the second kinds.
 ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -60,175 +69,237 @@ ENDS = {
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "td", "th", "blockquote", "main"}
 MARKS = frozenset(".,;:!?…。，；：！？")
 THRESHOLD = 0.5
-#: Share of its score that a block keeps inside an element with a boilerplate class.
-MARKED_SHARE = 0.25
 ARTICLE = {"article", "main"}
 #: Elements that group blocks; lists, tables and quotes are parts of what surrounds them.
 GROUPS = {"article", "main", "section", "div", "body", "html"}
 
 
-class Block:
-    """A run of text: path, chain of open elements (numbers), their tags, those with a boilerplate class, text, characters inside links."""
+class Page:
+    """Elements and text blocks of a page in order.
 
-    __slots__ = ("chain", "dropped", "linked", "marked", "path", "tags", "text")
+    Element i: its tag, parent, path (a number for each path of tags and classes), last element inside, whether a class name
+    says boilerplate. Elements stand in the order of their start tags, so i to last[i] are what it holds. Block: its element,
+    text, characters inside links.
+    """
 
-    def __init__(
-        self, path: str, chain: tuple[int, ...], tags: tuple[str, ...], marked: tuple[int, ...], dropped: bool, text: str, linked: int
-    ):
-        self.path, self.chain, self.tags, self.marked = path, chain, tags, marked
-        self.dropped, self.text, self.linked = dropped, text, linked
+    def __init__(self) -> None:
+        self.tags, self.parents, self.paths, self.last, self.marked = [""], [0], [0], [0], [False]
+        self.blocks: list[tuple[int, str, int]] = []
+        self._steps: dict[tuple[int, str], int] = {}
 
+    def open(self, parent: int, tag: str, classes: str) -> int:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        step = self.paths[parent], f"{tag}.{classes}" if classes else tag
+        self.paths.append(self._steps.setdefault(step, len(self._steps) + 1))
+        self.last.append(at)
+        self.marked.append(bool(classes) and tag not in ("html", "body", "main") and says_boilerplate(classes, tag))
+        return at
 
-def blocks_of(html: str) -> list[Block]:
-    """Text blocks of a page in order, with entities decoded and white space collapsed."""
-    # Open elements: (tag, step of the path, number, boilerplate, boilerplate class).
-    stack: list[tuple[str, str, int, bool, bool]] = []
-    blocks: list[Block] = []
+    def below(self, own: list[bool]) -> list[bool]:
+        """For each element whether it or one around it is in ``own``."""
+        out = [False] * len(own)
+        for at, parent in enumerate(self.parents):
+            out[at] = own[at] or out[parent]
+        return out
+
+
+def says_boilerplate(classes: str, tag: str) -> bool:
+    pattern = COMMENT_PART if tag == "article" else BOILERPLATE_PART
+    for name in classes.lower().split():
+        parts = PARTS.split(name)
+        if any(map(pattern.fullmatch, parts)) and DESCRIBING.isdisjoint(parts):
+            return True
+    return False
+
+
+def page_of(html: str) -> Page:
+    """The page, with entities decoded and white space collapsed; one pass, memory in proportion to the page."""
+    page = Page()
+    # Open elements: tag and number of the block element.
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = defaultdict(int)
     parts: list[str] = []
-    numbers = links = linked = 0
-    at, end = 0, len(html)
+    here = linked = opaque = 0
+    at, end, search = 0, len(html), TAG.search
 
     def flush() -> None:
         nonlocal parts, linked
-        if parts:
-            text = SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text:
-                outer = [e for e in stack if e[0] not in INLINE]
-                path = "/".join(e[1] for e in outer)
-                chain, tags = tuple(e[2] for e in outer), tuple(e[0] for e in outer)
-                marked = tuple(e[2] for e in outer if e[4])
-                blocks.append(Block(path, chain, tags, marked, any(e[3] for e in outer), text, linked))
+        text = "".join(parts)
+        text = " ".join((unescape(text) if "&" in text else text).split())
+        if text:
+            page.blocks.append((here, text, linked))
         parts, linked = [], 0
 
+    def close() -> None:
+        nonlocal here, opaque
+        name, number = stack.pop()
+        open_[name] -= 1
+        opaque -= name in OPAQUE
+        if name not in INLINE:
+            page.last[number] = len(page.tags) - 1
+            here = page.parents[number]
+
     while at < end:
-        tag = TAG.search(html, at)
+        tag = search(html, at)
         # A "<" that opens no tag is text.
         text = html[at : tag.start() if tag else end]
-        if text and not any(e[0] in OPAQUE for e in stack[-3:]):
+        if text and not opaque:
             parts.append(text)
-            linked += len(text) if links else 0
+            if open_["a"]:
+                linked += len(text)
         if not tag:
             break
         at = tag.end()
-        name = (tag[2] or "").lower()
+        name = tag[2]
         if not name:
             continue
+        name = name.lower()
         if tag[1]:
-            if name == "br" or not any(e[0] == name for e in stack):
+            if name == "br" or not open_[name]:
                 continue
-            if name not in INLINE:
+            if parts and name not in INLINE:
                 flush()
-            while True:
-                closed = stack.pop()
-                links -= closed[0] == "a"
-                if closed[0] == name:
-                    break
+            while stack[-1][0] != name:
+                if parts and stack[-1][0] not in INLINE:
+                    flush()
+                close()
+            close()
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            found = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            at = found.end() if found else end
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in INLINE:
             if name not in VOID:
-                links += name == "a"
-                stack.append((name, name, numbers, False, False))
+                open_[name] += 1
+                stack.append((name, here))
             continue
-        flush()
+        if parts:
+            flush()
         if name in VOID:
             continue
-        if name in ENDS:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ENDS[name]:
-                    links -= sum(e[0] == "a" for e in stack[depth:])
-                    del stack[depth:]
+        ends = ENDS.get(name)
+        if ends and any(open_[e] for e in ends):
+            depth = cut = len(stack)
+            while depth:
+                depth -= 1
+                if stack[depth][0] in ends:
+                    cut = depth
                 elif stack[depth][0] in SCOPES:
                     break
-        numbers += 1
-        classes = " ".join(a or b or c for a, b, c in CLASS.findall(tag[3] or ""))
-        marked = bool(classes and BOILERPLATE_CLASS.search(classes)) and name not in ("html", "body", *ARTICLE)
-        # A header inside the article's own element is still a header.
-        stack.append((name, f"{name}.{classes}" if classes else name, numbers, name in BOILERPLATE, marked))
+            while len(stack) > cut:
+                close()
+        attributes = tag[3]
+        classes = " ".join(a or b or c for a, b, c in CLASS.findall(attributes)) if "=" in attributes else ""
+        here = page.open(here, name, classes)
+        stack.append((name, here))
+        open_[name] += 1
+        opaque += name in OPAQUE
     flush()
-    return blocks
-
-
-def _marked(blocks: list[Block]) -> list[bool]:
-    """Blocks inside an element whose class says boilerplate and whose content does not say otherwise."""
-    said = {e for b in blocks for e in b.marked}
-    if not said:
-        return [False] * len(blocks)
-    holds: dict[int, int] = defaultdict(int)
-    # Of text that stands in an article.
-    articles: dict[int, int] = defaultdict(int)
-    around: set[int] = set()
-    total = in_articles = 0
-    for b in blocks:
-        if b.dropped:
-            continue
-        last = max((d for d, tag in enumerate(b.tags) if tag in ARTICLE), default=-1)
-        total += len(b.text)
-        in_articles += len(b.text) if last >= 0 else 0
-        for e in b.marked:
-            holds[e] += len(b.text)
-            articles[e] += len(b.text) if last >= 0 else 0
-            if b.chain.index(e) < last:
-                around.add(e)
-    # Comments may be longer than their article: text left in an article is the article.
-    most = {e for e in said if 2 * holds[e] > total and articles[e] == in_articles}
-    boilerplate = said - around - most
-    return [not boilerplate.isdisjoint(b.marked) for b in blocks]
-
-
-def content_blocks(blocks: list[Block]) -> list[Block]:
-    """The blocks of the article."""
+    while stack:
+        close()
+    page.last[0] = len(page.tags) - 1
+    return page
+
+
+def _plain(page: Page) -> list[bool]:
+    """For each block whether no element around it is boilerplate, by tag or by class."""
+    tags, parents = page.tags, page.parents
+    articles = page.below([t in ARTICLE for t in tags])
+    # The headline may stand in the article's own header.
+    headers = page.below([t == "header" and articles[at] for at, t in enumerate(tags)])
+    dropped = page.below([t in BOILERPLATE and not (t == "header" and articles[at]) for at, t in enumerate(tags)])
+    wanted = [
+        not dropped[e] and not (headers[e] and tags[e] not in HEADINGS and tags[parents[e]] not in HEADINGS) for e, _, _ in page.blocks
+    ]
+    if not any(page.marked):
+        return wanted
+    # Text, article text and first headings up to each element.
+    text, inside, first = ([0] * (len(tags) + 1) for _ in range(3))
+    for (e, t, _), w in zip(page.blocks, wanted, strict=True):
+        text[e + 1] += len(t) if w else 0
+        inside[e + 1] += len(t) if w and articles[e] else 0
+        first[e + 1] += w and tags[e] == "h1"
+    for sums in (text, inside, first):
+        for at in range(1, len(sums)):
+            sums[at] += sums[at - 1]
+
+    def held(sums: list[int], at: int) -> int:
+        return sums[page.last[at] + 1] - sums[at]
+
+    own = [m and not (held(first, at) and 2 * held(text, at) > text[-1]) for at, m in enumerate(page.marked)]
+    while True:
+        below = page.below(own)
+        plain = [w and not below[e] for (e, _, _), w in zip(page.blocks, wanted, strict=True)]
+        left = [(e, t, linked) for (e, t, linked), p in zip(page.blocks, plain, strict=True) if p]
+        outer = [at for at, m in enumerate(own) if m and not below[parents[at]]]
+        if inside[-1] and not any(articles[e] for e, _, _ in left):
+            # All article text lies inside such elements: these are its wrappers.
+            wrappers = [at for at in outer if held(inside, at)]
+        elif any(not linked and not MARKS.isdisjoint(t) for _, t, linked in left):
+            return plain
+        else:
+            # No sentence is left outside: what holds most text is no boilerplate.
+            wrappers = [at for at in outer if 2 * held(text, at) > text[-1]]
+        if not wrappers:
+            return plain
+        for at in wrappers:
+            own[at] = False
+
+
+def content_blocks(page: Page) -> list[str]:
+    """Texts of the article's blocks."""
+    blocks = page.blocks
     if not blocks:
         return []
+    paths = [page.paths[e] for e, _, _ in blocks]
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    for b in blocks:
-        length[b.path] += max(0, len(b.text) - 2 * b.linked)
-        marks[b.path] += sum(map(b.text.count, MARKS)) if not b.linked else 0
-        count[b.path] += 1
-    ratio = [(length[b.path] / count[b.path], marks[b.path] / count[b.path]) for b in blocks]
+    for path, (_, text, linked) in zip(paths, blocks, strict=True):
+        length[path] += max(0, len(text) - 2 * linked)
+        marks[path] += 0 if linked else sum(map(text.count, MARKS))
+        count[path] += 1
+    lengths = [length[p] / count[p] for p in paths]
+    marked = [marks[p] / count[p] for p in paths]
 
     # Neighbours speak for each other: weights 1, 2, 1 over the blocks in page order.
     def smooth(values: list[float]) -> list[float]:
-        padded = [values[0], *values, values[-1]]
-        return [(padded[i] + 2 * padded[i + 1] + padded[i + 2]) / 4 for i in range(len(values))]
-
-    long_, marked = smooth([r[0] for r in ratio]), smooth([r[1] for r in ratio])
-    mean_long, mean_marked = sum(long_) / len(long_) or 1.0, sum(marked) / len(marked) or 1.0
-    fused: dict[str, float] = defaultdict(float)
-    for b, x, y in zip(blocks, long_, marked, strict=True):
-        fused[b.path] += (x / mean_long + y / mean_marked) / 2 / count[b.path]
-    marked = _marked(blocks)
-    plain = [b for b, m in zip(blocks, marked, strict=True) if not b.dropped and not m]
-    content = [
-        b
-        for b, m in zip(blocks, marked, strict=True)
-        if not b.dropped and fused[b.path] * (MARKED_SHARE if m else 1) >= THRESHOLD and length[b.path] > 0
-    ] or plain
+        before, after = [values[0], *values[:-1]], [*values[1:], values[-1]]
+        return [(x + 2 * y + z) / 4 for x, y, z in zip(before, values, after, strict=True)]
+
+    lengths, marked = smooth(lengths), smooth(marked)
+    mean_length, mean_marked = sum(lengths) / len(lengths) or 1.0, sum(marked) / len(marked) or 1.0
+    fused: dict[int, float] = defaultdict(float)
+    for path, x, y in zip(paths, lengths, marked, strict=True):
+        fused[path] += (x / mean_length + y / mean_marked) / 2 / count[path]
+    plain = _plain(page)
+    content = [e for p, path, (e, _, _) in zip(plain, paths, blocks, strict=True) if p and fused[path] >= THRESHOLD and length[path] > 0]
+    content = content or [e for p, (e, _, _) in zip(plain, blocks, strict=True) if p]
+    # The deepest element around all of it. A lone paragraph, list or table is no container: what surrounds it may hold a heading and more.
     if not content:
-        return [b for b in blocks if not b.dropped]
-    # The deepest element around all of it: the open elements that all chains begin with.
-    chain, tags = content[0].chain, content[0].tags
-    depth = min(len(b.chain) for b in content)
-    while depth and any(b.chain[:depth] != chain[:depth] for b in content):
-        depth -= 1
-    # A lone paragraph, list or table is no container: what surrounds it may hold a heading and more.
-    while depth > 1 and tags[depth - 1] not in GROUPS:
-        depth -= 1
-    article = max((d for d in range(depth) if tags[d] in ARTICLE), default=-1)
-    if article >= 0:
-        depth = article + 1
-    inside = {id(b) for b in plain if b.chain[:depth] == chain[:depth]} | set(map(id, content))
-    return [b for b in blocks if id(b) in inside]
+        return []
+    around, low, high = content[0], min(content), max(content)
+    while around and not (around <= low and high <= page.last[around] and page.tags[around] in GROUPS):
+        around = page.parents[around]
+    # The article or section around it, unless an element between them says otherwise.
+    at = around
+    while at and page.tags[at] not in ARTICLE:
+        at = page.parents[at]
+    around = at or around
+    inside = [at for at, (p, (e, _, _)) in enumerate(zip(plain, blocks, strict=True)) if p and around <= e <= page.last[around]]
+    # A headline may stand right before the element that holds the article.
+    before = inside[0] - 1
+    if before >= 0 and plain[before] and page.tags[blocks[before][0]] == "h1" and all(page.tags[blocks[at][0]] != "h1" for at in inside):
+        inside.insert(0, before)
+    return [blocks[at][1] for at in inside]
 
 
 def main_text(html: str) -> str:
-    return "\n".join(b.text for b in content_blocks(blocks_of(html)))
+    return "\n".join(content_blocks(page_of(html)))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
