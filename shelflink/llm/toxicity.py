@@ -4,7 +4,7 @@ An example or document is the unit vector of (1 + log count) * idf over all its
 documents; a word that no example has counts as a word of one document. Labels change no weight, so cosines are those of
 plain TF-IDF.
 
-Examples are sorted by their heaviest terms and cut into blocks. The ``DENSE`` most frequent terms, which make up
+Examples are sorted by their heaviest frequent terms and cut into blocks. The ``DENSE`` most frequent terms, which make up
 most postings, are stored as columns with the largest weight of each block; the other lists are so short that they
 rarely have two postings in a block, so the postings themselves take the place of its largest weight. Both
 bound the similarity of a block's examples. Blocks are scored in falling order of this bound; a query
@@ -47,7 +47,7 @@ LEAST_CHI2, LEAST_LIFT, LEAST_DOCS = 25.0, 3.0, 4
 NEAREST, VOTERS = 15, 50
 BLOCK = 64
 #: Terms stored as columns, blocks scored together, queries searched together.
-DENSE, GROUP, TOGETHER = 1024, 32, 64
+DENSE, GROUP, TOGETHER = 1024, 32, 128
 #: More than single precision can lose.
 SLACK = 1e-5
 THRESHOLD = 0.7
@@ -111,13 +111,17 @@ class BlockMaxIndex:
         self.telling = np.zeros(len(words), bool) if telling is None else telling
         n, m = len(ids), len(words)
         first = _offsets(lengths)
-        # Examples by their eight heaviest terms, the doc_id last.
+        frequent = np.argsort(-np.bincount(terms, minlength=m), kind="stable")[:DENSE]
+        self.column = np.full(m, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent), dtype=np.int32)
+        # Examples by their eight heaviest frequent terms, the doc_id last: those of one language or subject share blocks.
         heaviest, norms = np.full((n, 8), -1, np.int64), np.ones(n)
         for i in range(n):
             row = slice(first[i], first[i + 1])
             weight = values[codes[row]] * scale[terms[row]]
-            top = np.lexsort((terms[row], -weight))[:8]
-            heaviest[i, : len(top)] = terms[row][top]
+            column = self.column[terms[row]]
+            top = np.lexsort((column, np.where(column < 0, 1.0, -weight)))[:8]
+            heaviest[i, : len(top)] = column[top]
             norms[i] = np.sqrt(weight @ weight)
         order = np.lexsort((ids, *heaviest.T[::-1]))
         moved = _ranges(first[order], lengths[order])
@@ -128,9 +132,6 @@ class BlockMaxIndex:
         del moved
         self.blocks = -(-n // BLOCK)
         place = np.repeat(np.arange(n, dtype=np.int32), lengths[order])
-        frequent = np.argsort(-np.bincount(self.terms, minlength=m), kind="stable")[:DENSE]
-        self.column = np.full(m, -1, np.int32)
-        self.column[frequent] = np.arange(len(frequent), dtype=np.int32)
         rare = self.column[self.terms] < 0
         self.dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
         at = np.flatnonzero(~rare)
@@ -190,11 +191,14 @@ class BlockMaxIndex:
             open_ = np.flatnonzero((reach > 0) & (reach >= best.min(1) - SLACK))
             if not len(open_):
                 continue
-            places = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cos = score[np.ix_(open_, places)] + columns[open_] @ self.dense[places].T
-            if hide is not None:
-                cos[:, hide[places]] = 0
-            score[np.ix_(open_, places)] = cos
+            asked, cos = columns[open_], np.empty((len(open_), len(group) * BLOCK), np.float32)
+            for j, block in enumerate(group.tolist()):
+                lies, into = slice(block * BLOCK, (block + 1) * BLOCK), slice(j * BLOCK, (j + 1) * BLOCK)
+                np.matmul(asked, self.dense[lies].T, out=cos[:, into])
+                cos[:, into] += score[open_, lies]
+                if hide is not None:
+                    cos[:, into][:, hide[lies]] = 0
+                score[open_, lies] = cos[:, into]
             scored[np.ix_(open_, group)] = True
             best[open_] = np.partition(np.concatenate([best[open_], cos], 1), -k, 1)[:, -k:]
         near = (score > 0) & (score >= best.min(1)[:, None] - SLACK)
@@ -214,24 +218,28 @@ class BlockMaxIndex:
         hide = None
         if without_held:
             hide = np.append(self.held, np.zeros(self.blocks * BLOCK - len(self.held), bool))
-        weight_of = np.zeros(len(self.column))
+        weight_of, met = np.zeros(len(self.column)), np.zeros(len(self.column), bool)
         out = []
         for (terms, weights), near in zip(given, self._near(given, k, hide), strict=True):
             at = np.flatnonzero(near)
             if not len(at):
                 out.append(none)
                 continue
-            weight_of[terms] = weights * self.scale[terms]
-            lengths = self.starts[at + 1] - self.starts[at]
-            row = _ranges(self.starts[at], lengths)
-            products = weight_of[self.terms[row]] * self.values[self.codes[row]]
-            cos = np.round(np.add.reduceat(products, _offsets(lengths)[:-1]) / self.norms[at], 9)
+            weight_of[terms], met[terms] = weights * self.scale[terms], True
+            starts, ends = self.starts[at], self.starts[at + 1]
+            held = np.concatenate([self.terms[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+            # Few words of an example are the query's: find them in a small table first.
+            hits = np.flatnonzero(met[held])
+            whose = np.repeat(np.arange(len(at)), ends - starts)[hits]
+            codes = self.codes[hits + (starts - _offsets(ends - starts)[:-1])[whose]]
+            products = weight_of[held[hits]] * self.values[codes]
+            cos = np.round(np.bincount(whose, products, len(at)) / self.norms[at], 9)
             keep = np.lexsort((self.ids[at], -cos))[:k]
             at, cos = at[keep], cos[keep]
             lengths = self.told_starts[at + 1] - self.told_starts[at]
             shared = weight_of[self.told[_ranges(self.told_starts[at], lengths)]] > 0
             common = np.bincount(np.repeat(np.arange(len(at)), lengths)[shared], minlength=len(at))
-            weight_of[terms] = 0
+            weight_of[terms], met[terms] = 0, False
             out.append((at, cos, common))
         return out
 
