@@ -37,10 +37,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Scratch:
-    """Tables written to the shared folder by one call, dropped when no longer needed.
+    """Tables written to the shared folder by one call.
 
-    ``keep`` names tables that the returned plan still reads; the cluster's own expiry of
-    ``spark.checkpoint.dir`` removes those.
+    ``drop`` deletes those that nothing reads any more. Tables that the returned plan still reads stay for the
+    cluster's own expiry of ``spark.checkpoint.dir``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
