@@ -257,7 +257,7 @@ def pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    best = scoring.best_per_query(scoring.score_pairs(_page_pairs(spark, d)), "query_id")
+    best = scoring.best_pairs(_page_pairs(spark, d), "query_id")
     return best.select(
         F.col("query_id").alias("position"), F.col("listing_id").alias("listing_pos"), "base_score"
     )

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 WORD_BITS = 64
 CELLS_PER_BLOCK = 1 << 16
 MASKS_PER_BLOCK = 1 << 22
+#: A block pays for texts of up to so many machine words, with so many rows for each word.
+WORDS_IN_BLOCK, ROWS_A_WORD = 8, 100
 NEAR_PERFECT = 0.995
 
 
@@ -51,29 +53,43 @@ def _blocks(sizes: np.ndarray, limit: int) -> Iterator[slice]:
 
 
 def _lcs_words(short: list[str], long: list[str]) -> np.ndarray:
-    """LCS lengths when every ``short`` fits one machine word (bit-parallel, Hyyrö 2004)."""
+    """LCS lengths of a block of pairs (bit-parallel, Hyyrö 2004).
+
+    Texts longer than a machine word take several, lowest first, with a carry from each to the next.
+    """
     s, t = _code_matrix(short, -1) + 1, _code_matrix(long, -1) + 1
     used = np.zeros(max(s.max(initial=0), t.max(initial=0)) + 1, dtype=bool)
     used[s.ravel()] = used[t.ravel()] = used[0] = True
     dense = np.cumsum(used) - 1
-    if dense[-1] * len(short) > MASKS_PER_BLOCK and len(short) > 1:  # many different characters
-        half = len(short) // 2
+    count, words = len(short), -(-len(s) // WORD_BITS)
+    if dense[-1] * words * count > MASKS_PER_BLOCK and count > 1:  # many different characters
+        half = count // 2
         parts = (_lcs_words(short[k], long[k]) for k in (slice(half), slice(half, None)))
         return np.concatenate(list(parts))
-    rows = np.arange(len(short))
-    masks = np.zeros((int(dense[-1]) + 1, len(short)), dtype=np.uint64)
+    rows = np.arange(count)
+    masks = np.zeros((words, (int(dense[-1]) + 1) * count), dtype=np.uint64)
     for i, column in enumerate(dense[s]):
-        masks[column, rows] |= np.uint64(1 << i)
-    masks[0] = 0  # padding of both sides
-    state = np.full(len(short), np.uint64(0xFFFFFFFFFFFFFFFF))
+        masks[i // WORD_BITS, column * count + rows] |= np.uint64(1 << i % WORD_BITS)
+    masks[:, :count] = 0  # padding of both sides
+    state = np.full((words, count), np.uint64(0xFFFFFFFFFFFFFFFF))
     for column in dense[t]:
-        hit = state & masks[column, rows]
-        state = (state + hit) | (state - hit)
-    return WORD_BITS - np.bitwise_count(state).astype(np.int64)
-
-
-def _lcs_unbounded(short: str, long: str) -> int:
-    """The same recurrence on Python integers, for two texts longer than a machine word."""
+        hits = masks.take(column * count + rows, axis=1)
+        hits &= state
+        carry = None
+        for word, hit in zip(state, hits):
+            total = word + hit
+            if carry is not None:
+                total += carry
+            if words > 1:
+                # The sum, at most one carry included, passed the top of the word.
+                carry = ((word & hit) | ((word | hit) & ~total)) >> np.uint64(WORD_BITS - 1)
+            word -= hit
+            word |= total
+    return words * WORD_BITS - np.bitwise_count(state).astype(np.int64).sum(axis=0)
+
+
+def _lcs_integers(short: str, long: str) -> int:
+    """The same recurrence on Python integers, whose every step is one pass over many words."""
     full = (1 << len(short)) - 1
     masks: dict[str, int] = {}
     for i, ch in enumerate(short):
@@ -90,13 +106,19 @@ def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right)]
     out = np.zeros(len(pairs), dtype=np.int64)
     short, long = _lengths([a for a, _ in pairs]), _lengths([b for _, b in pairs])
-    for k in np.flatnonzero(short > WORD_BITS):
-        out[k] = _lcs_unbounded(*pairs[k])
-    fitting = np.flatnonzero((short > 0) & (short <= WORD_BITS))
-    fitting = fitting[np.argsort(long[fitting], kind="stable")]
-    for block in _blocks(long[fitting], 4 * CELLS_PER_BLOCK):
-        rows = fitting[block]
-        out[rows] = _lcs_words([pairs[k][0] for k in rows], [pairs[k][1] for k in rows])
+    # Pairs of equally many machine words together; a block is as wide as its longest text.
+    words = -(-short // WORD_BITS)
+    todo = np.lexsort((long, words))
+    for group in np.split(todo, np.flatnonzero(np.diff(words[todo])) + 1):
+        many = words[group[0]] if len(group) else 0
+        if many == 0:
+            continue
+        if many > WORDS_IN_BLOCK or 1 < many and len(group) < ROWS_A_WORD * many:
+            out[group] = [_lcs_integers(*pairs[k]) for k in group]
+            continue
+        for block in _blocks(long[group], 4 * CELLS_PER_BLOCK):
+            rows = group[block]
+            out[rows] = _lcs_words([pairs[k][0] for k in rows], [pairs[k][1] for k in rows])
     return out
 
 
@@ -212,7 +234,11 @@ def ratio(left: Column, right: Column) -> Column:
     On ``sorted_tokens`` texts this is the token-sort measure.
     """
     differ = left != right
-    lcs = lcs_length(F.when(differ, left), F.when(differ, right))
+    return ratio_of(left, right, lcs_length(F.when(differ, left), F.when(differ, right)))
+
+
+def ratio_of(left: Column, right: Column, lcs: Column) -> Column:
+    """``ratio`` when the length of the longest common subsequence is known (any value for equal texts)."""
     return (
         F.when(left.isNull() | right.isNull(), 0)
         .when(left == right, 100)
@@ -220,6 +246,21 @@ def ratio(left: Column, right: Column) -> Column:
     )
 
 
+def most_partial(left: Column, right: Column, lcs: Column) -> Column:
+    """Upper bound of ``partial_ratio`` from the longest common subsequence of the whole texts.
+
+    A window shares no longer subsequence than the whole text, nor one longer than itself; the ratio
+    ``2 * common / (short + width)`` is then largest for a window of just ``lcs`` characters.
+    """
+    short = F.least(F.length(left), F.length(right))
+    most = lcs * 2.0 / F.greatest(short + lcs, F.lit(1))
+    return (
+        F.when(left.isNull() | right.isNull(), 0)
+        .when((left == right) | (most > NEAR_PERFECT), 100)
+        .otherwise(F.rint(F.lit(100.0) * most).cast("int"))
+    )
+
+
 def partial_ratio(left: Column, right: Column) -> Column:
     """Best ``ratio`` of the shorter text with a window of the longer one.
 

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from shelflink.functions.ids import same_prefix
 from shelflink.functions.similarity import (
+    lcs_length,
+    most_partial,
     partial_ratio,
     ratio,
+    ratio_of,
     sorted_tokens,
     with_token_set_ratio,
 )
+from shelflink.operators.lookup import lookup_join
+from shelflink.scratch import written
 
 # Fixed values.
 WEIGHTS = {"ratio": 0.15, "partial_ratio": 0.2, "token_sort_ratio": 0.25, "token_set_ratio": 0.4}
@@ -92,15 +97,48 @@ def to_percent(score: Column) -> Column:
 
 
 def with_measures(pairs: DataFrame) -> DataFrame:
-    """Add the three measures that cost one pass over a pair."""
-    return with_token_set_ratio(pairs, "q_sorted", "l_sorted", "token_set_ratio").withColumns(
-        {
-            "ratio": ratio(F.col("q_text"), F.col("l_text")),
-            "token_sort_ratio": ratio(F.col("q_sorted"), F.col("l_sorted")),
-        }
+    """Add the three measures that cost one pass over a pair, and ``most_partial``, the most the window measure can be."""
+    q, l = F.col("q_text"), F.col("l_text")
+    differ = q != l
+    common = pairs.withColumn("_lcs", lcs_length(F.when(differ, q), F.when(differ, l)))
+    return (
+        with_token_set_ratio(common, "q_sorted", "l_sorted", "token_set_ratio")
+        .withColumns(
+            {
+                "ratio": ratio_of(q, l, F.col("_lcs")),
+                "token_sort_ratio": ratio(F.col("q_sorted"), F.col("l_sorted")),
+                "most_partial": most_partial(q, l, F.col("_lcs")),
+            }
+        )
+        .drop("_lcs")
     )
 
 
+def with_bound(
+    pairs: DataFrame, weights: Mapping[str, float] = WEIGHTS, author_score: str | None = None
+) -> DataFrame:
+    """Add all measures but the window one, and ``bound``, the score with ``most_partial`` in its place.
+
+    The score grows with every measure and is computed by the same steps, so it never exceeds ``bound``.
+    """
+    check_weights(weights)
+    perfect = with_measures(pairs).withColumnRenamed("most_partial", "partial_ratio")
+    return perfect.withColumn("bound", _base_score(weights, author_score)).drop("partial_ratio")
+
+
+def _with_base_score(bounded: DataFrame, weights: Mapping[str, float], author_score: str | None) -> DataFrame:
+    return bounded.withColumn(
+        "partial_ratio", partial_ratio(F.col("q_text"), F.col("l_text"))
+    ).withColumn("base_score", _base_score(weights, author_score))
+
+
+def _reaching(bounded: DataFrame, need: int, keep_all: Column | None) -> DataFrame:
+    if need <= 0:
+        return bounded
+    keep = F.floor("bound") >= need
+    return bounded.where(keep if keep_all is None else keep | keep_all)
+
+
 def score_pairs(
     pairs: DataFrame,
     weights: Mapping[str, float] = WEIGHTS,
@@ -111,21 +149,53 @@ def score_pairs(
     """Add the four measures and ``base_score`` to variation pairs.
 
     Needs ``q_text, q_sorted, q_main`` and the same with ``l_``. With ``need`` > 0, pairs whose
-    score stays below it even with a perfect window measure are dropped before that measure (the
-    expensive one) is computed, except where ``keep_all`` holds.
+    ``bound`` stays below it are dropped before the window measure (the expensive one) is computed,
+    except where ``keep_all`` holds.
     """
-    check_weights(weights)
-    measured = with_measures(pairs)
-    score = _base_score(weights, author_score)
-    if need > 0:
-        bound = measured.withColumn("partial_ratio", F.lit(100)).withColumn("_bound", score)
-        keep = F.floor("_bound") >= need
-        if keep_all is not None:
-            keep = keep | keep_all
-        measured = bound.where(keep).drop("_bound", "partial_ratio")
-    return measured.withColumn(
-        "partial_ratio", partial_ratio(F.col("q_text"), F.col("l_text"))
-    ).withColumn("base_score", score)
+    bounded = _reaching(with_bound(pairs, weights, author_score), need, keep_all)
+    return _with_base_score(bounded, weights, author_score).drop("bound")
+
+
+def contenders(
+    bounded: DataFrame,
+    key: str,
+    weights: Mapping[str, float] = WEIGHTS,
+    author_score: str | None = None,
+    **skew: int,
+) -> DataFrame:
+    """The pairs of a stored ``with_bound`` table that can still win or tie for their ``key``.
+
+    The pair with the highest bound of every key is scored in full; another pair stays only if its own
+    bound reaches that score. A key may own any share of the pairs: the first step is a partial
+    aggregate, the second ``lookup_join``.
+    """
+    columns = F.struct(*(F.col(c) for c in bounded.columns))
+    favourites = bounded.groupBy(key).agg(F.max_by(columns, "bound").alias("_pair"), F.count("*").alias("n"))
+    first = written(
+        _with_base_score(favourites.select("n", "_pair.*"), weights, author_score).select(
+            key, "n", F.col("base_score").alias("_reached")
+        ),
+        "favourites",
+    )
+    spread = F.xxhash64("listing_id", "l_variation", "q_variation")
+    met = lookup_join(bounded, first.drop("n"), key, spread, counts=first.select(key, "n"), **skew)
+    return met.where(F.col("bound") >= F.col("_reached")).drop("_reached")
+
+
+def best_pairs(
+    pairs: DataFrame,
+    key: str,
+    weights: Mapping[str, float] = WEIGHTS,
+    need: int = 0,
+    keep_all: Column | None = None,
+    author_score: str | None = None,
+    **skew: int,
+) -> DataFrame:
+    """``best_per_query`` of ``score_pairs``, with the window measure of ``contenders`` only."""
+    bounded = _reaching(with_bound(pairs, weights, author_score), need, keep_all).where(F.col("bound") > 0)
+    bounded = written(bounded, "bounds")
+    left = contenders(bounded, key, weights, author_score, **skew)
+    return best_per_query(_with_base_score(left, weights, author_score), key)
 
 
 def least_base_percent(threshold: int) -> int:

@@ -18,12 +18,11 @@ from shelflink.operators.scoring import (
     WEIGHTS,
     applies_to_query,
     author_agrees,
-    best_per_query,
+    best_pairs,
     is_high_price,
     least_base_percent,
     price_value,
     raise_to_floor,
-    score_pairs,
     with_author_score,
     with_bonuses,
 )
@@ -42,11 +41,11 @@ def _side(table: DataFrame, tag: str) -> DataFrame:
     )
 
 
-def _best(pairs: DataFrame, scoring: dict) -> DataFrame:
+def _best(pairs: DataFrame, scoring: dict, skew: dict) -> DataFrame:
     if "q_pair_author" in pairs.columns:
         pairs = with_author_score(pairs, "q_pair_author", "l_author", "pair_author_score")
         scoring = {**scoring, "author_score": "pair_author_score"}
-    return best_per_query(score_pairs(pairs, **scoring), "query_id")
+    return best_pairs(pairs, "query_id", **scoring, **skew)
 
 
 def _best_on_page(
@@ -72,7 +71,7 @@ def _best_on_page(
         counts=listings.groupBy("query_id").agg(F.count("*").alias("n")),
         **skew,
     )
-    best = _best(pairs, scoring).withColumnsRenamed(
+    best = _best(pairs, scoring, skew).withColumnsRenamed(
         {"query_id": "position", "listing_id": "listing_pos"}
     )
     return entries.join(best, "position")
@@ -117,7 +116,7 @@ def _best_by_title(
     )
     titles = wanted.where(F.col("variation") == 0)
     best = (
-        _best(pairs, scoring)
+        _best(pairs, scoring, skew)
         .join(titles.select(F.col("id").alias("query_id"), "title"), "query_id")
         .select("title", "base_score", F.col("listing_id").alias("listing_pos"))
     )
