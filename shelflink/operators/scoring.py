@@ -132,13 +132,6 @@ def _with_base_score(bounded: DataFrame, weights: Mapping[str, float], author_sc
     ).withColumn("base_score", _base_score(weights, author_score))
 
 
-def _reaching(bounded: DataFrame, need: int, keep_all: Column | None) -> DataFrame:
-    if need <= 0:
-        return bounded
-    keep = F.floor("bound") >= need
-    return bounded.where(keep if keep_all is None else keep | keep_all)
-
-
 def score_pairs(
     pairs: DataFrame,
     weights: Mapping[str, float] = WEIGHTS,
@@ -152,7 +145,10 @@ def score_pairs(
     ``bound`` stays below it are dropped before the window measure (the expensive one) is computed,
     except where ``keep_all`` holds.
     """
-    bounded = _reaching(with_bound(pairs, weights, author_score), need, keep_all)
+    bounded = with_bound(pairs, weights, author_score)
+    if need > 0:
+        keep = F.floor("bound") >= need
+        bounded = bounded.where(keep if keep_all is None else keep | keep_all)
     return _with_base_score(bounded, weights, author_score).drop("bound")
 
 
@@ -186,14 +182,11 @@ def best_pairs(
     pairs: DataFrame,
     key: str,
     weights: Mapping[str, float] = WEIGHTS,
-    need: int = 0,
-    keep_all: Column | None = None,
     author_score: str | None = None,
     **skew: int,
 ) -> DataFrame:
     """``best_per_query`` of ``score_pairs``, with the window measure of ``contenders`` only."""
-    bounded = _reaching(with_bound(pairs, weights, author_score), need, keep_all).where(F.col("bound") > 0)
-    bounded = written(bounded, "bounds")
+    bounded = written(with_bound(pairs, weights, author_score).where(F.col("bound") > 0), "bounds")
     left = contenders(bounded, key, weights, author_score, **skew)
     return best_per_query(_with_base_score(left, weights, author_score), key)
 

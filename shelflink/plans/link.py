@@ -19,10 +19,12 @@ from shelflink.operators.scoring import (
     applies_to_query,
     author_agrees,
     best_pairs,
+    best_per_query,
     is_high_price,
     least_base_percent,
     price_value,
     raise_to_floor,
+    score_pairs,
     with_author_score,
     with_bonuses,
 )
@@ -45,6 +47,9 @@ def _best(pairs: DataFrame, scoring: dict, skew: dict) -> DataFrame:
     if "q_pair_author" in pairs.columns:
         pairs = with_author_score(pairs, "q_pair_author", "l_author", "pair_author_score")
         scoring = {**scoring, "author_score": "pair_author_score"}
+    if "need" in scoring:
+        # Few pairs are left to score: two more tables would cost more than their windows.
+        return best_per_query(score_pairs(pairs, **scoring), "query_id")
     return best_pairs(pairs, "query_id", **scoring, **skew)
 
 
