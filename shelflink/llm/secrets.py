@@ -6,7 +6,7 @@ the two exceeds ``LEAST_RATIO``. Everything is DataFrame expressions.
 
 Random samples are made by hashing document ids and written in hexadecimal and base 64, values
 that the patterns find in the documents are added; ordinary samples are the other words and
-identifiers of 8 to 19 characters in the documents. Bound of the fit: ``TRAIN_ROWS`` documents, chosen by hash of doc_id.
+identifiers of 8 to 19 characters that the documents hold twice or more, and names, paths, versions and dates made of their words. Bound of the fit: ``TRAIN_ROWS`` documents, chosen by hash of doc_id.
 
 Places are code points, ends exclusive. NULL text counts as empty. Rows are scanned each on their
 own: repeated rows, ties and NULL ids need no rule. An empty table gives an empty result. Texts of
@@ -28,7 +28,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs are maximal, so asking for the least length here finds the same places as filtering later.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+LEAST_RUN = 12
 ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
 KINDS = ("assign", "access", "hex", "random")
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -109,31 +110,52 @@ def _states(text: Column) -> Column:
 
 
 def _steps(samples: DataFrame) -> dict[tuple[int, int], int]:
-    """Counts of neighbouring states over the column ``sample``; at most STATES squared rows."""
-    states = samples.where("length(sample) > 1").select(_states(F.col("sample")).alias("s"))
+    """Counts of neighbouring states over ``sample``, which was seen ``n`` times; at most STATES squared rows."""
+    states = samples.where("length(sample) > 1").select(_states(F.col("sample")).alias("s"), "n")
     pair = F.explode(F.transform(F.slice("s", 1, F.size("s") - 1), lambda a, i: F.struct(a.alias("a"), F.get("s", i + 1).alias("b"))))
-    counted = states.select(pair.alias("p")).groupBy("p.a", "p.b").count().collect()
+    counted = states.select(pair.alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n")).collect()
     return {(a, b): n for a, b, n in counted}
 
 
+def _identifiers(word: Column) -> Column:
+    """Names, paths, versions, dates and rules as people write them, made of one word and its hash."""
+    capital, number = F.initcap(word), F.pmod(F.xxhash64(word), F.lit(10_000))
+    two = [F.lpad(F.pmod(F.floor(number / k), F.lit(m)).cast("string"), 2, "0") for k, m in ((1, 30), (30, 12), (7, 28))]
+    year = F.concat(F.lit("20"), two[0])
+    return F.array(
+        F.concat_ws("_", word, word), F.concat_ws("-", word, word, year), F.concat_ws("/", F.lit(""), word, word),
+        F.concat(word, capital, capital), F.upper(word), F.concat_ws("_", F.upper(word), F.upper(word)),
+        F.concat(F.substr(F.upper(word), F.lit(1), F.lit(3)), capital), F.concat(word, F.lit("_v"), two[1]),
+        F.concat(word, year, word), F.concat(capital, number.cast("string")), F.concat_ws("-", year, two[1], two[2]),
+        F.concat(word, F.lit("="), capital), F.concat(capital, F.lit("+"), word), F.lit("------"), F.lit("======"),
+    )
+
+
 def fit_ratio(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[float]:
     """Log of random over ordinary step probability, by first state times STATES plus second."""
     scratch = Scratch(docs.sparkSession, "secrets-fit")
-    total = docs.count()
-    part = max(1, total // max(1, rows))
-    # The fit reads this sample only; the scan reads every row.
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(part)) == 0).limit(2 * rows)
+    # The fit reads this sample only, the same in every run; the scan reads every row.
+    chance = F.struct(F.xxhash64(F.lit("fit"), "doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    part = max(1, docs.count() // max(1, rows))
+    drawn = docs.select("doc_id", "text", chance.alias("_chance")).where(F.pmod("_chance.h", F.lit(part)) == 0)
+    last = drawn.select("_chance").orderBy("_chance").limit(2 * rows).agg(F.max("_chance").alias("_last"))
+    # A repeated row counts once, so ties at the bound add nothing.
+    sample = drawn.where(F.col("_chance") <= last.scalar()).dropDuplicates(["_chance"])
     found = scratch.put(known_secrets(sample), "sample")
     digest = F.sha2(F.concat_ws(":", F.lit("random"), F.col("doc_id").cast("string")), 256)
     made = found.select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("sample"))
     matched = found.select(F.explode(F.concat("access", "hex")).alias("x")).select(F.col("x.text").alias("sample"))
     runs = F.regexp_extract_all("_text", F.lit(ORDINARY), F.lit(0))
     secret = F.transform(F.concat("assign", "access", "hex"), lambda x: x["text"])
-    ordinary = found.where(F.size(secret) == 0).select(F.explode(runs).alias("sample")).where(
-        # Long runs may themselves be secrets.
-        "length(sample) < 20 AND NOT sample RLIKE '[0-9].*[0-9].*[0-9].*[0-9]'"
-    )
-    random_steps, ordinary_steps = _steps(made.union(matched)), _steps(ordinary)
+    seen = found.where(F.size(secret) == 0).select(F.explode(runs).alias("sample"))
+    # Long runs, and those seen once, may themselves be secrets.
+    short = seen.where("length(sample) < 20 AND NOT sample RLIKE '[0-9].*[0-9].*[0-9].*[0-9]'")
+    ordinary = short.groupBy("sample").agg(F.count("*").alias("n")).where("n > 1")
+    words = F.explode(F.regexp_extract_all("_text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)))
+    named = found.select(words.alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    joined = named.where("n > 1 AND length(w) < 20").select(F.explode(_identifiers(F.col("w"))).alias("sample"), F.lit(1).alias("n"))
+    random = made.union(matched).withColumn("n", F.lit(1))
+    random_steps, ordinary_steps = _steps(random), _steps(ordinary.union(joined))
     scratch.drop(found)
 
     def shares(counts: dict[tuple[int, int], int]) -> Callable[[int, int], float]:
@@ -157,16 +179,29 @@ def fit_ratio(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[float]:
 def random_runs(df: DataFrame, ratio: list[float], least: float = LEAST_RATIO) -> DataFrame:
     """``df`` (with ``_text`` and pattern spans) with ``random``: runs that the models call random.
 
-    Runs that touch a pattern span are left to the pattern.
+    What a pattern span covers of a run is left to the pattern; pieces of ``LEAST_RUN`` characters or
+    more beside it are judged like runs.
     """
-    # Digits, signs or mixed capitals: plain words need no model.
-    runs = F.filter(_spans(RUN), lambda x: x["text"].rlike("[0-9+/=]|[a-z][A-Z].*[a-z][A-Z]"))
 
-    def free(known: Column) -> Column:
-        def touched(x: Column) -> Column:
-            return F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+    def beside(known: Column, x: Column) -> Column:
+        """Pieces of the run ``x`` outside the spans ``known``, which are sorted by start."""
 
-        return F.filter(runs, lambda x: ~touched(x))
+        def pieces(over: Column) -> Column:
+            def piece(i: Column) -> Column:
+                # From the furthest end so far to the next start; NULLs are skipped.
+                start = F.greatest(x["start"], F.array_max(F.transform(F.slice(over, 1, i), lambda k: k["end"])))
+                end = F.least(x["end"], F.get(over, i)["start"])
+                text = F.substr(x["text"], start - x["start"] + 1, F.greatest(end - start, F.lit(0)))
+                return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
+
+            cut = F.transform(F.sequence(F.lit(0), F.size(over)), piece)
+            return F.when(F.size(over) == 0, F.array(x)).otherwise(cut)
+
+        return let(F.filter(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])), pieces)
+
+    def free(known: Column) -> Column:
+        cut = F.flatten(F.transform(_spans(RUN), lambda x: beside(known, x)))
+        return F.filter(cut, lambda x: x["end"] - x["start"] >= LEAST_RUN)
 
     table = F.lit(ratio)
 
@@ -179,7 +214,7 @@ def random_runs(df: DataFrame, ratio: list[float], least: float = LEAST_RATIO) -
 
         return let(_states(x["text"]), total)
 
-    candidates = let(F.concat("assign", "access", "hex"), free)
+    candidates = let(F.array_sort(F.concat("assign", "access", "hex")), free)
     return df.withColumn("random", F.filter(candidates, lambda x: score(x) > least))
 
 

@@ -93,6 +93,39 @@ def test_random_strings_are_told_from_identifiers(docs_of):
     assert len(spans[2][0]) == 1 and not spans[2][1]
 
 
+def test_random_keys_of_many_kinds_and_what_lies_beside_patterns(docs_of):
+    def key(alphabet, n, i):
+        number, out = int(hashlib.sha512(f"{alphabet}{i}".encode()).hexdigest(), 16), ""
+        for _ in range(n):
+            number, digit = divmod(number, len(alphabet))
+            out += alphabet[digit]
+        return out
+
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [(lower + lower.upper() + "0123456789", 16), (lower, 32), (lower + "0123456789", 24), (lower.upper() + "0123456789", 24)]
+    words = "the wonderful configuration of international applications is a user guide to release notes and session updates"
+    ordinary = [
+        "getElementsByTagName", "release_notes_2024", "/usr/share/applications", "2023-10-12", "================", "configuration",
+        "userSessionGuide", "INTERNATIONAL_RELEASE", "session-updates-2023", "unbelievably-long-words",
+    ]
+    rows = [(1000 * k + i, f"{words} {key(a, n, i)} end") for k, (a, n) in enumerate(kinds) for i in range(20)]
+    rows += [(10_000 + i, f"{words} {x} end") for i, x in enumerate(ordinary)]
+    docs = docs_of(rows)
+    ratio = fit_ratio(docs)
+    assert fit_ratio(docs.repartition(7)) == ratio
+    few = [fit_ratio(d, rows=10) for d in (docs, docs.repartition(5).union(docs))]
+    assert len(few[0]) == len(ratio)
+    found = {r.doc_id: [x.text for x in r.random] for r in random_runs(known_secrets(docs), ratio).collect()}
+    for k, (a, n) in enumerate(kinds):
+        assert sum(key(a, n, i) in found[1000 * k + i] for i in range(20)) >= 18, a
+    assert [x for i in range(len(ordinary)) for x in found[10_000 + i]] == []
+    # A hex span inside a run: both sides are judged by themselves.
+    left, right = key(kinds[0][0], 20, "l") + "Z", "Z" + key(kinds[0][0], 20, "r")
+    docs = docs_of([(1, f"{left}{'0123456789abcdef' * 2}{right}")])
+    (row,) = random_runs(known_secrets(docs), ratio).collect()
+    assert [x.text for x in row.random] == [left, right] and [(x.start, x.end) for x in row.random] == [(0, 21), (53, 74)]
+
+
 def test_license_templates(docs_of):
     rows = [(i, f"{PROSE}\n{t[1].capitalize()}.\n{PROSE}") for i, t in enumerate(TEMPLATES)]
     broken = TEMPLATES[6][1].replace("met", "ignored")
