@@ -103,7 +103,7 @@ def test_random_keys_of_many_kinds_and_what_lies_beside_patterns(docs_of):
 
     lower = "abcdefghijklmnopqrstuvwxyz"
     kinds = [(lower + lower.upper() + "0123456789", 16), (lower, 32), (lower + "0123456789", 24), (lower.upper() + "0123456789", 24)]
-    words = "the wonderful configuration of international applications is a user guide to release notes and session updates"
+    words = "the wonderful configuration of international applications is a user guide to release notes and session updates by unbelievably long elements with names and tags to get"
     ordinary = [
         "getElementsByTagName", "release_notes_2024", "/usr/share/applications", "2023-10-12", "================", "configuration",
         "userSessionGuide", "INTERNATIONAL_RELEASE", "session-updates-2023", "unbelievably-long-words",
