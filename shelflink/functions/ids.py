@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflink.functions.text import strip
+from shelflink.functions.text import strip, strip_column
 
 # Fixed values.
 ISBN_SHAPE = r"^([0-9]{9}[0-9X]|[0-9]{13})\z"
@@ -21,7 +21,7 @@ PREFIX_LENGTH = 9
 
 
 def _without_separators(col: Column) -> Column:
-    return F.translate(strip(col), "- ", "")
+    return F.translate(strip_column(col), "- ", "")
 
 
 def _if_isbn(text: Column) -> Column:
@@ -33,8 +33,10 @@ def unwrap_formula(cell: Column) -> Column:
 
     The text inside a formula is returned unchecked; a plain cell must look like an ISBN.
     """
-    inner = F.nullif(strip(F.regexp_extract(cell, FORMULA, 1)), F.lit(""))
-    return F.when(cell.rlike(FORMULA), inner).otherwise(_if_isbn(_without_separators(cell)))
+    inner = strip(F.regexp_extract(cell, FORMULA, 1))
+    plain = F.regexp_extract(_without_separators(cell), ISBN_SHAPE, 1)
+    # One NULLIF around both: inside a branch it would evaluate its patterns twice.
+    return F.nullif(F.when(cell.rlike(FORMULA), inner).otherwise(plain), F.lit(""))
 
 
 def normalize_isbn(isbn: Column) -> Column:

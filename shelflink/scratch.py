@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: HotSpot never compiles a longer method; Spark then uses shorter ones instead of one per stage.
+METHOD_LIMIT, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -25,9 +29,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Inside, steps too long for the just-in-time compiler run as several methods, not interpreted.
+
+    A limit that the session names itself is kept.
+    """
+    if spark.conf.get(METHOD_LIMIT, None) is not None:
+        yield
+        return
+    spark.conf.set(METHOD_LIMIT, COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(METHOD_LIMIT)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet under the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with compiled_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

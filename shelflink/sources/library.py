@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelflink.functions.html import without_hidden
 from shelflink.functions.ids import isbn10_to_isbn13, isbn13_to_isbn10
+from shelflink.functions.text import without_edges
 from shelflink.operators.listings import extract_listings
 from shelflink.sources.reading_list import entries_of_shelf
 
@@ -43,27 +44,31 @@ def _sentences(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return (
         rows.withColumn("_text", text)
         .select("*", F.posexplode_outer(F.split("_text", SENTENCE_END)).alias("n", "sentence"))
-        .withColumn("sentence", F.regexp_replace("sentence", EDGES, ""))
+        .withColumn("sentence", without_edges(F.col("sentence"), " \t\r", EDGES))
         .where(F.col("sentence") != "")
         .withColumn("position", F.shiftleft(key, POSITION_BITS) + F.col("n"))
         .drop("_text", "n")
     )
 
 
-def _hash_number(text: Column, modulus: int) -> Column:
-    return F.conv(F.left(F.md5(text), F.lit(7)), 16, 10).cast("long") % modulus
+def _hash_number(text: Column) -> Column:
+    return F.conv(F.left(F.md5(text), F.lit(7)), 16, 10).cast("long")
 
 
 def with_isbns(rows: DataFrame) -> DataFrame:
-    """Add ``_isbn10`` and ``_isbn13``: six digits from the first word, three from the sentence."""
+    """Add ``_isbn10`` and ``_isbn13``: six digits from the first word, three from the sentence.
+
+    ``_number`` is the hash of the sentence, computed once.
+    """
     first = F.substring_index("sentence", " ", 1)
     nine = F.concat(
-        F.lpad(_hash_number(first, 1_000_000).cast("string"), 6, "0"),
-        F.lpad(_hash_number(F.col("sentence"), 1000).cast("string"), 3, "0"),
+        F.lpad((_hash_number(first) % 1_000_000).cast("string"), 6, "0"),
+        F.lpad((F.col("_number") % 1000).cast("string"), 3, "0"),
     )
     # The 13-digit form and back gives the check character of the short one.
     return (
-        rows.withColumn("_nine", nine)
+        rows.withColumn("_number", _hash_number(F.col("sentence")))
+        .withColumn("_nine", nine)
         .withColumn("_isbn13", isbn10_to_isbn13(F.concat("_nine", F.lit("0"))))
         .withColumn("_isbn10", isbn13_to_isbn10(F.col("_isbn13")))
     )
@@ -93,7 +98,7 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src9", F.concat(s, F.lit(" (Revised Edition)")))
         .otherwise(s)
     )
-    known = _hash_number(s, 8) < 5
+    known = F.col("_number") % 8 < 5
     as_formula = source.isin("src0", "src1", "src2", "src3", "src4")
     thirteen = F.col("_isbn13")
     quoted = F.when(as_formula, F.concat(F.lit('="'), thirteen, F.lit('"'))).otherwise(thirteen)
@@ -122,13 +127,14 @@ def sentence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("sentence")
     length = F.length(s)
     other = (F.col("page_id") % 4 == 0).cast("int")
-    cents = _hash_number(s, 7000)
+    number = F.col("_number")
+    cents = number % 7000
     return rows.select(
         F.col("position").alias("listing_pos"),
         s.alias("title"),
         F.when(length % 11 != 0, _name(length + other)).alias("author"),
-        F.when(_hash_number(s, 8) < 3, F.col("_isbn10"))
-        .when(_hash_number(s, 8) == 6, F.col("_isbn13"))
+        F.when(number % 8 < 3, F.col("_isbn10"))
+        .when(number % 8 == 6, F.col("_isbn13"))
         .alias("isbn"),
         F.concat(
             F.lit("$"), F.floor(cents / 100), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
