@@ -12,7 +12,6 @@ from shelflink.functions.similarity import (
     lcs_length,
     most_partial,
     partial_ratio,
-    ratio,
     ratio_of,
     sorted_tokens,
     with_token_set_ratio,
@@ -99,18 +98,22 @@ def to_percent(score: Column) -> Column:
 def with_measures(pairs: DataFrame) -> DataFrame:
     """Add the three measures that cost one pass over a pair, and ``most_partial``, the most the window measure can be."""
     q, l = F.col("q_text"), F.col("l_text")
-    differ = q != l
-    common = pairs.withColumn("_lcs", lcs_length(F.when(differ, q), F.when(differ, l)))
+    q_sorted, l_sorted = F.col("q_sorted"), F.col("l_sorted")
+
+    def common(a: Column, b: Column) -> Column:
+        return lcs_length(F.when(a != b, a), F.when(a != b, b))
+
+    lengths = {"_lcs": common(q, l), "_lcs_sorted": common(q_sorted, l_sorted)}
     return (
-        with_token_set_ratio(common, "q_sorted", "l_sorted", "token_set_ratio")
+        with_token_set_ratio(pairs, "q_sorted", "l_sorted", "token_set_ratio", lengths)
         .withColumns(
             {
                 "ratio": ratio_of(q, l, F.col("_lcs")),
-                "token_sort_ratio": ratio(F.col("q_sorted"), F.col("l_sorted")),
+                "token_sort_ratio": ratio_of(q_sorted, l_sorted, F.col("_lcs_sorted")),
                 "most_partial": most_partial(q, l, F.col("_lcs")),
             }
         )
-        .drop("_lcs")
+        .drop(*lengths)
     )
 
 
