@@ -7,7 +7,8 @@ plain TF-IDF.
 Examples are sorted by their heaviest frequent terms and cut into blocks. The ``DENSE`` most frequent terms, which make up
 most postings, are stored as columns with the largest weight of each block; the other lists are so short that they
 rarely have two postings in a block, so the postings themselves take the place of its largest weight. Both
-bound the similarity of a block's examples. Blocks are scored in falling order of this bound; a query
+bound the similarity of a block's examples. Queries with the same most promising block are searched together, so that they need
+much the same blocks. Blocks are scored in falling order of this bound; a query
 skips those whose bound is below the similarity of its k-th best example. That is done in single precision; whatever is near the k-th best is scored again in double precision, so the k nearest are
 exact; ties go to the smaller doc_id.
 
@@ -46,8 +47,8 @@ TELLING = 10.0
 LEAST_CHI2, LEAST_LIFT, LEAST_DOCS = 25.0, 3.0, 4
 NEAREST, VOTERS = 15, 50
 BLOCK = 64
-#: Terms stored as columns, blocks scored together, queries searched together.
-DENSE, GROUP, TOGETHER = 1024, 32, 128
+#: Terms stored as columns, blocks scored together, queries searched together, queries put in order. None changes a result.
+DENSE, GROUP, TOGETHER, ORDERED = 512, 16, 128, 1024
 #: More than single precision can lose.
 SLACK = 1e-5
 THRESHOLD = 0.7
@@ -167,15 +168,27 @@ class BlockMaxIndex:
         terms, weights = self.query(words)
         return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
+    def _columns(self, given: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Weights of the queries' frequent terms."""
+        columns = np.zeros((len(given), self.dense.shape[1]), np.float32)
+        for r, (terms, weights) in enumerate(given):
+            at = self.column[terms]
+            frequent = at >= 0
+            columns[r, at[frequent]] = weights[frequent]
+        return columns
+
+    def _alike(self, given: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Order of the queries by the block with their highest bound over frequent terms."""
+        return np.argsort((self._columns(given) @ self.largest.T).argmax(1), kind="stable")
+
     def _near(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, hide: np.ndarray | None) -> np.ndarray:
         """Places whose similarity in single precision may be one of the k largest, as a mask for each query."""
         n, slots = len(given), self.blocks * BLOCK
-        columns = np.zeros((n, self.dense.shape[1]), np.float32)
+        columns = self._columns(given)
         score = np.zeros((n, slots), np.float32)
         for r, (terms, weights) in enumerate(given):
-            at = self.column[terms]
-            columns[r, at[at >= 0]] = weights[at >= 0]
-            terms, weights = terms[at < 0], weights[at < 0]
+            rare = self.column[terms] < 0
+            terms, weights = terms[rare], weights[rare]
             starts = self.posted[terms]
             lengths = self.posted[terms + 1] - starts
             found = _ranges(starts, lengths)
@@ -219,15 +232,17 @@ class BlockMaxIndex:
         if without_held:
             hide = np.append(self.held, np.zeros(self.blocks * BLOCK - len(self.held), bool))
         weight_of, met = np.zeros(len(self.column)), np.zeros(len(self.column), bool)
-        out = []
-        for (terms, weights), near in zip(given, self._near(given, k, hide), strict=True):
+        out = [none] * len(given)
+        order = self._alike(given).tolist() if len(given) > TOGETHER else range(len(given))
+        found = ((i, near) for some in batched(order, TOGETHER) for i, near in zip(some, self._near([given[i] for i in some], k, hide), strict=True))
+        for i, near in found:
+            terms, weights = given[i]
             at = np.flatnonzero(near)
             if not len(at):
-                out.append(none)
                 continue
             weight_of[terms], met[terms] = weights * self.scale[terms], True
             starts, ends = self.starts[at], self.starts[at + 1]
-            held = np.concatenate([self.terms[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+            held = np.concatenate([self.terms[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             # Few words of an example are the query's: find them in a small table first.
             hits = np.flatnonzero(met[held])
             whose = np.repeat(np.arange(len(at)), ends - starts)[hits]
@@ -240,7 +255,7 @@ class BlockMaxIndex:
             shared = weight_of[self.told[_ranges(self.told_starts[at], lengths)]] > 0
             common = np.bincount(np.repeat(np.arange(len(at)), lengths)[shared], minlength=len(at))
             weight_of[terms], met[terms] = 0, False
-            out.append((at, cos, common))
+            out[i] = at, cos, common
         return out
 
     def nearest(self, query: dict[int, float], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +285,7 @@ class ToxicityModel:
         index = self.index
         names = index.names
         votes, near, shown = [], [], []
-        for some in batched(texts, TOGETHER):
+        for some in batched(texts, ORDERED):
             keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in some]
             if len(known) >= REMEMBERED:
                 known.clear()
@@ -418,7 +433,7 @@ def fit_toxicity(
     def held_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = built_index(shared.value)
         for batch in batches:
-            for some in batched(zip(batch["words"], batch["counts"], batch["y"], strict=True), TOGETHER):
+            for some in batched(zip(batch["words"], batch["counts"], batch["y"], strict=True), ORDERED):
                 queries = [index.query([w for w, c in zip(ws, cs, strict=True) for _ in range(c)]) for ws, cs, _ in some]
                 vote = np.array([v for v, _ in index.votes(queries, without_held=True)])
                 yield pd.DataFrame({"bin": bin_of(vote), "y": [y for _, _, y in some]})
