@@ -8,13 +8,15 @@ as many cells as the other side has blocks; words and pairs are not shuffled one
 one block of listings (about 300 bytes a title of 12 words) and some entries.
 
 Rows of both sides have the ``id`` of a title, its lengths and ``whole`` weight, hashes of its
-``words``, their ``weights``, and ``rest`` of every word: its weight and that of all words before it. Spellings go to every
+``words``, their ``weights``, and ``rest`` of every word: its weight and that of all words before it (NULL in all rows:
+summed up in the tasks, so that it need not be shuffled). Spellings go to every
 cell: rows whose ``words`` are a word of entries and the words of listings that it may be called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +68,13 @@ class Rows:
         self.ids, self.number = named.dictionary, named.indices.to_numpy().astype(np.int64)
         self.text, self.sorted, self.whole = (one[c].to_numpy() for c in ("text_length", "sorted_length", "whole"))
         self.words, self.starts = _lists(one["words"])
-        self.weight, self.rest = (_lists(one[c])[0].astype(np.int64) for c in ("weights", "rest"))
+        self.weight = _lists(one["weights"])[0].astype(np.int64)
         self.lengths = np.diff(self.starts)
+        if one["rest"].null_count:
+            so_far = _offsets(self.weight)
+            self.rest = so_far[1:] - np.repeat(so_far[self.starts[:-1]], self.lengths)
+        else:
+            self.rest = _lists(one["rest"])[0].astype(np.int64)
         self.row = np.repeat(np.arange(len(self.whole)), self.lengths)
 
 
@@ -78,11 +85,12 @@ class Block:
         self.of, self.n = listings, len(listings.whole)
         self.vocabulary, self.word = np.unique(listings.words, return_inverse=True)
         self.count = np.bincount(self.word, minlength=len(self.vocabulary))
-        self.every = self._posted(np.arange(len(self.word)))
         # A word that a row has twice, as of two titles with one id, counts once.
-        order = np.argsort(self.word * self.n + listings.row, kind="stable")
-        twice = order[1:][np.diff(self.every[0]) == 0]
+        key = self.word * self.n + listings.row
+        order = np.argsort(key, kind="stable")
+        twice = order[1:][np.diff(key[order]) == 0]
         listings.weight[twice] = 0
+        del key, order
         few = np.flatnonzero(listings.rest * 100 >= listings.whole[listings.row] * prefix) if prefix else None
         self.few = self._posted(few) if prefix else None
         self.column = np.full(len(self.vocabulary), -1, np.int64)
@@ -96,6 +104,10 @@ class Block:
             order = np.argsort(own)
             self.called = own[order], near[order]
 
+    @cached_property
+    def every(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._posted(np.arange(len(self.word)))
+
     def _posted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of word and row, with the row and the rest of each."""
         key = self.word[at] * self.n + self.of.row[at]
@@ -197,6 +209,30 @@ def sharing(group: Group, percent: int, enough: Callable) -> np.ndarray:
     return pairs[good]
 
 
+def overlapping(group: Group, percent: int) -> np.ndarray:
+    """Pairs whose common words make up ``percent`` of the heavier side."""
+    block, q = group.block, group.entries
+    l, base = block.of, group.rows.start
+    whole = q.whole[q.row[group.at]]
+    some = np.flatnonzero(q.rest[group.at] * 100 >= whole * percent)
+    # The common weight is at most that of the lighter side.
+    low = np.searchsorted(l.whole * 100, whole[some] * percent)
+    high = np.searchsorted(l.whole * percent, whole[some] * 100, "right")
+    found = []
+    for at, rows, rests in block.met(block.few, group.word[some], low, high):
+        at = some[at]
+        # Everything shared comes at or after the first shared word, on both sides.
+        near = np.minimum(q.rest[group.at[at]], rests) * 100 >= np.maximum(whole[at], l.whole[rows]) * percent
+        found.append(np.unique(group.row[at[near]] * block.n + rows[near]))
+    pairs = _distinct_pairs(found)
+    entry, listing = np.divmod(pairs, block.n)
+    heavier = np.maximum(q.whole[entry + base], l.whole[listing])
+    good = np.zeros(len(pairs), bool)
+    for piece, weight in group.shared(pairs, l.weight):
+        good[piece] = weight * 100 >= heavier[piece] * percent
+    return pairs[good]
+
+
 def near(group: Group, percent: int, most_weight: int) -> np.ndarray:
     """Pairs of about equal weight in which ``percent`` of either side are words that the other has, by any of its keys."""
     block, q = group.block, group.entries

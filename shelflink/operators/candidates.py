@@ -9,25 +9,27 @@ depend on the other entries. A word no listing has weighs as much as one that a
 The join is complete for that definition. Words are ordered rarest first; a qualifying pair must
 share a word inside both sides' *prefix*, the words whose remaining weight (the word itself and all
 more frequent ones) still reaches the required share (prefix filtering, Bayardo 2007 / Xiao 2008).
-Frequent words therefore hardly ever serve as join keys, and no word, pair or partner is cut off.
+Frequent words therefore hardly ever serve as keys. Titles meet in blocks inside tasks (``blocks``);
+no word, pair or partner is cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflink.functions.similarity import token_set
+from shelflink.operators.blocks import BLOCK_ROWS, overlapping, pairs_of_blocks
 from shelflink.operators.lookup import lookup_join
 from shelflink.scratch import written
 
 MIN_OVERLAP = 60
-CELL_ROWS = 20_000
-CARRIED_WORDS = 64
+#: Words of entries that are looked up together.
+CARRIED_WORDS = 2048
+#: Listings in a block at most: twice as many as in ``blocks``, for only their prefix words are posted.
+CELL_ROWS = 2 * BLOCK_ROWS
 HOT_WORDS = 10_000
 HOT_WORD_LENGTH = 100
-#: Crowded words whose lines are broadcast (24 bytes each); a longer list is joined by shuffle.
-BROADCAST_WORDS = 500_000
 
 
 def word_weight(variations: int) -> Column:
@@ -73,40 +75,23 @@ def _weighted_words(words: DataFrame, counts: DataFrame, variations: int, total:
     )
 
 
-def _word_lists(words: DataFrame) -> DataFrame:
-    """One row per variation: ``entries(code, rest)`` of its words and the ``whole`` weight.
+def _word_rows(words: DataFrame) -> DataFrame:
+    """One row per variation for ``blocks``: hashes of its words, frequent words first, their weights and the ``whole`` weight.
 
-    ``code`` is the weight in two digits and the word; ``rest`` the weight of the word and all more
-    frequent ones. A group is one row's own text, and window and aggregate share one shuffle.
+    Tasks sum the weights up; a group is one row's own text.
     """
-    frequent_first = Window.partitionBy("id", "variation").orderBy(F.desc("df"), F.desc("word"))
-    so_far = frequent_first.rowsBetween(Window.unboundedPreceding, 0)
-    code = F.concat(F.lpad(F.col("weight").cast("string"), 2, "0"), F.col("word")).alias("code")
+    word = F.struct("df", F.xxhash64("word").alias("word"), F.col("weight").cast("tinyint").alias("weight"))
     return (
-        words.withColumn("rest", F.sum("weight").over(so_far).cast("int"))
+        words.select("id", "variation", word.alias("e"))
         .groupBy("id", "variation")
-        .agg(
-            F.sum("weight").cast("int").alias("whole"),
-            F.collect_list(F.struct(code, "rest")).alias("entries"),
-        )
-    )
-
-
-def _prefixes(lists: DataFrame, min_overlap: int) -> DataFrame:
-    """One row per prefix word; word lists travel along unless the variation is very long."""
-    carried = F.when(F.size("entries") <= CARRIED_WORDS, F.col("entries.code"))
-    return (
-        lists.select(
-            "id", "variation", "whole", carried.alias("words"), F.explode_outer("entries").alias("e")
-        )
-        .where(F.col("e.rest").cast("long") * 100 >= F.col("whole").cast("long") * min_overlap)
+        .agg(F.sum("e.weight").alias("whole"), F.sort_array(F.collect_list("e"), asc=False).alias("e"))
         .select(
-            F.substring("e.code", 3, 1 << 30).alias("word"),
             "id",
-            "variation",
-            F.col("e.rest").cast("long").alias("rest"),
-            F.col("whole").cast("long").alias("whole"),
-            "words",
+            *(F.lit(0).alias(c) for c in ("text_length", "sorted_length")),
+            "whole",
+            F.col("e.word").alias("words"),
+            F.col("e.weight").alias("weights"),
+            F.lit(None).cast("array<int>").alias("rest"),
         )
     )
 
@@ -152,37 +137,6 @@ def _grid(prefixes: DataFrame, crowded: DataFrame, few: bool, tag: str, other: s
     )
 
 
-def _shared_weight(left: str, right: str) -> Column:
-    return F.aggregate(
-        F.array_intersect(left, right),
-        F.lit(0),
-        lambda total, code: total + F.substring(code, 1, 2).cast("int"),
-    )
-
-
-def _enough(shared: Column, min_overlap: int) -> Column:
-    return shared * 100 >= F.greatest("q_whole", "l_whole") * min_overlap
-
-
-def _verify_long(
-    pairs: DataFrame, q_lists: DataFrame, l_lists: DataFrame, min_overlap: int
-) -> DataFrame:
-    """Pairs with a very long variation, verified on word lists looked up by variation."""
-
-    def tagged(lists: DataFrame, tag: str) -> DataFrame:
-        return lists.select(
-            F.col("id").alias(f"{tag}id"),
-            F.col("variation").alias(f"{tag}variation"),
-            F.col("entries.code").alias(f"{tag}words"),
-        )
-
-    return (
-        pairs.join(tagged(q_lists, "q_"), ["q_id", "q_variation"])
-        .join(tagged(l_lists, "l_"), ["l_id", "l_variation"])
-        .where(_enough(_shared_weight("q_words", "l_words"), min_overlap))
-    )
-
-
 def block_by_title(
     queries: DataFrame,
     listings: DataFrame,
@@ -191,7 +145,8 @@ def block_by_title(
 ) -> DataFrame:
     """Candidate pairs ``(query_id, listing_id)`` from two ``title_table`` tables.
 
-    Both inputs must be tables that are cheap to read again.
+    Both inputs must be tables that are cheap to read again. Words are compared by 64 bits of their
+    hashes; ``cell_rows`` is the most listings that a task holds.
     """
     counts = _word_counts(queries, listings)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -199,32 +154,10 @@ def block_by_title(
 
     def lists_of(titles: DataFrame, name: str) -> DataFrame:
         words = _weighted_words(_occurrences(titles), counts, variations, total)
-        return written(_word_lists(words), name)
-
-    q_lists, l_lists = lists_of(queries, "entry-words"), lists_of(listings, "listing-words")
-    q_prefixes, l_prefixes = (_prefixes(lists, min_overlap) for lists in (q_lists, l_lists))
-    crowded = written(_crowded_words(q_prefixes, l_prefixes, cell_rows), "crowded-words")
-    few = crowded.count() <= BROADCAST_WORDS
-    joined = _grid(q_prefixes, crowded, few, "q", "l", cell_rows).join(
-        _grid(l_prefixes, crowded, few, "l", "q", cell_rows), ["word", "_q_line", "_l_line"]
-    )
-    # Everything shared comes at or after the first shared word, on both sides.
-    reachable = _enough(F.least("q_rest", "l_rest"), min_overlap)
-    carried = F.col("q_words").isNotNull() & F.col("l_words").isNotNull()
-    to_verify = ("q_variation", "l_variation", "q_whole", "l_whole")
-    verified = _enough(_shared_weight("q_words", "l_words"), min_overlap)
-    pairs = written(
-        joined.where(reachable & F.when(carried, verified).otherwise(True))
-        .select("q_id", "l_id", *(F.when(~carried, F.col(c)).alias(c) for c in to_verify))
-        .distinct(),
-        "pairs",
-    )
-    open_pairs = pairs.where(F.col("q_variation").isNotNull())
-    long = _verify_long(open_pairs, q_lists, l_lists, min_overlap)
-    return (
-        pairs.where(F.col("q_variation").isNull())
-        .select("q_id", "l_id")
-        .union(long.select("q_id", "l_id"))
-        .distinct()
-        .select(F.col("q_id").alias("query_id"), F.col("l_id").alias("listing_id"))
-    )
+        return written(_word_rows(words), name)
+
+    def find(group):
+        return overlapping(group, min_overlap)
+
+    q_rows, l_rows = lists_of(queries, "entry-words"), lists_of(listings, "listing-words")
+    return pairs_of_blocks(q_rows, l_rows, find, min_overlap, CARRIED_WORDS, cell_rows)
