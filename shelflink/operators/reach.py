@@ -56,7 +56,7 @@ def _counts(queries: DataFrame, listings: DataFrame) -> DataFrame:
     return written(counted, "word-counts")
 
 
-def _word_lists(titles: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+def _word_lists(titles: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per variation: ``whole`` weight, lengths, and its words rarest first with the weight from there on.
 
     At most ``HOT_WORDS`` words have one part in ``HOT_WORDS`` of all occurrences; those of ordinary
@@ -75,14 +75,13 @@ def _word_lists(titles: DataFrame, counts: DataFrame, name: str) -> DataFrame:
     )
     frequent_first = Window.partitionBy("id", "variation").orderBy(F.desc("n"), F.desc("word"))
     so_far = frequent_first.rowsBetween(Window.unboundedPreceding, 0)
-    return written(
+    return (
         counted.withColumn("rest", F.sum(word_weight(F.col("word"))).over(so_far))
         .groupBy("id", "variation", "text_length", "sorted_length")
         .agg(
             F.max("rest").alias("whole"),
             F.collect_list(F.struct("word", "rest")).alias("entries"),
-        ),
-        name,
+        )
     )
 
 
@@ -109,7 +108,7 @@ def sharing_titles(
     hashes; ``cell_rows`` is the most listings that a task holds.
     """
     percent = least_shared_percent(need, weights)
-    q_lists, l_lists = lists or title_words(queries, listings)[:2]
+    q_lists, l_lists = (lists or written_words(queries, listings))[:2]
     given = dict(weights)
 
     def enough(q, entry, l, listing, shared):
@@ -156,7 +155,7 @@ def near_titles(
 
     Words of a pair are compared by 64 bits of their hashes; a word's weight counts up to ``MOST_WEIGHT``.
     """
-    q_lists, l_lists, counts = lists or title_words(queries, listings)
+    q_lists, l_lists, counts = lists or written_words(queries, listings)
     spellings = written(_spellings(counts), "spellings")
     most_weight = MOST_WEIGHT
 
@@ -167,9 +166,18 @@ def near_titles(
 
 
 def title_words(queries: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Word lists of both sides and the word counts, as written tables."""
+    """Word lists of both sides, and the word counts as a written table.
+
+    The lists are not written: who needs the counts alone does not pay for them.
+    """
     counts = _counts(queries, listings)
-    return _word_lists(queries, counts, "entry-words"), _word_lists(listings, counts, "listing-words"), counts
+    return _word_lists(queries, counts), _word_lists(listings, counts), counts
+
+
+def written_words(queries: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``title_words`` with the lists written too, for steps that read them several times."""
+    q_lists, l_lists, counts = title_words(queries, listings)
+    return written(q_lists, "entry-words"), written(l_lists, "listing-words"), counts
 
 
 def titles_in_reach(
@@ -180,6 +188,6 @@ def titles_in_reach(
     cell_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Candidates of both kinds; both inputs must be tables that are cheap to read again."""
-    lists = title_words(queries, listings)
+    lists = written_words(queries, listings)
     shared = sharing_titles(queries, listings, need, weights, cell_rows, lists[:2])
     return shared.union(near_titles(queries, listings, NEAR_SHARE, cell_rows, lists)).distinct()

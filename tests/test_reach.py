@@ -164,3 +164,17 @@ def test_no_titles(spark):
 def test_share_falls_with_the_need():
     shares_of = [least_shared_percent(n) for n in (0, 20, 60, 72, 90, 100)]
     assert shares_of == sorted(shares_of) and shares_of[0] == 1 and shares_of[-1] > 90
+
+
+def test_near_spellings_write_no_word_lists(spark, monkeypatch):
+    names, write = [], reach.written
+
+    def watched(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(reach, "written", watched)
+    q, l = table(spark, [(1, "harbour of letters")]), table(spark, [(2, "harbor of letterz")])
+    got = reach.near_words(reach.title_words(q, l)[2]).collect()
+    assert {tuple(r) for r in got} == {("harbour", "harbor"), ("letters", "letterz")}
+    assert names == ["word-counts"]
