@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,31 @@ def test_bound_holds_and_spares_windows(spark):
 
 def test_no_pairs(spark):
     assert scoring.best_pairs(pairs_of(spark, 1, 2, 1).limit(0), "query_id").collect() == []
+
+
+def test_pairs_that_cannot_win_cost_no_window(monkeypatch):
+    """Of every key, the best pairs keep their window measure; most others are not measured."""
+    rng = random.Random(5)
+    words = "the harbour night letters of sorcerer long river".split()
+    texts = [(" ".join(rng.choices(words, k=3)) + "x", " ".join(rng.choices(words, k=6))) for _ in range(400)]
+    keys = pd.Series([k % 9 if k % 9 else None for k in range(400)])
+    short, long = (pd.Series(side) for side in zip(*texts))
+    measures = np.rint(100 * sim.best_window_ratios(list(short), list(long)))
+    fixed = pd.Series([100.0 if k % 50 == 0 else None for k in range(400)])
+    measures = np.where(fixed.notna(), 100.0, measures)
+    least = pd.Series(np.round([rng.uniform(20, 60) for _ in range(400)]))
+    bound = least + 0.2 * np.minimum(100, measures + [rng.randrange(20) for _ in range(400)])
+    scores = (least + 0.2 * measures).to_numpy()
+    measured, windows = [], sim.best_window_ratios
+
+    def watched(short, long):
+        measured.extend(short)
+        return windows(short, long)
+
+    monkeypatch.setattr(sim, "best_window_ratios", watched)
+    got = sim._winning_batch(keys, least, least + 20, bound, fixed, short.where(fixed.isna()), long.where(fixed.isna()))
+    assert len(measured) < 120
+    for key in range(9):
+        rows = np.flatnonzero((keys.isna() if key == 0 else keys == key).to_numpy())
+        for k in rows[scores[rows] >= scores[rows].max() - 1e-9]:
+            assert fixed.notna()[k] or np.rint(100 * got[k]) == measures[k]
